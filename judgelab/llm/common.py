@@ -118,6 +118,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
+def byte_span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the byte spans ``start:end``."""
+    n = len(buf)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_P, n), out=total[1:])
+    h = (total[end] - total[start]) * _powers(_P, n + 1, inverse=True)[start]
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(_Q))
+
+
 def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     """Split ``buf`` (documents lie at ``offsets``) into hashed words."""
     n = len(buf)
@@ -132,11 +141,7 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     cut = cut[inside[cut] & inside[cut + 1]]  # a word on either side of a document boundary
     begin[cut] = stop[cut] = True
     start, end = np.flatnonzero(begin), np.flatnonzero(stop)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_P, n), out=total[1:])
-    h = (total[end] - total[start]) * _powers(_P, n + 1, inverse=True)[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(_Q))
-    return Words(buf, h, start, end, np.searchsorted(start, offsets))
+    return Words(buf, byte_span_hashes(buf, start, end), start, end, np.searchsorted(start, offsets))
 
 
 def ngram_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -168,12 +173,12 @@ def inside_doc(first: np.ndarray, k: int) -> np.ndarray:
 
 
 def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a binary column into runs of whole rows of about ``limit`` bytes: (row, end row, bytes, offsets)."""
+    """Cut a text or binary column into runs of whole rows of about ``limit`` bytes: (row, end row, bytes, offsets)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null(b"")
-    wide = pa.types.is_large_binary(column.type)
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     n = len(column)
     if not n:
         return
