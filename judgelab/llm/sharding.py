@@ -12,7 +12,7 @@ where the balance allows, and a group of copies of any size is cut by id.
 Defined results: law ``bytes`` - a shard's size differs from the mean by less
 than the largest record; a null text has size 8; identical rows are separate
 records and may be cut apart; an empty table gives an empty result.  The sample
-is at most ``sample_rows`` keys, whatever the input's size.
+has about ``sample_rows`` keys (at most, on average), whatever the input's size.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ _KEY = ("__k1", "__k2")
 
 
 def _splitters(keyed: DataFrame, ranges: int, sample_rows: int, seed: int) -> list[tuple[int, int]]:
-    """Quantiles of a size-weighted sample without replacement (smallest exponential ranks)."""
-    rank = -F.log(F.lit(1.0) - F.rand(seed)) / F.col("__size")
-    sample = sorted((r[0], r[1]) for r in keyed.select(*_KEY, rank.alias("r")).orderBy("r").limit(sample_rows).collect())
+    """Quantiles of a sample in which a record lies with a probability of sample_rows * size / total."""
+    total = keyed.agg(F.sum("__size")).first()[0]
+    chance = F.col("__size") * (sample_rows / max(total or 1, 1))
+    sample = sorted((r[0], r[1]) for r in keyed.filter(F.rand(seed) < chance).select(*_KEY).collect())
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
 
