@@ -10,12 +10,14 @@ from judgelab.llm.oracles import ORACLES
 from judgelab.llm.quality_classifier import op5_quality_classifier
 from judgelab.llm.quality_rules import op7_quality_rules
 from judgelab.llm.sharding import op9_sharding
+from judgelab.llm.substring_dedup import op3_substring_dedup
 from judgelab.llm.toxicity import op8_toxicity
 from judgelab.llm.url_filters import op10_url_filters
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
