@@ -3,10 +3,10 @@
 1. Exact copies (equal word sequences) form classes; only classes go on.
 2. 128 minimum hashes of a class's five-word shingles give 32 bands of four.
    A pair at the threshold shares no band with a probability of 5e-6.
-3. Classes that share a band are compared with one member of the bucket first,
-   again with another one, and at last with every member of the bucket that is
-   still in another component.  Groups of copies thus cost one comparison a
-   member and not one a pair, and no pair of different components is left out.
+3. Classes that share a band are compared with one member of the bucket, in
+   each turn with another one, and at last with every member of the bucket that
+   is still in another component.  Groups of copies thus cost a few comparisons
+   a member and not one a pair, and no pair across components is left out.
 4. A pair's signatures are compared in batches.  With a uniform prior, m
    matches in n give the posterior Beta(m + 1, n - m + 1) of the similarity; a
    pair is dropped once the probability of reaching the threshold is below
@@ -37,6 +37,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 BATCH = 16
+#: Rounds with one hub a bucket at most; pairs across components, for each row of a bucket, that are compared without them.
+TURNS, ALL_PAIRS = 8, 2.0
 _rng = np.random.default_rng(4)
 _XOR = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, (PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -176,31 +178,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rep = some.join(classes, (some.cid == classes.cid) & some.id.eqNullSafe(classes.label)).select(some.cid, "n", "sig")
     needed = least_matches(part[0] / part[1], miss)
 
+    nodes = members.select("cid").distinct().join(classes, "cid")
+    texts = materialise(source.join(nodes, source.id.eqNullSafe(nodes.label)).select("cid", "text").mapInArrow(_with_cid, "cid bigint, text binary"), "texts")
+
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = rep.toDF("a", "n1", "s1"), rep.toDF("b", "n2", "s2")
         likely = pairs.join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_bayes(needed, part), "a bigint, b bigint")
         likely = materialise(likely.distinct(), "likely")
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
-        texts = materialise(source.join(nodes, source.id.eqNullSafe(nodes.label)).select("cid", "text").mapInArrow(_with_cid, "cid bigint, text binary"), "texts")
         both = likely.join(texts.toDF("b", "t2"), "b").join(texts.toDF("a", "t1"), "a").select("a", "b", "t1", "t2")
-        links = materialise(both.mapInArrow(_exact(part), "a bigint, b bigint").distinct(), "links")
-        discard(texts)
-        return links
+        return materialise(both.mapInArrow(_exact(part), "a bigint, b bigint").distinct(), "links")
 
-    tested, links, roots = [], [], None
-    for turn in ("least", "hashed", "all"):
+    tested, links, roots, turn, last = [], [], None, 0, False
+    while not last:
         now = members
         if roots is not None:
             now = members.join(roots.toDF("cid", "root"), "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
             open_ = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
             now = materialise(now.join(open_, "band", "left_semi"), "open")
-            if now.isEmpty():
+            sizes = now.groupBy("band", "root").agg(F.count("*").cast("double").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            rows, across = sizes.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2, F.lit(0.0))).first()
+            if not rows:
                 break
-        if turn == "least":
+            # All pairs across components once they are few beside the rows, or rounds no longer help.
+            last = across <= ALL_PAIRS * rows or turn >= TURNS
+        if roots is None:
             hub = now.groupBy("band").agg(F.min("cid").alias("a"))
             pairs = now.join(hub, "band").filter("a <> cid").select("a", F.col("cid").alias("b"))
-        elif turn == "hashed":
-            hub = now.groupBy("band").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("a"), F.col("root").alias("of"))).alias("x")).select("band", "x.a", "x.of")
+        elif not last:
+            # Another hub in every bucket and turn: a member meets as many of its group as it has bands.
+            pick = F.struct(F.xxhash64(F.lit(turn), "band", "cid").alias("h"), F.col("cid").alias("a"), F.col("root").alias("of"))
+            hub = now.groupBy("band").agg(F.min(pick).alias("x")).select("band", "x.a", "x.of")
             pairs = now.join(hub, "band").filter("of <> root").select("a", F.col("cid").alias("b"))
         else:
             other = now.select("band", F.col("cid").alias("a"), F.col("root").alias("of"))
@@ -212,6 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         tested.append(pairs)
         links.append(verified(pairs))
         roots = materialise(components(reduce(DataFrame.unionByName, links)), "roots")
+        turn += 1
 
     named = classes.join(roots.toDF("cid", "root"), "cid", "left").select("cid", "label", F.coalesce("root", "cid").alias("root")) if roots is not None else classes.withColumn("root", F.col("cid"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
