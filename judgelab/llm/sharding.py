@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from judgelab.llm.common import table, utf8
+from judgelab.llm.common import materialise, table, utf8
 
 OVERHEAD = 8
 _KEY = ("__k1", "__k2")
@@ -62,14 +62,23 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", id_col: str =
     ranged = raw.withColumn("__r", _range_of(cuts))
     found = ranged.groupBy("__r").agg(F.sum("__size").alias("b"), F.count("*").alias("n"), *[f(k).alias(f"{name}{k}") for k in _KEY for name, f in (("lo", F.min), ("hi", F.max))]).collect()  # at most `ranges` rows
     total, count = sum(r["b"] for r in found), sum(r["n"] for r in found)
-    over = []
+    over, salted = [], False
     for r in found:
         parts = max(-(-r["b"] * ranges // max(total, 1)), -(-r["n"] * ranges // max(count, 1)))
         if parts > 2:  # cut the overfull range evenly between its first and last key
             k = next((k for k in _KEY if r[f"lo{k}"] != r[f"hi{k}"]), None)
-            lo, hi = (float(r[f"lo{k}"]), float(r[f"hi{k}"])) if k else (0.0, 0.0)
-            at = (F.col(k).cast("double") - lo) / (hi - lo) if k else F.rand(seed)
-            over.append((F.col("__r") == r["__r"], F.least(F.floor(at * parts), F.lit(parts - 1)).cast("int")))
+            if k:
+                lo, hi = float(r[f"lo{k}"]), float(r[f"hi{k}"])
+                at = F.least(F.floor((F.col(k).cast("double") - lo) / (hi - lo) * parts), F.lit(parts - 1))
+            else:  # one id and text: the rows are alike, and are dealt out by a number that is written down first
+                at = F.pmod("__salt", F.lit(parts))
+                salted = salted or r["n"] > 1
+            over.append((F.col("__r") == r["__r"], at.cast("int")))
+    if salted:
+        raw = materialise(raw.withColumn("__salt", F.monotonically_increasing_id()), "sharding-rows")
+        ranged = raw.withColumn("__r", _range_of(cuts))
+    else:
+        ranged = ranged.withColumn("__salt", F.lit(0))
     sub = F.lit(0)
     for hit, at in over:
         sub = F.when(hit, at).otherwise(sub)
