@@ -233,7 +233,7 @@ def test_quality_classifier_separates_junk(spark):
     good = [(i, " ".join(w + " the of" if k % 4 == 0 else w for k, w in enumerate(words(i, 80))).replace("w", "wa").replace("1", "n").replace("2", "m").replace("3", "o")) for i in range(200)]
     junk = [(1000 + i, "&&& ### $$$ " * 30) for i in range(20)] + [(2000 + i, "spam " * 80) for i in range(20)]
     df = spark.createDataFrame([*good, *junk, (3000, None)], "doc_id long, text string")
-    out = {r["doc_id"]: r["kept"] for r in quality_scores(df, train_quality(df)).collect()}
+    out = {r["doc_id"]: r["kept"] for r in quality_scores(df, train_quality(df, rounds=12)).collect()}
     assert sum(out[i] for i, _ in good) >= 195 and sum(out[i] for i, _ in junk) <= 2 and len(out) == 241
 
 
