@@ -42,7 +42,7 @@ def fit(points: DataFrame, x: str, y: str, order: str, weight: str | None = None
         return _pool(pdf.sort_values(["x_start", "ord"], kind="stable")).assign(part=part_no)
 
     pooled = pts.select(part.alias("part"), "ord", "x_start", "x_end", "value", "weight").groupBy("part").applyInPandas(local, BLOCKS)
-    merged = pooled.groupBy(F.lit(0)).applyInPandas(lambda pdf: _pool(pdf.sort_values(["part", "x_start", "ord"], kind="stable")), BLOCKS)
+    merged = pooled.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _pool(pdf.drop(columns="all").sort_values(["part", "x_start", "ord"], kind="stable")), BLOCKS)
     return merged.select("x_start", "x_end", "value", "weight", "ord")
 
 

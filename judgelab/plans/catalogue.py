@@ -218,21 +218,21 @@ def flatten_fields(spark, d):
 
 
 def handoff_diff(spark, d):
-    return seams.handoffs(inputs.chains(spark, d)).select("chain_id", "seam", "kept", "recovered", "dropped", "mutated", "type_changed", "added", F.round("fidelity", 5).alias("fidelity"))
+    return seams.handoffs(inputs.chains(spark, d), depth=1).select("chain_id", "seam", "kept", "recovered", "dropped", "mutated", "type_changed", "added", F.round("fidelity", 5).alias("fidelity"))
 
 
 def chain_fidelity(spark, d):
-    return seams.chain_audit(seams.handoffs(inputs.chains(spark, d))).select("chain_id", "n_seams", F.round("chain_fidelity", 4).alias("chain_fidelity"), "fidelity_halflife")
+    return seams.chain_audit(seams.handoffs(inputs.chains(spark, d), depth=1)).select("chain_id", "n_seams", F.round("chain_fidelity", 4).alias("chain_fidelity"), "fidelity_halflife")
 
 
 def blame(spark, d):
-    return seams.blame(seams.handoffs(inputs.chains(spark, d))).filter("rank <= 3").select("chain_id", "rank", "seam", "downstream_steps", F.round("severity", 4).alias("severity"))
+    return seams.blame(seams.handoffs(inputs.chains(spark, d), depth=1)).filter("rank <= 3").select("chain_id", "rank", "seam", "downstream_steps", F.round("severity", 4).alias("severity"))
 
 
 def hash_embed_similarity(spark, d):
     q = inputs.qa(spark, d)
     near = cosine(hash_embedding(q, "item_id", "prompt"), hash_embedding(q, "item_id", "response"), "item_id")
-    return near.select("item_id", F.round("similarity", 5).alias("similarity"))
+    return near.select("item_id", "similarity")
 
 
 SUITE_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10}}}

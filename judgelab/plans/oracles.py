@@ -84,7 +84,7 @@ _LEVELS = "lv AS (SELECT round_even(judge_score, 0)::INT AS j, round_even(human_
 
 def _bootstrap(source: str, n: int, seed: int) -> str:
     """CTEs ending in ``ci`` (g, n, mean, ci_low, ci_high) from ``source`` (g, d)."""
-    poisson = " + ".join(f"(u1 >= (SELECT sum(exp(-1.0::DOUBLE) / factorial(i)::DOUBLE) FROM range({k + 1}) t(i)))::INT" for k in range(9))
+    poisson = " + ".join(f"(u1 >= (SELECT sum(exp(-1.0::DOUBLE) / factorial(i::INTEGER)::DOUBLE) FROM range({k + 1}) t(i)))::INT" for k in range(9))
     u = lambda tag: f"(('0x' || substr(md5('{seed}|' || r || '|' || g || '|' || round_even(d * 1e6, 0)::BIGINT || '|{tag}'), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE"
     return f"""bc AS (SELECT g, d, count(*)::DOUBLE AS c FROM {source} GROUP BY ALL),
 bu AS (SELECT *, {u('a')} AS u1, {u('b')} AS u2 FROM bc, range({n}) t(r)),
@@ -105,7 +105,7 @@ _PAIRS = """pairs AS (SELECT doc_id::VARCHAR AS item_id, response_a, response_b
 
 _CHAINS = """ev AS (SELECT user_id AS chain_id, event_id AS id, event_type AS kind, json_extract_string(props, '$.k')::BIGINT AS k, row_number() OVER w AS idx,
   lag(event_type) OVER w AS kind0, lag(json_extract_string(props, '$.k')::BIGINT) OVER w AS k0, lag(event_id) OVER w AS id0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-sm AS (SELECT chain_id, idx - 1 AS seam, k0 IS NULL AS nk, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 1 ELSE 2 END AS mode, kind0, k0, id0 FROM ev WHERE idx > 1),
+sm AS (SELECT chain_id, idx - 1 AS seam, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 1 ELSE 2 END AS mode, kind0, k0, id0 FROM ev WHERE idx > 1),
 ho AS (SELECT chain_id, seam,
   CASE mode WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 1 END AS kept,
   CASE mode WHEN 1 THEN 1 WHEN 2 THEN (id0 IN (k0 + 1, 1))::INT ELSE 0 END AS recovered,
@@ -180,6 +180,10 @@ SELECT round(CASE WHEN (SELECT count(*) FROM lev) < 2 THEN 1 ELSE 1 - (SELECT av
     "spearman": f"WITH {_LABELS}, {_RANKS} SELECT round({_SPEARMAN}, 6) AS spearman FROM ranked",
     "midranks": f"WITH {_LABELS}, {_RANKS} SELECT DISTINCT judge_score AS value, rj AS midrank FROM ranked",
     "agreement_summary": f"WITH {_LABELS}, {_RANKS}, {_LEVELS}, {_KAPPA}, s AS (SELECT count(*) AS n, round({_SPEARMAN}, 6) AS spearman, round(avg(abs(judge_score - human_score)), 6) AS mae, round(avg((abs(judge_score - human_score) <= 1)::INT::DOUBLE), 6) AS within_1 FROM ranked) SELECT s.*, round(kappa, 6) AS kappa FROM s, kp",
+    "pav_predict": f"""WITH {_LABELS}, o AS (SELECT doc_id, judge_score AS x, human_score AS y, row_number() OVER (ORDER BY judge_score, doc_id) AS i FROM lj),
+c AS (SELECT i, sum(y) OVER (ORDER BY i) AS s FROM o), m AS (SELECT a.i, b.i AS j, (b.s - a.s + oa.y) / (b.i - a.i + 1) AS m FROM c a JOIN o oa ON oa.i = a.i JOIN c b ON b.i >= a.i),
+l AS (SELECT x, max(i) AS k FROM o GROUP BY 1), f AS (SELECT x, i, min(m) AS v FROM l JOIN m ON m.i <= k AND m.j >= k GROUP BY ALL), g AS (SELECT x, max(v) AS v FROM f GROUP BY 1)
+SELECT doc_id, round(v, 6) AS calibrated FROM o JOIN g USING (x)""",
     "verbosity_ols": f"WITH {_LABELS} SELECT count(*) AS n, round(coalesce(regr_slope(judge_score, n_tokens), 0) * 1000, 5) AS slope_per_1000, round(coalesce(regr_intercept(judge_score, n_tokens), avg(judge_score)), 5) AS intercept, round(corr(judge_score, n_tokens), 5) AS r FROM lj",
     "verbosity_permutation": f"""WITH {_LABELS}, e AS (SELECT p, item_id, n_tokens::DOUBLE AS x, human_score AS y, row_number() OVER (PARTITION BY p ORDER BY item_id) AS a,
   row_number() OVER (PARTITION BY p ORDER BY ('0x' || substr(md5('0|' || p || '|' || item_id), 1, 8))::UBIGINT, item_id) AS b FROM lj, range(1, 50) t(p)),
@@ -197,10 +201,10 @@ SELECT count(own) AS n_comparable, count(*) FILTER (own = pref) AS n_flagged, ro
 m AS (SELECT item_id, v FROM v QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, v) = 1)
 SELECT item_id, m.v AS majority_score, round(avg(score), 5) AS mean, round(var_pop(score), 4) AS variance, round(round(1 / (1 + var_pop(score)), 4), 4) AS confidence FROM s JOIN m USING (item_id) GROUP BY item_id, m.v""",
     "flatten_fields": "SELECT event_id, 'k' AS path, 'number' AS type, json_extract_string(props, '$.k') AS value FROM events",
-    "handoff_diff": f"WITH {_CHAINS} SELECT chain_id, seam::INT AS seam, kept::BIGINT AS kept, recovered::BIGINT AS recovered, dropped::BIGINT AS dropped, mutated::BIGINT AS mutated, type_changed::BIGINT AS type_changed, added::BIGINT + (CASE WHEN mutated = 1 THEN 0 ELSE 0 END) AS added, round(fidelity, 5) AS fidelity FROM hf",
+    "handoff_diff": f"WITH {_CHAINS} SELECT chain_id, seam::INT AS seam, kept::BIGINT AS kept, recovered::BIGINT AS recovered, dropped::BIGINT AS dropped, mutated::BIGINT AS mutated, type_changed::BIGINT AS type_changed, added::BIGINT AS added, round(fidelity, 5) AS fidelity FROM hf",
     "chain_fidelity": f"WITH {_CHAINS} SELECT chain_id, count(*) AS n_seams, round(round(CASE WHEN min(fidelity) <= 0 THEN 0 ELSE exp(avg(ln(fidelity))) END, 6), 4) AS chain_fidelity, min(CASE WHEN fidelity < 0.5 THEN seam END)::INT AS fidelity_halflife FROM hf GROUP BY 1",
     "blame": f"WITH {_CHAINS}, b AS (SELECT chain_id, seam, (max(seam) OVER (PARTITION BY chain_id) - seam + 1) AS after, (1 - fidelity) * (max(seam) OVER (PARTITION BY chain_id) - seam + 1) AS s FROM hf), r AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY s DESC, seam) AS rk FROM b) SELECT chain_id, rk::INT AS rank, seam::INT AS seam, after::INT AS downstream_steps, round(s, 4) AS severity FROM r WHERE rk <= 3",
-    "hash_embed_similarity": f"WITH {_QA}, {_embed('ea', 'qa', 'prompt')}, {_embed('eb', 'qa', 'response')}, n AS (SELECT item_id, sum(a.weight * b.weight) AS s FROM ea a JOIN eb b USING (item_id, bucket) GROUP BY 1) SELECT item_id, round(round(coalesce(s, 0), 6), 5) AS similarity FROM (SELECT item_id FROM ea UNION SELECT item_id FROM eb) LEFT JOIN n USING (item_id)",
+    "hash_embed_similarity": f"WITH {_QA}, {_embed('ea', 'qa', 'prompt')}, {_embed('eb', 'qa', 'response')}, n AS (SELECT item_id, sum(a.weight * b.weight) AS s FROM ea a JOIN eb b USING (item_id, bucket) GROUP BY 1) SELECT item_id, round(coalesce(s, 0), 6) AS similarity FROM (SELECT item_id FROM ea UNION SELECT item_id FROM eb) LEFT JOIN n USING (item_id)",
     "suite_checks": f"WITH {_SUITE} SELECT * FROM checks",
     "suite_verdict": f"WITH {_SUITE} SELECT name, count(*) FILTER (NOT passed) AS n_failed, CASE WHEN count(*) FILTER (NOT passed) = 0 THEN 'PASS' WHEN count(*) FILTER (NOT passed) = count(*) FILTER (escalate) THEN 'ESCALATE' ELSE 'FAIL' END AS verdict FROM checks GROUP BY 1",
     "grid_cells": f"WITH {_GRID} SELECT trim(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '-') || '__' || replace(persona, ' ', '-') || '__' || difficulty || '__' || edge_case || '__' || k AS item_id, topic, persona, difficulty, edge_case, cell::BIGINT AS cell, k::INT AS k FROM grid",
