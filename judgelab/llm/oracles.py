@@ -1,3 +1,50 @@
-"""DuckDB SQL for the training-data queries that SQL can express."""
+"""DuckDB SQL for the training-data queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others train models (op2, op5, op8), search (op1, op6), iterate over a
+graph (op10) or depend on hash order (op9); tests compare them with brute
+force.
+"""
+
+from __future__ import annotations
+
+from judgelab.llm.quality_rules import STOP_WORDS
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+_OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 34, 0) + 1)) AS i, w FROM d),
+h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM win),
+rep AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM rep, range(35) t(k)),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, w FROM d),
+kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP4 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM root LEFT JOIN n USING (doc_id)"""
+
+_OP7 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS i, w FROM d),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) > 1),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(5) t(k) GROUP BY 1),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, greatest(len(w), 1)::DOUBLE AS wn, greatest(len(l), 1)::DOUBLE AS ln,
+  len(list_intersect(w, {_STOPS}))::DOUBLE AS stops, length(regexp_replace(t, '[^!]', '', 'g'))::DOUBLE AS bangs, len(regexp_extract_all(t, '\p{{L}}[^\x20\x09-\x0D]*'))::DOUBLE AS lettered,
+  len(list_filter(l, lambda x: regexp_matches(x, '^ *(- |\* |•)')))::DOUBLE AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…) *$')))::DOUBLE AS dots FROM d LEFT JOIN again USING (doc_id)),
+r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_filter([
+  CASE WHEN word_chars / wn < 1.5 OR word_chars / wn > 20 THEN 'mean_word_chars' END, CASE WHEN n_symbols / wn > 0.10::DOUBLE THEN 'symbol_ratio' END,
+  CASE WHEN stops / least(wn, {len(STOP_WORDS)}) < 0.03::DOUBLE AND n_words >= 60 THEN 'stop_word_ratio' END, CASE WHEN n_dup_lines / ln > 0.60::DOUBLE THEN 'dup_line_ratio' END,
+  CASE WHEN bullets / ln > 0.90::DOUBLE THEN 'bullet_line_ratio' END, CASE WHEN dots / ln > 0.30::DOUBLE THEN 'ellipsis_line_ratio' END,
+  CASE WHEN bangs / wn > 0.30::DOUBLE AND n_words >= 10 THEN 'exclaimed_ratio' END, CASE WHEN lettered / wn < 0.60::DOUBLE THEN 'lettered_ratio' END], lambda x: x IS NOT NULL) AS f FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(f) = 0 AS kept, coalesce(array_to_string(f, ','), '') AS failed_rules FROM r"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": _OP3, "op4_minhash_near_dedup": _OP4, "op7_quality_rules": _OP7}
