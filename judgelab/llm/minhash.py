@@ -3,10 +3,12 @@
 1. Exact copies (equal word sequences) form classes; only classes go on.
 2. 128 minimum hashes of a class's five-word shingles give 32 bands of four.
    A pair at the threshold shares no band with a probability of 5e-6.
-3. Classes that share a band are compared with one member of the bucket, in
-   each turn with another one, and at last with every member of the bucket that
-   is still in another component.  Groups of copies thus cost a few comparisons
-   a member and not one a pair, and no pair across components is left out.
+3. Classes that share a band are compared with the bucket's hub, the member
+   that shares most buckets.  Members of a hub that are still in different
+   components are compared where they share a shingle the hub lacks, or where
+   the hub's shingles alone could link them; other pairs can't reach the
+   threshold.  So groups of copies cost a few comparisons a member, not one a
+   pair, and no pair of a bucket is left out.
 4. A pair's signatures are compared in batches.  With a uniform prior, m
    matches in n give the posterior Beta(m + 1, n - m + 1) of the similarity; a
    pair is dropped once the probability of reaching the threshold is below
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,6 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 BATCH = 16
-#: Rounds with one hub a bucket at most; pairs across components, for each row of a bucket, that are compared without them.
-TURNS, ALL_PAIRS = 8, 2.0
 _rng = np.random.default_rng(4)
 _XOR = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, (PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -146,6 +145,57 @@ def _exact(part: tuple[int, int]):
     return run
 
 
+def _beside_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (hub, member, root, hub's text, member's text): sizes, common shingles, and the member's others."""
+
+    def of(text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text, dtype=np.uint8)
+        return shingles(words_of(raw, np.array([0, len(raw)]), lower=True).hash)
+
+    last, hub = None, np.empty(0)
+    for b in batches:
+        a, sizes, rests = b.column(0).to_numpy(), np.zeros((b.num_rows, 3), dtype=np.int64), []
+        for i in range(b.num_rows):
+            if a[i] != last:
+                last, hub = a[i], of(b.column(3)[i].as_py())
+            mine = of(b.column(4)[i].as_py())
+            rest = np.setdiff1d(mine, hub, assume_unique=True)
+            sizes[i] = len(hub), len(mine), len(mine) - len(rest)
+            rests.append(rest.view(np.int64))
+        flat = np.concatenate(rests) if rests else np.empty(0, dtype=np.int64)
+        lists = list_rows(flat, np.array([len(r) for r in rests], dtype=np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(sizes[:, j]) for j in range(3)), lists], names=["a", "b", "root", "hub_n", "n", "k", "rest"])
+
+
+def _far_pairs(core: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """Pairs of a hub's members in different components that can still reach the threshold.
+
+    Two members have min(k1, k2) shingles of the hub in common at most.  So they
+    reach it only if they share a shingle outside the hub, or if that bound
+    alone suffices, which takes a member smaller than the hub.  Neither kind
+    grows with the square of a group of copies of one text.
+    """
+    p, q = part
+
+    def reaches(common):  # common / (n1 + n2 - common) >= p / q
+        return (p + q) * common >= p * (F.col("n1") + F.col("n2"))
+
+    one = core.select("a", F.col("b").alias("b1"), F.col("root").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"))
+    two = core.select("a", F.col("b").alias("b2"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    outside = core.select("a", "b", "root", "n", "k", F.explode("rest").alias("x"))
+    shared = outside.groupBy("a", "x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("a", "x")
+    outside = outside.join(shared, ["a", "x"], "left_semi").select("a", "b", "root", "n", "k", "x")
+    left, right = outside.toDF("a", "b1", "r1", "n1", "k1", "x"), outside.toDF("a", "b2", "r2", "n2", "k2", "x")
+    bound = F.least("k1", "k2") + F.least(F.col("n1") - F.col("k1"), F.col("n2") - F.col("k2"))
+    meet = left.join(right, ["a", "x"]).filter((F.col("b1") < F.col("b2")) & (F.col("r1") != F.col("r2")) & reaches(bound))
+    least = core.groupBy("a").agg(F.min("n").alias("least"))
+    could = one.join(least, "a").filter((p + q) * F.col("k1") >= p * (F.col("n1") + F.col("least")))
+    small = two.join(core.select("a", "hub_n").distinct(), "a").filter("n2 < hub_n")
+    count = could.join(small, "a").filter((F.col("r1") != F.col("r2")) & reaches(F.least("k1", "k2")))
+    ordered = [F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")]
+    return meet.select(*ordered).union(count.select(*ordered)).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the component's smallest node."""
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
@@ -188,40 +238,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         both = likely.join(texts.toDF("b", "t2"), "b").join(texts.toDF("a", "t1"), "a").select("a", "b", "t1", "t2")
         return materialise(both.mapInArrow(_exact(part), "a bigint, b bigint").distinct(), "links")
 
-    tested, links, roots, turn, last = [], [], None, 0, False
-    while not last:
-        now = members
-        if roots is not None:
-            now = members.join(roots.toDF("cid", "root"), "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
-            open_ = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-            now = materialise(now.join(open_, "band", "left_semi"), "open")
-            sizes = now.groupBy("band", "root").agg(F.count("*").cast("double").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            rows, across = sizes.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2, F.lit(0.0))).first()
-            if not rows:
-                break
-            # All pairs across components once they are few beside the rows, or rounds no longer help.
-            last = across <= ALL_PAIRS * rows or turn >= TURNS
-        if roots is None:
-            hub = now.groupBy("band").agg(F.min("cid").alias("a"))
-            pairs = now.join(hub, "band").filter("a <> cid").select("a", F.col("cid").alias("b"))
-        elif not last:
-            # Another hub in every bucket and turn: a member meets as many of its group as it has bands.
-            pick = F.struct(F.xxhash64(F.lit(turn), "band", "cid").alias("h"), F.col("cid").alias("a"), F.col("root").alias("of"))
-            hub = now.groupBy("band").agg(F.min(pick).alias("x")).select("band", "x.a", "x.of")
-            pairs = now.join(hub, "band").filter("of <> root").select("a", F.col("cid").alias("b"))
-        else:
-            other = now.select("band", F.col("cid").alias("a"), F.col("root").alias("of"))
-            pairs = now.join(other, "band").filter("of <> root and a < cid").select("a", F.col("cid").alias("b"))
-        pairs = pairs.distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti").join(before.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested.append(pairs)
-        links.append(verified(pairs))
-        roots = materialise(components(reduce(DataFrame.unionByName, links)), "roots")
-        turn += 1
-
-    named = classes.join(roots.toDF("cid", "root"), "cid", "left").select("cid", "label", F.coalesce("root", "cid").alias("root")) if roots is not None else classes.withColumn("root", F.col("cid"))
+    # The hub of a bucket: the member that shares most buckets with others.
+    sizes = members.groupBy("band").agg(F.count("*").alias("k"))
+    degree = members.join(sizes, "band").groupBy("cid").agg(F.sum("k").alias("k"))
+    hub = members.join(degree, "cid").groupBy("band").agg(F.max(F.struct("k", "cid")).alias("x")).select("band", F.col("x.cid").alias("a"))
+    spokes = materialise(members.join(hub, "band").filter("a <> cid").select("a", F.col("cid").alias("b")).distinct(), "spokes")
+    links = verified(spokes)
+    roots = materialise(components(links), "roots")
+    rooted = roots.toDF("cid", "root")
+    of_b = spokes.join(rooted.withColumnRenamed("cid", "b"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
+    of_a = of_b.join(rooted.toDF("a", "own"), "a", "left").select("a", "b", "root", F.coalesce("own", "a").alias("own"))
+    apart = of_a.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("a")
+    apart = materialise(of_b.join(apart, "a", "left_semi"), "apart")
+    if not apart.isEmpty():
+        core = apart.join(texts.toDF("b", "t2"), "b").join(texts.toDF("a", "t1"), "a").select("a", "b", "root", "t1", "t2")
+        core = materialise(core.mapInArrow(_beside_hub, "a bigint, b bigint, root bigint, hub_n bigint, n bigint, k bigint, rest array<bigint>"), "beside-hub")
+        pairs = materialise(_far_pairs(core, part), "far-pairs")
+        more = verified(pairs)
+        roots = materialise(components(links.unionByName(more)), "roots")
+
+    named = classes.join(roots.toDF("cid", "root"), "cid", "left").select("cid", "label", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     named = named.join(least, "root").select("cid", "component_id")
     out = sigs.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(named, "cid", "left")
