@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from judgelab.functions.text import content_tokens, f1_overlap, is_blank, keyword_coverage, tokens
 
@@ -159,7 +160,7 @@ def self_consistency(samples: DataFrame) -> DataFrame:
 
 def model_judge(items: DataFrame, complete: Callable[[], Callable[[str], str]], prompt: str, out: str = "payload") -> DataFrame:
     """Adds a model's completion of ``prompt``: one client per partition, made by ``complete()``; failures become null."""
-    schema = items.schema.add(out, "string")
+    schema = T.StructType([*items.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         client = complete()
