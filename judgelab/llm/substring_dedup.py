@@ -255,6 +255,7 @@ def repeated_intervals(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     found = materialise(keyed.mapInArrow(_segmented(window, anchor), "key bigint, at array<int>, n array<int>, anchor array<bigint>, seg array<bigint>"), "segments")
     rows = found.select("key", F.explode(F.arrays_zip("at", "n", "anchor", "seg")).alias("x")).select("key", "x.at", "x.n", "x.anchor", "x.seg")
     shared = rows.groupBy("anchor").agg(F.count("*").alias("times"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    shared = materialise(shared, "shared-anchors")  # both sides of the join are then dealt out anew, and a hot anchor is split
     some = materialise(rows.join(shared, "anchor"), "shared-segments")
     discard(found)
     kinds = some.filter("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("key", "at", "n")).alias("x"))
