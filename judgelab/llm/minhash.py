@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from judgelab.llm.common import binary_rows, discard, list_rows, materialise, mix, ngram_hashes, span_hashes, table, text_chunks, utf8, words_of
@@ -183,8 +183,13 @@ def _far_pairs(core: DataFrame, part: tuple[int, int]) -> DataFrame:
     one = core.select("a", F.col("b").alias("b1"), F.col("root").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"))
     two = core.select("a", F.col("b").alias("b2"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
     outside = core.select("a", "b", "root", "n", "k", F.explode("rest").alias("x"))
-    shared = outside.groupBy("a", "x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("a", "x")
-    outside = outside.join(shared, ["a", "x"], "left_semi").select("a", "b", "root", "n", "k", "x")
+    # To reach p / q of its own size a member must share `need` shingles outside the hub; so it
+    # shares one of its rarest, as many as leave fewer than `need` over.
+    kinds = outside.groupBy("a", "x").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "x"))  # one document's shingles
+    need = F.greatest(F.ceil(p * F.col("n") / q) - F.col("k"), F.lit(1))
+    ranked = outside.join(kinds, ["a", "x"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.col("k") - need + 1)
+    outside = ranked.filter("lo < hi").select("a", "b", "root", "n", "k", "x")
     left, right = outside.toDF("a", "b1", "r1", "n1", "k1", "x"), outside.toDF("a", "b2", "r2", "n2", "k2", "x")
     bound = F.least("k1", "k2") + F.least(F.col("n1") - F.col("k1"), F.col("n2") - F.col("k2"))
     meet = left.join(right, ["a", "x"]).filter((F.col("b1") < F.col("b2")) & (F.col("r1") != F.col("r2")) & reaches(bound))
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     needed = least_matches(part[0] / part[1], miss)
 
     nodes = members.select("cid").distinct().join(classes, "cid")
-    texts = materialise(source.join(nodes, source.id.eqNullSafe(nodes.label)).select("cid", "text").mapInArrow(_with_cid, "cid bigint, text binary"), "texts")
+    texts = materialise(source.join(nodes, source.id.eqNullSafe(nodes.label)).select("cid", "text").mapInArrow(_with_cid, "cid bigint, text binary").dropDuplicates(["cid"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = rep.toDF("a", "n1", "s1"), rep.toDF("b", "n2", "s2")
