@@ -6,9 +6,10 @@
 3. Classes that share a band are compared with the bucket's hub, the member
    that shares most buckets.  Members of a hub that are still in different
    components are compared where they share a shingle the hub lacks, or where
-   the hub's shingles alone could link them; other pairs can't reach the
-   threshold.  So groups of copies cost a few comparisons a member, not one a
-   pair, and no pair of a bucket is left out.
+   the hub's shingles alone could link them, and where bit sketches of what
+   each lacks of the hub and has beside it leave the threshold in reach; other
+   pairs can't reach it.  So groups of copies cost a few comparisons a member,
+   not one a pair, and no pair of a bucket is left out.
 4. A pair's signatures are compared in batches.  With a uniform prior, m
    matches in n give the posterior Beta(m + 1, n - m + 1) of the similarity; a
    pair is dropped once the probability of reaching the threshold is below
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from judgelab.llm.common import binary_rows, discard, list_rows, materialise, mix, ngram_hashes, span_hashes, table, text_chunks, utf8, words_of
@@ -38,6 +39,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 BATCH = 16
+SKETCH = 8  # words of 64 bits
 _rng = np.random.default_rng(4)
 _XOR = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, (PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -145,8 +147,18 @@ def _exact(part: tuple[int, int]):
     return run
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The bits, of 64 * SKETCH, that the shingles set."""
+    bits, at = np.zeros(SKETCH, dtype=np.uint64), (found >> np.uint64(7)) % np.uint64(64 * SKETCH)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits.view(np.int64)
+
+
 def _beside_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (hub, member, root, hub's text, member's text): sizes, common shingles, and the member's others."""
+    """For rows (hub, member, root, hub's text, member's text): sizes, common shingles, the member's others, and sketches.
+
+    The sketches are of the hub's shingles that the member lacks, and of the member's that the hub lacks.
+    """
 
     def of(text: bytes) -> np.ndarray:
         raw = np.frombuffer(text, dtype=np.uint8)
@@ -155,16 +167,19 @@ def _beside_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, hub = None, np.empty(0)
     for b in batches:
         a, sizes, rests = b.column(0).to_numpy(), np.zeros((b.num_rows, 3), dtype=np.int64), []
+        bits = np.zeros((2, b.num_rows, SKETCH), dtype=np.int64)
         for i in range(b.num_rows):
             if a[i] != last:
                 last, hub = a[i], of(b.column(3)[i].as_py())
             mine = of(b.column(4)[i].as_py())
             rest = np.setdiff1d(mine, hub, assume_unique=True)
             sizes[i] = len(hub), len(mine), len(mine) - len(rest)
+            bits[0, i], bits[1, i] = sketch(np.setdiff1d(hub, mine, assume_unique=True)), sketch(rest)
             rests.append(rest.view(np.int64))
         flat = np.concatenate(rests) if rests else np.empty(0, dtype=np.int64)
         lists = list_rows(flat, np.array([len(r) for r in rests], dtype=np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(sizes[:, j]) for j in range(3)), lists], names=["a", "b", "root", "hub_n", "n", "k", "rest"])
+        sketches = [list_rows(x.reshape(-1), np.full(b.num_rows, SKETCH), pa.int64()) for x in bits]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(sizes[:, j]) for j in range(3)), lists, *sketches], names=["a", "b", "root", "hub_n", "n", "k", "rest", "lacks", "own"])
 
 
 def _far_pairs(core: DataFrame, part: tuple[int, int]) -> DataFrame:
@@ -174,14 +189,28 @@ def _far_pairs(core: DataFrame, part: tuple[int, int]) -> DataFrame:
     reach it only if they share a shingle outside the hub, or if that bound
     alone suffices, which takes a member smaller than the hub.  Neither kind
     grows with the square of a group of copies of one text.
+
+    Sketches bound what they share more closely: of the hub's shingles those
+    that neither lacks, each bit set by either standing for one lacked at least;
+    of the others, those of a member but one for each bit that only it sets.
     """
     p, q = part
 
-    def reaches(common):  # common / (n1 + n2 - common) >= p / q
-        return (p + q) * common >= p * (F.col("n1") + F.col("n2"))
+    def bits(of) -> Column:
+        return sum(F.bit_count(of(i)) for i in range(SKETCH))
+
+    def common() -> Column:
+        """The most shingles that the two can share."""
+        l1, l2, o1, o2 = (lambda i, c=c: F.col(c)[i] for c in ("lacks1", "lacks2", "own1", "own2"))
+        of_hub = F.least("k1", "k2", F.col("hub_n") - bits(lambda i: l1(i).bitwiseOR(l2(i))))
+        only1, only2 = bits(lambda i: o1(i).bitwiseAND(F.bitwise_not(o2(i)))), bits(lambda i: o2(i).bitwiseAND(F.bitwise_not(o1(i))))
+        return of_hub + F.least(F.col("n1") - F.col("k1") - only1, F.col("n2") - F.col("k2") - only2)
+
+    def reaches(shared):  # shared / (n1 + n2 - shared) >= p / q
+        return (p + q) * shared >= p * (F.col("n1") + F.col("n2"))
 
-    one = core.select("a", F.col("b").alias("b1"), F.col("root").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"))
-    two = core.select("a", F.col("b").alias("b2"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    row = ["b", "root", "n", "k", "lacks", "own"]
+    one, two = (core.select("a", *([] if side == 1 else ["hub_n"]), *[F.col(c).alias(f"{c}{side}") for c in row]) for side in (1, 2))
     outside = core.select("a", "b", "root", "n", "k", F.explode("rest").alias("x"))
     # To reach p / q of its own size a member must share `need` shingles outside the hub; so it
     # shares one of its rarest, as many as leave fewer than `need` over.
@@ -189,14 +218,13 @@ def _far_pairs(core: DataFrame, part: tuple[int, int]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "x"))  # one document's shingles
     need = F.greatest(F.ceil(p * F.col("n") / q) - F.col("k"), F.lit(1))
     ranked = outside.join(kinds, ["a", "x"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.col("k") - need + 1)
-    outside = ranked.filter("lo < hi").select("a", "b", "root", "n", "k", "x")
-    left, right = outside.toDF("a", "b1", "r1", "n1", "k1", "x"), outside.toDF("a", "b2", "r2", "n2", "k2", "x")
-    bound = F.least("k1", "k2") + F.least(F.col("n1") - F.col("k1"), F.col("n2") - F.col("k2"))
-    meet = left.join(right, ["a", "x"]).filter((F.col("b1") < F.col("b2")) & (F.col("r1") != F.col("r2")) & reaches(bound))
+    outside = ranked.filter("lo < hi").select("a", "b", "x")
+    left, right = (outside.withColumnRenamed("b", f"b{side}").join(x, ["a", f"b{side}"]) for side, x in ((1, one), (2, two)))
+    meet = left.join(right, ["a", "x"]).filter((F.col("b1") < F.col("b2")) & (F.col("root1") != F.col("root2")) & reaches(common()))
     least = core.groupBy("a").agg(F.min("n").alias("least"))
     could = one.join(least, "a").filter((p + q) * F.col("k1") >= p * (F.col("n1") + F.col("least")))
-    small = two.join(core.select("a", "hub_n").distinct(), "a").filter("n2 < hub_n")
-    count = could.join(small, "a").filter((F.col("r1") != F.col("r2")) & reaches(F.least("k1", "k2")))
+    small = two.filter("n2 < hub_n")
+    count = could.join(small, "a").filter((F.col("root1") != F.col("root2")) & reaches(F.least("k1", "k2")) & reaches(common()))
     ordered = [F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")]
     return meet.select(*ordered).union(count.select(*ordered)).distinct()
 
@@ -257,7 +285,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     apart = materialise(of_b.join(apart, "a", "left_semi"), "apart")
     if not apart.isEmpty():
         core = apart.join(texts.toDF("b", "t2"), "b").join(texts.toDF("a", "t1"), "a").select("a", "b", "root", "t1", "t2")
-        core = materialise(core.mapInArrow(_beside_hub, "a bigint, b bigint, root bigint, hub_n bigint, n bigint, k bigint, rest array<bigint>"), "beside-hub")
+        core = materialise(core.mapInArrow(_beside_hub, "a bigint, b bigint, root bigint, hub_n bigint, n bigint, k bigint, rest array<bigint>, lacks array<bigint>, own array<bigint>"), "beside-hub")
         pairs = materialise(_far_pairs(core, part), "far-pairs")
         more = verified(pairs)
         roots = materialise(components(links.unionByName(more)), "roots")
