@@ -5,8 +5,10 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from judgelab.llm import lm
 from judgelab.llm.decontamination import decontaminate
 from judgelab.llm.lm import language_model_scores
 from judgelab.llm.minhash import near_duplicates
@@ -140,6 +142,15 @@ def test_language_model_learns_a_pattern(spark):
     assert out[1] > out[0]
 
 
+def test_language_model_gradients_take_every_position(spark):
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(bytearray(text.encode()),)] * 50, "text binary")
+    v, weights, _ = lm.train(docs)
+    buf = np.frombuffer(text.encode(), dtype=np.uint8)
+    p = lm.positions(*lm.tokens(buf, np.array([0, len(buf)])), v)
+    assert (p.member >= 0).all() and all((weights.words[r] != 0).any(axis=1).all() for r in p.word_rows)
+
+
 def test_mixing_keeps_every_document_and_meets_the_limits(docs):
     out = mix(docs, target_entropy=1.0, max_repetition=3.0).collect()
     tokens = {}
