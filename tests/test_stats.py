@@ -111,6 +111,19 @@ def test_isotonic_equals_one_pass_over_many_ranges(spark):
     assert got == pytest.approx(_pav([x[i] for i in order], [y[i] for i in order]))
 
 
+def test_isotonic_holds_bounded_ranges(spark):
+    # a hot x and a rising tail that leaves one block a point; 20 rows a range
+    x = [2.0] * 150 + [3.0 + i for i in range(150)]
+    y = [math.sin(i) for i in range(150)] + [5.0 + i + (i % 7 == 0) * 1.5 for i in range(150)]
+    pts = frame(spark, x, y, list(range(300)))
+    blocks = isotonic.fit(pts, "a", "b", "c", parts=1, limit=20)
+    got = [r["value"] for r in blocks.orderBy("x_start", "ord").collect() for _ in range(round(r["weight"]))]
+    want = _pav(x, y)
+    assert got == pytest.approx(want)
+    out = isotonic.predict(pts, "a", blocks, limit=20).filter("a > 2").orderBy("a").collect()
+    assert [r["calibrated"] for r in out] == pytest.approx(want[150:])
+
+
 def test_verbosity(spark):
     n = [float(i * 7 % 60) for i in range(60)]
     y = [0.04 * v + math.sin(i) / 10 for i, v in enumerate(n)]
