@@ -18,7 +18,7 @@ ITEM = "item_id string, prompt string, reference string, capability string, topi
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): non-blank lines with 1-based numbers; a file is one window partition."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "line"))
     return whole.select("file", (F.col("pos") + 1).alias("line_no"), "line").filter(~is_blank(F.col("line")))
 
 
@@ -52,7 +52,7 @@ def to_jsonl(df: DataFrame, path: str) -> None:
 
 def load_traces(spark: SparkSession, path: str) -> DataFrame:
     """(chain_id, step_idx, name, input, output, duration_ms) from a JSON list, ``{"steps"|"trace": [...]}`` or JSON lines; a file is a chain."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("chain_id"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("chain_id"), F.col("value"))
     v = F.try_parse_json("value")
     one = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.steps", "array<variant>"), F.try_variant_get(v, "$.trace", "array<variant>"))
     lines = F.transform(F.filter(F.split("value", "\r?\n", -1), lambda x: ~is_blank(x)), lambda x: F.try_parse_json(x))
