@@ -142,13 +142,87 @@ def test_language_model_learns_a_pattern(spark):
     assert out[1] > out[0]
 
 
-def test_language_model_gradients_take_every_position(spark):
-    text = "one two three four five six"
-    docs = spark.createDataFrame([(bytearray(text.encode()),)] * 50, "text binary")
-    v, weights, _ = lm.train(docs)
-    buf = np.frombuffer(text.encode(), dtype=np.uint8)
-    p = lm.positions(*lm.tokens(buf, np.array([0, len(buf)])), v)
-    assert (p.member >= 0).all() and all((weights.words[r] != 0).any(axis=1).all() for r in p.word_rows)
+def test_language_model_gradients_take_every_position(spark, docs):
+    train = docs.selectExpr("CAST(coalesce(text, '') AS BINARY) AS text")
+    v, _, _ = lm.train(train)
+    stats = lm.statistics(train, spark.sparkContext.broadcast(v))
+    assert sum(sum(r["ns"]) for r in stats.collect()) == v.total == sum(len(lowered(t)) + 1 for _, t, *_ in corpus())
+    fitted = lm.fit_classes(stats)
+    gap, seen = lm._sum_gaps(stats, fitted)
+    start, _ = lm._sum_gaps(stats, lm.fit_classes(stats, rounds=0))
+    assert seen[: lm.ROWS1].sum() == v.total and np.abs(gap).sum() < np.abs(start).sum()
+
+
+def _word_shares(rows, held):
+    """Shares of (u, v, w) and their normaliser from plain counts, where no word is rare: two levels of discounted counts."""
+    first, second = Counter(), Counter()
+    kinds = ({}, {})
+    for d, t in rows:
+        if not held(d):
+            w = ["<s>", "<s>", *t.split(), None]
+            for u, v, x in zip(w, w[1:], w[2:]):
+                first[v, x] += 1
+                second[u, v, x] += 1
+    for (v, x), n in first.items():
+        kinds[0].setdefault(v, {})[x] = n
+    for (u, v, x), n in second.items():
+        kinds[1].setdefault((u, v), {})[x] = n
+    return kinds
+
+
+def test_language_model_scores_equal_brute_force(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"t{k}" for k in r.zipf(1.5, 40) % 30)) for i in range(60)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    v, weights, _ = lm.train(df.filter("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 1").selectExpr("CAST(text AS BINARY) AS text"))
+    hashes = lambda t: lm.tokens(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))
+    by_word = {x: v.find(hashes(x)[0])[0] for _, t in rows for x in t.split()}
+    by_word[None] = v.find(hashes("t1")[0])[1]
+    known = {w: i for w, i in by_word.items() if i >= 0}
+    kinds = _word_shares(rows, held)
+    got = {x["doc_id"]: x["score"] for x in language_model_scores(df).collect()}
+    compared = 0
+
+    def level(counts, c, w, below):
+        mine = {x: n for x, n in counts.items() if v.outcome[known[x]] == c}
+        total = sum(mine.values())
+        return below if not total else (max(mine.get(w, 0) - lm.DISCOUNT, 0) + lm.DISCOUNT * len(mine) * below) / total
+
+    for d, t in rows:
+        if all(x in known for x in t.split()):
+            buf = np.frombuffer(t.encode(), dtype=np.uint8)
+            p = lm.positions(*lm.tokens(buf, np.array([0, len(buf)])), v)
+            score = 0.0
+            for i, (one, two, c) in enumerate(zip(p.one, p.two, p.outcome)):
+                x = weights.bias + sum(weights.classes[k] for k in lm.class_rows(np.array([one]), np.array([two]))[:, 0])
+                score += (x[c] - np.log(np.exp(x).sum())) / np.log(10)
+                u, prev, w = ["<s>", "<s>", *t.split(), None][i : i + 3]
+                share = level(kinds[0].get(prev, {}), c, w, v.share[known[w]])
+                score += math.log10(level(kinds[1].get((u, prev), {}), c, w, share))
+            assert got[d] == pytest.approx(score, rel=1e-5)
+            compared += 1
+    assert compared > 40
+    for c in set(v.outcome):
+        members = [w for w, i in known.items() if v.outcome[i] == c]
+        low = {w: level(kinds[0].get("t1", {}), c, w, v.share[known[w]]) for w in members}
+        assert sum(level(kinds[1].get(("t2", "t1"), {}), c, w, low[w]) for w in members) == pytest.approx(1.0)
+
+
+def test_language_model_splits_hot_contexts_and_tells_copies_apart(spark):
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"q{k}" for k in r.integers(0, 400, 60)) for _ in range(300)]
+    rows = [(i, texts[i % 250]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    twice = lambda i: sum(zlib.crc32(str(j).encode()) % 5 != 1 for j, t in rows if t == rows[i][1]) == 2
+    out = {x["doc_id"]: x["score"] for x in language_model_scores(df).collect()}
+    high = sorted(out, key=out.get)[-sum(map(twice, out)) :]
+    assert sum(map(twice, high)) >= 0.9 * len(high)
+    v, _, _ = lm.train(df.selectExpr("CAST(text AS BINARY) AS text"))
+    h, rare, first = lm.tokens(np.tile(np.frombuffer(b"q1 q2 ", dtype=np.uint8), 50), np.arange(0, 306, 6))
+    p = lm.positions(h, rare, first, v)
+    whole, cut = (lm.grams(h, first, p, np.zeros(50, dtype=bool), v, 7, split) for split in (1 << 30, 5))
+    assert len(set(whole.key)) < len(set(cut.key))
 
 
 def test_mixing_keeps_every_document_and_meets_the_limits(docs):
