@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,8 +57,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark's cleaner drops them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what refers to a shuffle may itself go only in the first turn
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
