@@ -15,10 +15,11 @@ window that also starts elsewhere go.
    twice or more; windows whose run reaches ``WINDOW`` words repeat.
 4. Repeated windows go back to their documents as intervals.
 
-Shards are as many as the text to be indexed needs, so an index's size is
-bounded by ``SHARD_WORDS`` and the distinct segments of one anchor; equal
-segments are counted, not gathered.  Words, anchors and segments are compared
-by 64-bit hashes.
+Shards are as many as the text to be indexed needs: ``SHARD_WORDS`` each on
+average.  An anchor with more words than that is not one shard: its windows go
+one by one to shards by the hash of all their words, so equal windows still
+meet.  Equal segments are counted, not gathered.  Words, anchors and segments
+are compared by 64-bit hashes.
 
 Defined results: a null or empty text has 0 words and the hash of the empty
 text; a document of fewer than ``WINDOW`` words loses nothing; in copies and
@@ -170,8 +171,8 @@ class FMIndex:
 
 def _indexed(window: int):
     def run(t: pa.Table) -> pa.Table:
-        """Repeated windows of a shard's segments (seg, times, words): (seg, first window, last window)."""
-        seg, times = t.column("seg").to_numpy(), t.column("times").to_numpy()
+        """Repeated windows of a shard's segments (seg, off, times, words): (seg, first window, last window)."""
+        seg, off, times = (t.column(c).to_numpy() for c in ("seg", "off", "times"))
         words = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("words")]
         size = np.array([len(x) for x in words])
         begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
@@ -192,8 +193,9 @@ def _indexed(window: int):
         new = np.ones(len(hit), dtype=bool)
         new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
         a = np.flatnonzero(new)
-        z = np.append(a[1:], len(hit)) - 1
-        return pa.table({"seg": seg[owner[hit[a]]] if len(a) else np.empty(0, dtype=np.int64), "lo": window_no[hit[a]] if len(a) else np.empty(0, dtype=np.int64), "hi": window_no[hit[z]] if len(a) else np.empty(0, dtype=np.int64)})
+        z = np.append(a[1:], len(hit))[: len(a)] - 1
+        of = owner[hit[a]]
+        return pa.table({"seg": seg[of], "lo": off[of] + window_no[hit[a]], "hi": off[of] + window_no[hit[z]]})
 
     return run
 
@@ -214,15 +216,28 @@ def _unpack(size: pa.Scalar, data: pa.Scalar) -> bytes:
     return pa.Codec("zstd").decompress(data.as_py(), size.as_py(), asbytes=True)
 
 
-def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the wanted segments of each document."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            raw = np.frombuffer(_unpack(batch.column("size")[i], batch.column("data")[i]), dtype=np.uint8)
-            h = words_of(raw, np.array([0, len(raw)]), lower=False).hash
-            want = batch.column("want")[i].as_py()
-            data = [h[x["at"] : x["at"] + x["words"]].tobytes() for x in want]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in want], type=pa.int64()) for k in ("shard", "seg", "times")] + [pa.array(data, type=pa.binary())], names=["shard", "seg", "times", "words"])
+def _fetched(window: int, hot_shards: int):
+    """Words of the wanted segments of each document: (shard, seg, off, times, words); of a hot anchor, window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(_unpack(batch.column("size")[i], batch.column("data")[i]), dtype=np.uint8)
+                h = words_of(raw, np.array([0, len(raw)]), lower=False).hash
+                rows: list[tuple] = []
+                for x in batch.column("want")[i].as_py():
+                    mine = h[x["at"] : x["at"] + x["words"]]
+                    if x["shard"] >= 0:
+                        rows.append((x["shard"], x["seg"], 0, x["times"], mine.tobytes()))
+                    else:
+                        at = np.arange(len(mine) - window + 1)
+                        shard = -1 - (span_hashes(mine, at, at + window, salt=5) % np.uint64(hot_shards)).astype(np.int64)
+                        rows += [(int(k), x["seg"], o, x["times"], mine[o : o + window].tobytes()) for o, k in enumerate(shard)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                columns = zip(*rows, strict=True) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "seg", "off", "times", "words"])
+
+    return run
 
 
 def _cut(window: int):
@@ -249,7 +264,7 @@ def _cut(window: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_intervals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(key, gone): word intervals lo:hi of each document that repeated windows cover; key is the hash of id and text."""
     keyed = docs.select(_key(id_col, text), utf8(text).alias("text"))
     found = materialise(keyed.mapInArrow(_segmented(window, anchor), "key bigint, at array<int>, n array<int>, anchor array<bigint>, seg array<bigint>"), "segments")
@@ -260,25 +275,31 @@ def repeated_intervals(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     discard(found)
     kinds = some.filter("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("key", "at", "n")).alias("x"))
     kinds = materialise(kinds.select("anchor", "seg", "times", "x.key", "x.at", (F.col("x.n") + window - 1).alias("words")), "kinds")
-    volume = kinds.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    shards = max(1, -(-volume // SHARD_WORDS))
-    want = kinds.groupBy("key").agg(F.collect_list(F.struct(F.pmod("anchor", F.lit(shards)).alias("shard"), "seg", "times", "at", "words")).alias("want"))
+    by_anchor = kinds.groupBy("anchor").agg(F.sum("words").alias("volume"), (F.sum(F.col("words") - window + 1) * window).alias("by_window"))
+    hot = F.col("volume") > shard_words
+    volume = by_anchor.agg(F.coalesce(F.sum(F.when(~hot, F.col("volume"))), F.lit(0)), F.coalesce(F.sum(F.when(hot, F.col("by_window"))), F.lit(0))).first()
+    shards, hot_shards = (max(1, -(-v // shard_words)) for v in volume)
+    shard = F.pmod("anchor", F.lit(shards))
+    if volume[1]:  # not more anchors than volume / shard_words
+        kinds = kinds.join(by_anchor.filter(hot).select("anchor", F.lit(True).alias("hot")), "anchor", "left")
+        shard = F.when(F.col("hot"), F.lit(-1)).otherwise(shard)
+    want = kinds.groupBy("key").agg(F.collect_list(F.struct(shard.alias("shard"), "seg", "times", "at", "words")).alias("want"))
     texts = keyed.mapInArrow(_packed, "key bigint, size bigint, data binary")
-    words = texts.join(want, "key").mapInArrow(_fetched, "shard bigint, seg bigint, times bigint, words binary")
-    hits = words.dropDuplicates(["shard", "seg"]).groupBy("shard").applyInArrow(_indexed(window), "seg bigint, lo bigint, hi bigint")
+    words = texts.join(want, "key").mapInArrow(_fetched(window, hot_shards), "shard bigint, seg bigint, off bigint, times bigint, words binary")
+    hits = words.dropDuplicates(["shard", "seg", "off"]).groupBy("shard").applyInArrow(_indexed(window), "seg bigint, lo bigint, hi bigint")
     hits = materialise(hits, "repeated-windows")
     whole = some.filter("not mixed").select("key", F.col("at").alias("lo"), (F.col("at") + F.col("n") + window - 1).alias("hi"))
     part = some.filter("mixed").join(hits, "seg").select("key", (F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi") + window).cast("int").alias("hi"))
-    return whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    return whole.unionByName(part).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))  # each interval once, however often a row repeats
 
 
 def _key(id_col: str, text: str):
     return F.xxhash64(F.col(id_col), F.col(text)).alias("key")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 for every row of ``docs``."""
-    gone = materialise(repeated_intervals(docs, text, id_col, window), "intervals")
+    gone = materialise(repeated_intervals(docs, text, id_col, window, shard_words=shard_words), "intervals")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(_key(id_col, text), F.col(id_col).alias("id"), utf8(text).alias("text")).mapInArrow(_packed, f"key bigint, id {kind}, size bigint, data binary")
     out = texts.join(gone, "key", "left").select("id", "size", "data", "gone").mapInArrow(_cut(window), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
