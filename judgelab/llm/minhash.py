@@ -68,7 +68,7 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, offsets in text_chunks(batch.column(1)):
+        for lo, hi, buf, offsets in text_chunks(batch.column(2)):
             w = words_of(buf, offsets, lower=True)
             n_docs, first = hi - lo, w.first
             sizes = np.zeros(n_docs, dtype=np.int64)
@@ -81,8 +81,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = sizes > 0
             bands = band_hashes(sigs[some])
             lengths = np.where(some, BANDS, 0)
-            columns = [batch.column(0).slice(lo, n_docs), pa.array(sizes), pa.array(cid.view(np.int64)), list_rows(bands.reshape(-1).view(np.int64), lengths, pa.int64()), binary_rows((sigs & np.uint32(0xFFFF)).astype(np.uint16))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cid", "bands", "sig"])
+            columns = [batch.column(0).slice(lo, n_docs), batch.column(1).slice(lo, n_docs), pa.array(sizes), pa.array(cid.view(np.int64)), list_rows(bands.reshape(-1).view(np.int64), lengths, pa.int64()), binary_rows((sigs & np.uint32(0xFFFF)).astype(np.uint16))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "n", "cid", "bands", "sig"])
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -251,18 +251,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", part: tuple[int, int] = (75, 100), miss: float = 1e-7) -> DataFrame:
     """id, n_shingles, component_id, kept for every row; linked if intersection / union >= part[0] / part[1]."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), utf8(text).alias("text"))
-    sigs = materialise(source.mapInArrow(_signed, f"id {id_type}, n bigint, cid bigint, bands array<bigint>, sig binary"), "signatures")
+    source = docs.select(F.col(id_col).alias("id"), utf8(text).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
+    sigs = materialise(source.mapInArrow(_signed, f"id {id_type}, th bigint, n bigint, cid bigint, bands array<bigint>, sig binary"), "signatures")
     some = sigs.filter("n > 0")
-    classes = materialise(some.groupBy("cid").agg(F.min("id").alias("label")), "classes")
+    # One row a class: a row that stands for it (its id, if any has one, and its text's hash), set size and signature.
+    classes = some.groupBy("cid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("x"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = materialise(classes.select("cid", F.col("x.id").alias("label"), "x.th", "n", "sig"), "classes")
     banded = some.select("cid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("band")
     members = materialise(banded.join(shared, "band", "left_semi").distinct(), "members")
-    rep = some.join(classes, (some.cid == classes.cid) & some.id.eqNullSafe(classes.label)).select(some.cid, "n", "sig")
+    rep, classes = classes.select("cid", "n", "sig"), classes.select("cid", "label", "th")
     needed = least_matches(part[0] / part[1], miss)
 
-    nodes = members.select("cid").distinct().join(classes, "cid")
-    texts = materialise(source.join(nodes, source.id.eqNullSafe(nodes.label)).select("cid", "text").mapInArrow(_with_cid, "cid bigint, text binary").dropDuplicates(["cid"]), "texts")
+    nodes = members.select("cid").distinct().join(classes, "cid").select("cid", "label", F.col("th").alias("h"))
+    mine = source.join(nodes, (source.th == nodes.h) & source.id.eqNullSafe(nodes.label)).select("cid", "text")
+    texts = materialise(mine.mapInArrow(_with_cid, "cid bigint, text binary").dropDuplicates(["cid"]), "texts")
+    classes = classes.select("cid", "label")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = rep.toDF("a", "n1", "s1"), rep.toDF("b", "n2", "s2")
