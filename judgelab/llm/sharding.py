@@ -1,8 +1,10 @@
 """Sharding by sampled splitters (operator 9).
 
-1. Draw a sample of record keys with probability proportional to record size.
+1. Draw a sample of record keys, half of it with probability proportional to
+   record size and half evenly, so that many short records are cut as well.
 2. Its quantiles are the splitters; every record falls into one of many ranges.
-3. Ranges that came out overfull are subdivided.
+3. Ranges that came out overfull are subdivided: rows alike in id and text, if
+   they alone overfill a range, are dealt out by number; the rest is cut evenly.
 4. Exact sizes of the (sub)ranges give every record its exact byte offset in
    key order; a shard is an equal share of the bytes.
 
@@ -27,9 +29,9 @@ _KEY = ("__k1", "__k2")
 
 
 def _splitters(keyed: DataFrame, ranges: int, sample_rows: int, seed: int) -> list[tuple[int, int]]:
-    """Quantiles of a sample in which a record lies with a probability of sample_rows * size / total."""
-    total = keyed.agg(F.sum("__size")).first()[0]
-    chance = F.col("__size") * (sample_rows / max(total or 1, 1))
+    """Quantiles of a sample in which a record lies with a probability of sample_rows * (size / total + 1 / rows) / 2."""
+    total, rows = keyed.agg(F.sum("__size"), F.count("*")).first()
+    chance = F.col("__size") * (sample_rows / 2 / max(total or 1, 1)) + sample_rows / 2 / max(rows, 1)
     sample = sorted((r[0], r[1]) for r in keyed.filter(F.rand(seed) < chance).select(*_KEY).collect())
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
@@ -62,19 +64,25 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", id_col: str =
     ranged = raw.withColumn("__r", _range_of(cuts))
     found = ranged.groupBy("__r").agg(F.sum("__size").alias("b"), F.count("*").alias("n"), *[f(k).alias(f"{name}{k}") for k in _KEY for name, f in (("lo", F.min), ("hi", F.max))]).collect()  # at most `ranges` rows
     total, count = sum(r["b"] for r in found), sum(r["n"] for r in found)
-    over, salted = [], False
+    full = [r["__r"] for r in found if r["b"] * ranges > 2 * total or r["n"] * ranges > 2 * count]
+    # Each takes more than a range's share, so they are at most twice as many as ranges.
+    alike = ranged.filter(F.col("__r").isin(full)).groupBy("__r", *_KEY).agg(F.sum("__size").alias("b"), F.count("*").alias("n")).filter(F.col("n") > 1).filter((F.col("b") * ranges > total) | (F.col("n") * ranges > count)).collect() if full else []
+    parts = lambda b, n: max(-(-b * ranges // max(total, 1)), -(-n * ranges // max(count, 1)))
+    over = []
     for r in found:
-        parts = max(-(-r["b"] * ranges // max(total, 1)), -(-r["n"] * ranges // max(count, 1)))
-        if parts > 2:  # cut the overfull range evenly between its first and last key
+        hot = [x for x in alike if x["__r"] == r["__r"]]
+        rest = parts(r["b"] - sum(x["b"] for x in hot), r["n"] - sum(x["n"] for x in hot))
+        used = 1
+        if rest > 2:  # cut evenly between the first and last key
             k = next((k for k in _KEY if r[f"lo{k}"] != r[f"hi{k}"]), None)
             if k:
                 lo, hi = float(r[f"lo{k}"]), float(r[f"hi{k}"])
-                at = F.least(F.floor((F.col(k).cast("double") - lo) / (hi - lo) * parts), F.lit(parts - 1))
-            else:  # one id and text: the rows are alike, and are dealt out by a number that is written down first
-                at = F.pmod("__salt", F.lit(parts))
-                salted = salted or r["n"] > 1
-            over.append((F.col("__r") == r["__r"], at.cast("int")))
-    if salted:
+                over.append((F.col("__r") == r["__r"], F.least(F.floor((F.col(k).cast("double") - lo) / (hi - lo) * rest), F.lit(rest - 1)).cast("int")))
+                used = rest
+        for x in hot:  # by a number that is written down first
+            over.append(((F.col("__r") == r["__r"]) & (F.col(_KEY[0]) == x[_KEY[0]]) & (F.col(_KEY[1]) == x[_KEY[1]]), (F.pmod("__salt", F.lit(parts(x["b"], x["n"]))) + used).cast("int")))
+            used += parts(x["b"], x["n"])
+    if alike:
         raw = materialise(raw.withColumn("__salt", F.monotonically_increasing_id()), "sharding-rows")
         ranged = raw.withColumn("__r", _range_of(cuts))
     else:
@@ -85,7 +93,7 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", id_col: str =
     cut = ranged.withColumn("__s", sub)
     sizes = cut.groupBy("__r", "__s").agg(F.sum("__size").alias("b"), F.count("*").alias("n"))
     before = Window.orderBy("__r", "__s").rowsBetween(Window.unboundedPreceding, -1)
-    # At most three rows for every range, a number fixed by the parameters: safe to broadcast.
+    # A few rows for every range, a number fixed by the parameters: safe to broadcast.
     offsets = sizes.select("__r", "__s", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"))
     inside = Window.partitionBy("__r", "__s").orderBy("__k1", "__k2", "__size")
     ended = F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
