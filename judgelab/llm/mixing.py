@@ -7,13 +7,17 @@ limit.  A source then gets ``weight * budget`` tokens: whole passes over its
 documents and one partial pass.  A pass is a permutation of the source's
 blocks (hash buckets of documents), each block a permutation of its documents;
 the partial pass takes blocks in that order and cuts one of them at the budget.
+There are as many blocks as it takes for ``block_rows`` rows each, so the block
+that is cut doesn't grow with the data.
 
 Tokens of a document: its words and one end.  Without a budget, the smallest
 one is used that gives every source a whole pass, so no document is lost.
 
 Defined results: a null source is a source of its own; a null or empty text has
-one token; repeated rows are separate documents; an empty table gives an empty
-result.  Nothing but sums of the source table reaches the driver.
+one token; repeated rows are separate documents; rows of one id and different
+texts lie in blocks of their own, in a fixed order; an empty table gives an
+empty result; added columns replace clashing ones.  Nothing but sums of the
+source table reaches the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from judgelab.llm.common import WORD, materialise, table
 
 _NONE = "\u0000"
+_MADE = {f"__{c}" for c in "src b tokens row weight epoch block order left sofar".split()}
 
 
 @dataclass(frozen=True)
@@ -87,15 +92,17 @@ def plan_mix(totals: DataFrame, target_entropy: float, max_repetition: float, bu
     return MixPlan(a, f["h"], float(budget_tokens or t / f["least"]), reps(f))
 
 
-def mix(docs: DataFrame, target_entropy: float = 0.95, max_repetition: float = 4.0, budget_tokens: int | None = None, text: str = "text", source: str = "source", id_col: str = "doc_id", blocks: int = 1024, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, target_entropy: float = 0.95, max_repetition: float = 4.0, budget_tokens: int | None = None, text: str = "text", source: str = "source", id_col: str = "doc_id", block_rows: int = 4096, seed: int = 1) -> DataFrame:
     """Rows of ``docs``, once for every pass that takes them, with __tokens, __weight, __epoch, __block, __order."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*names, _source(source).alias("__src"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int").alias("__b"), _tokens(text).alias("__tokens"))
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in _MADE]
+    blocks = max(64, -(-docs.count() // block_rows))
+    row = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
+    keyed = docs.select(*names, _source(source).alias("__src"), F.pmod(row, F.lit(blocks)).cast("int").alias("__b"), _tokens(text).alias("__tokens"), row.alias("__row"))
     stats = materialise(keyed.groupBy("__src", "__b").agg(F.sum("__tokens").alias("t")), "mix-blocks")
     totals = materialise(stats.groupBy(F.col("__src").alias("src")).agg(F.sum("t").alias("t")), "mix-sources")
     if totals.isEmpty():
         extra = {"__weight": "double", "__epoch": "int", "__block": "int", "__order": "long"}
-        return keyed.select("*", *[F.lit(None).cast(k).alias(c) for c, k in extra.items()]).drop("__src", "__b")
+        return keyed.select("*", *[F.lit(None).cast(k).alias(c) for c, k in extra.items()]).drop("__src", "__b", "__row")
     plan = plan_mix(totals, target_entropy, max_repetition, budget_tokens)
     powers = F.pow(F.col("t") / F.lit(float(totals.agg(F.sum("t")).first()[0])), F.lit(plan.exponent))
     z = totals.agg(F.sum(powers)).first()[0]
@@ -107,10 +114,10 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, max_repetition: float = 4
     left = F.col("__rest") - (F.col("__upto") - F.col("t"))
     laid = laid.select("__src", "__b", "__weight", "__epoch", "__block", F.when(F.col("__epoch") < F.col("__full"), F.lit(None).cast("long")).when(left >= F.col("t"), F.lit(None).cast("long")).otherwise(left).alias("__left"))
     laid = materialise(laid.filter(F.col("__left").isNull() | (F.col("__left") > 0)), "mix-plan")
-    key = F.xxhash64(F.lit(seed + 1), "__epoch", F.col(id_col))
+    key = F.xxhash64(F.lit(seed + 1), "__epoch", "__row")
     taken = keyed.join(laid.filter(F.col("__left").isNull()), ["__src", "__b"]).withColumn("__order", key)
     cut = keyed.join(laid.filter(F.col("__left").isNotNull()), ["__src", "__b"]).withColumn("__order", key)
-    inside = Window.partitionBy("__src", "__b").orderBy("__order", F.col(id_col))  # one block of a source
+    inside = Window.partitionBy("__src", "__b").orderBy("__order", "__row")  # one block of a source
     cut = cut.withColumn("__sofar", F.sum("__tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("__sofar") <= F.col("__left"))
     cols = [*names, "__tokens", "__weight", "__epoch", "__block", "__order"]
     return taken.select(*cols).unionByName(cut.select(*cols))
