@@ -14,7 +14,8 @@ Nothing but the text enters a score.  Words are compared by 64-bit hashes.
 Defined results: a null or empty text has all features 0 and gets the score of
 such a text; several labels of an id count as the largest; a null id or label
 is never learned from; without labels of both kinds every score is the share of
-toxic labels (0 without labels); repeated rows are scored one by one.
+toxic labels (0 without labels); repeated rows are scored one by one, but an id
+is learned from once, so the sample stays bounded.
 """
 
 from __future__ import annotations
@@ -218,8 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     chosen = usable.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(10))
     source = docs.select(F.col(id_col).alias("id"), utf8(text).alias("text"))
-    # At most sample_rows pairs of numbers: a fixed bound on what is broadcast.
-    rows = materialise(source.join(F.broadcast(chosen), "id").select("id", "text", "y", part.alias("part")), "toxicity-sample")
+    # At most sample_rows pairs of numbers: a fixed bound on what is broadcast.  Of rows with one id, the least text is learned from.
+    found = source.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = materialise(found.select("id", "text", "y", part.alias("part")), "toxicity-sample")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from judgelab.llm import lm
+from judgelab.llm import lm, minhash
+from judgelab.llm import toxicity as toxicity_module
 from judgelab.llm.decontamination import decontaminate
 from judgelab.llm.lm import language_model_scores
 from judgelab.llm.minhash import near_duplicates
@@ -17,7 +19,7 @@ from judgelab.llm.quality_classifier import quality_scores
 from judgelab.llm.quality_classifier import train as train_quality
 from judgelab.llm.quality_rules import quality_rules
 from judgelab.llm.sharding import shard
-from judgelab.llm.substring_dedup import without_repeats
+from judgelab.llm.substring_dedup import repeated_intervals, without_repeats
 from judgelab.llm.toxicity import toxicity
 from judgelab.llm.toxicity import train as train_toxicity
 from judgelab.llm.url_filters import propagate, url_filter
@@ -101,6 +103,56 @@ def test_substring_dedup_equals_brute_force(docs):
     assert Counter(tuple(r) for r in without_repeats(docs).collect()) == expected
 
 
+def _windows_gone(rows):
+    """Counter of (id, words, removed words, digest) by plain counts of windows."""
+    count = Counter(tuple(w[i : i + 35]) for w in (split(t) for _, t in rows) for i in range(len(w) - 34))
+    out = Counter()
+    for d, t in rows:
+        w = split(t)
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        out[d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()] += 1
+    return out
+
+
+def test_substring_dedup_of_many_equal_rows_and_null_ids(spark):
+    a, b = words(21, 80), words(22, 60)
+    rows = [(1, " ".join(a)), (2, " ".join(b + a[:50])), *[(3, " ".join(a[10:70] + b))] * 300, *[(None, " ".join(b))] * 300]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in without_repeats(df).collect()) == _windows_gone(rows)
+    assert max(len(r["gone"]) for r in repeated_intervals(df).collect()) <= 80
+
+
+def test_substring_dedup_splits_a_hot_anchor(spark):
+    line = words(23, 20)
+    rows = [(i, " ".join(words(100 + i, 40) + line + words(100 + i // 2, 40, 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for shard_words in (200_000, 500):
+        assert Counter(tuple(r) for r in without_repeats(df, shard_words=shard_words).collect()) == _windows_gone(rows)
+
+
+def _verified(monkeypatch, df):
+    """Rows of near_duplicates, and how many pairs were checked on full sets."""
+    seen = []
+
+    def record(x, name, write=minhash.materialise):
+        out = write(x, name)
+        if name == "likely":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", record)
+    return near_duplicates(df).collect(), sum(seen)
+
+
+def test_near_duplicates_of_many_equal_rows_and_null_ids(spark, monkeypatch):
+    base = words(31, 80)
+    near = [*base[:40], "other", *base[41:]]
+    rows = [*[(i, " ".join(base)) for i in range(500)], *[(1000 + i, " ".join(near)) for i in range(500)], *[(None, f"lone {i} " + " ".join(words(40 + i, 30))) for i in range(250)], *[(None, f"Lone {i} " + " ".join(words(40 + i, 30))) for i in range(250)]]
+    out, pairs = _verified(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert pairs == 1
+    assert Counter((r["component_id"], r["kept"]) for r in out) == {(0, True): 1, (0, False): 999, (None, True): 500}
+
+
 def test_quality_rules_count_as_brute_force(docs):
     out = {(r["doc_id"], r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["word_chars"], r["base_failed"]) for r in quality_rules(docs).collect()}
     expected = set()
@@ -240,6 +292,31 @@ def test_mixing_keeps_every_document_and_meets_the_limits(docs):
     assert sum(weights.values()) == pytest.approx(1.0)
 
 
+def test_mixing_takes_passes_as_planned_by_brute_force(spark):
+    """Weights by a plain search for the exponent; every whole pass has every row once, the partial one stays within a row of its budget."""
+    rows = [(i // 2, f"{'x ' * (i % 7)}{i % 3}", "abc"[min(2, i % 9)]) for i in range(900)] + [(7, "twice", "b")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__b", F.lit("clash"))
+    out = mix(df, target_entropy=0.98, max_repetition=5.0, block_rows=8).collect()
+    total = Counter()
+    for _, t, s in rows:
+        total[s] += len(split(t)) + 1
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    at = lambda a: {s: x**a / sum(y**a for y in share.values()) for s, x in share.items()}
+    h = lambda w: -sum(x * math.log(x) for x in w.values()) / math.log(3)
+    w = at(max(k / 4096 for k in range(4097) if h(at(k / 4096)) >= 0.98))
+    budget = sum(total.values()) / min(w[s] / share[s] for s in w)
+    by_pass = {}
+    for r in out:
+        assert r["__weight"] == pytest.approx(w[r["source"]], abs=1e-3)
+        by_pass.setdefault((r["source"], r["__epoch"]), Counter())[r["doc_id"], r["text"]] += 1
+    for s in total:
+        whole = Counter((d, t) for d, t, x in rows if x == s)
+        passes = [by_pass[k] for k in sorted(by_pass) if k[0] == s]
+        assert all(p == whole for p in passes[:-1]) and all(n <= whole[k] for k, n in passes[-1].items())
+        taken = sum(n * (len(split(k[1])) + 1) for p in passes for k, n in p.items())
+        assert abs(taken - w[s] * budget) <= 8 + 0.002 * budget
+
+
 def test_mixing_meets_a_target_entropy_and_budget(spark):
     rows = [(i, "x " * 10, "big" if i % 10 else "small") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -267,6 +344,18 @@ def test_shards_are_near_equal_with_gapless_slots(spark, docs):
     assert len(small) == len(corpus()) and {r["shard"] for r in small} <= set(range(24))
 
 
+@pytest.mark.parametrize("same_id", [True, False])
+def test_sharding_splits_a_key_with_half_of_all_rows(spark, same_id):
+    alike = spark.range(4000).selectExpr("5L AS doc_id" if same_id else "id AS doc_id", "'' AS text")
+    df = alike.unionByName(spark.range(4000).selectExpr("id + 10000 AS doc_id", "concat('t', id) AS text")).repartition(4)
+    out = shard(df, ranges_per_shard=4).collect()
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    mean = sum(size.values()) / 24
+    assert len(out) == 8000 and all(abs(x - mean) <= 13 for x in size.values())
+
+
 def test_sharding_subdivides_identical_rows(spark):
     df = spark.range(2000).selectExpr("5L AS doc_id", "'same' AS text")
     out = shard(df, ranges_per_shard=4).groupBy("shard").count().collect()
@@ -314,6 +403,15 @@ def test_toxicity_learns_from_labels(spark):
     assert {r["score"] for r in nothing} == {0.0}
 
 
+def test_toxicity_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
+    rows = [(i % 20, f"text {i} " + " ".join(words(i, 10))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity_module, "materialise", lambda x, name, write=toxicity_module.materialise: seen.append(write(x, name)) or seen[-1])
+    train_toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    assert seen[0].count() == seen[0].select("id").distinct().count() <= 20
+
+
 def test_quality_classifier_separates_junk(spark):
     good = [(i, " ".join(w + " the of" if k % 4 == 0 else w for k, w in enumerate(words(i, 80))).replace("w", "wa").replace("1", "n").replace("2", "m").replace("3", "o")) for i in range(200)]
     junk = [(1000 + i, "&&& ### $$$ " * 30) for i in range(20)] + [(2000 + i, "spam " * 80) for i in range(20)]
