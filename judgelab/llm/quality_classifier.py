@@ -4,11 +4,15 @@
 2. Documents are counted by vote pattern (at most 3 ** labellers patterns), and
    expectation-maximisation on the counts estimates each labeller's accuracy
    and the posterior of each pattern.
-3. A linear scorer on hashed words and hashed figures learns the posteriors:
-   in each round every partition runs over its documents from the common
-   weights, and the results are averaged by documents.
+3. A linear scorer on hashed words and hashed figures learns the posteriors
+   from all documents: in each round partitions sum the gradient over their
+   documents and the driver takes one step of Adam, so the partitioning is of
+   no consequence but for rounding.
 4. Every text is scored; ``kept`` is score >= 0.5.
 
+Texts are read once: their votes and sparse features are written to a table,
+which the rounds and the scoring read.
+
 Defined results: a null or empty text has no words, is voted bad and scored
 like any other; repeated rows count as often as they occur; an empty table
 gives an empty result; other columns are not read.
@@ -17,16 +21,20 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgelab.llm.common import Words, mix, table, text_chunks, words_of
+from judgelab.llm.common import Words, list_rows, materialise, mix, table, text_chunks, words_of
 from judgelab.llm.quality_rules import STOP_WORDS
 
 DIMENSIONS = 1 << 14
+ROUNDS, RATE = 24, 0.3
+#: Documents that the labellers' prior accuracies weigh as much as, at any size of the input.
+PRIOR = 200.0
 FIGURES = ("words", "word_bytes", "symbols", "exclaimed", "capitals", "distinct", "adjacent", "stops", "letters", "line_words", "commonest")
 #: Labellers: figure, bad below, bad above, good from, good to (a vote only where the text is long enough).
 LABELLERS = (
@@ -98,91 +106,106 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     bad, good = (v == 1).sum(axis=1), (v == 2).sum(axis=1)
     p = (good + 1) / (good + 3 * bad + 2)  # start: one bad vote weighs more than a good one
     chance = np.empty((len(LABELLERS), 2, 3))
-    # A labeller is better than chance: a tenth of the documents' weight speaks for rare bad votes on good texts.
-    trust = np.array([[0.0, 0.05, 0.05], [0.0, 0.0005, 0.0995]])
+    # A labeller is better than chance: bad votes on good texts are thought to be rare.
+    trust = PRIOR * np.array([[0.0, 0.5, 0.5], [0.0, 0.005, 0.995]])
     for _ in range(rounds):
         both = np.stack([(1 - p) * weight, p * weight])
         prior = (both.sum(axis=1) + 1) / (weight.sum() + 2)
         for k in range(len(LABELLERS)):
             for c in (0, 1):
-                seen = np.bincount(v[:, k], both[c], 3) + 0.5 + trust[c] * weight.sum()
+                seen = np.bincount(v[:, k], both[c], 3) + 0.5 + trust[c]
                 chance[k, c] = np.append(1.0, seen[1:] / seen[1:].sum())  # no vote tells nothing
         logs = np.log(prior)[:, None] + sum(np.log(chance[k][:, v[:, k]]) for k in range(len(LABELLERS)))
         p = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
     return p, chance
 
 
-def _hashed(w: Words, x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of one document: words with damped counts, and binned figures."""
-    words, n = np.unique(w.hash[w.first[d] : w.first[d + 1]] % np.uint64(DIMENSIONS - 1024), return_counts=True)
-    value = np.log1p(n)
-    bins = np.minimum(np.floor(np.log2(1 + 64 * x[d])), 15).astype(np.uint64)
-    figure = mix(np.arange(len(FIGURES), dtype=np.uint64) * np.uint64(16) + bins) % np.uint64(1024) + np.uint64(DIMENSIONS - 1024)
-    index = np.concatenate((words, figure)).astype(np.int64)
-    return index, np.concatenate((0.5 * value / max(1e-9, np.sqrt((value**2).sum())), np.full(len(FIGURES), 0.5)))
+def hashed(w: Words, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of a run of documents (how many each, numbers, values): words with damped counts, and binned figures."""
+    docs, plain = len(x), np.uint64(DIMENSIONS - 1024)
+    kinds, n = np.unique(w.doc() * DIMENSIONS + (w.hash % plain).astype(np.int64), return_counts=True)
+    doc, value = kinds // DIMENSIONS, np.log1p(n)
+    value *= 0.5 / np.maximum(np.sqrt(np.bincount(doc, value**2, docs)), 1e-9)[doc]
+    bins = np.minimum(np.floor(np.log2(1 + 64 * x)), 15).astype(np.uint64)
+    figure = (mix(np.arange(len(FIGURES), dtype=np.uint64) * np.uint64(16) + bins) % np.uint64(1024) + plain).astype(np.int64)
+    owner = np.concatenate((doc, np.repeat(np.arange(docs), len(FIGURES))))
+    order = np.argsort(owner, kind="stable")
+    return np.bincount(owner, minlength=docs), np.concatenate((kinds % DIMENSIONS, figure.ravel()))[order], np.concatenate((value, np.full(figure.size, 0.5)))[order]
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, buf, offsets in text_chunks(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(figures(buf, offsets)[1])))], names=["pattern"])
+        for lo, hi, buf, offsets in text_chunks(batch.column(1)):
+            w, x = figures(buf, offsets)
+            lengths, index, value = hashed(w, x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pattern(votes(x))), list_rows(index.astype(np.int16), lengths, pa.int16()), list_rows(value.astype(np.float32), lengths, pa.float32())], names=["id", "pattern", "i", "v"])
+
+
+def vectors(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, pattern, i, v): votes and sparse features of every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return materialise(docs.select(F.col(id_col), F.col(text)).mapInArrow(_read, f"id {kind}, pattern bigint, i array<smallint>, v array<float>"), "quality-features")
+
 
+@dataclass
+class Model:
+    weights: np.ndarray  # the last is the bias
+    known: np.ndarray  # patterns found, sorted
+    posterior: np.ndarray  # of good, for each pattern
 
-def _learn(weights: np.ndarray, known: np.ndarray, posterior: np.ndarray, rate: float):
+
+def _margins(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Margin of every row of (..., i, v), and row, number and value of every feature."""
+    i, v = (batch.column(c) for c in ("i", "v"))
+    row = np.repeat(np.arange(batch.num_rows), i.value_lengths().to_numpy())
+    index, value = i.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy().astype(np.float64)
+    return weights[-1] + np.bincount(row, value * weights[index], batch.num_rows), row, index, value
+
+
+def _gradient(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = weights.copy(), 0
+        g, seen = np.zeros(DIMENSIONS + 1), 0
         for batch in batches:
-            for lo, hi, buf, offsets in text_chunks(batch.column(0)):
-                found, x = figures(buf, offsets)
-                goal = posterior[np.searchsorted(known, pattern(votes(x)))]
-                for d in range(hi - lo):
-                    i, value = _hashed(found, x, d)
-                    seen += 1
-                    error = goal[d] - 1 / (1 + np.exp(-(w[-1] + w[i] @ value)))
-                    np.add.at(w, i, rate * error * value)
-                    w[-1] += rate * error
+            m, row, index, value = _margins(batch, model.weights)
+            error = model.posterior[np.searchsorted(model.known, batch.column("pattern").to_numpy())] - 1 / (1 + np.exp(-m))
+            g[:-1] += np.bincount(index, value * error[row], DIMENSIONS)
+            g[-1] += error.sum()
+            seen += batch.num_rows
         if seen:
-            moved = np.flatnonzero(w != weights)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(moved, -1)), pa.array(np.append((w - weights)[moved] * seen, float(seen)))], names=["i", "v"])
+            some = np.flatnonzero(g)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(g[some])], names=["i", "g"])
 
     return run
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 2, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (the last is the bias), the patterns found and their posteriors."""
-    source = docs.select(F.col(text))
-    rows = source.mapInArrow(_vote, "pattern bigint").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
-    known = np.array([r[0] for r in rows], dtype=np.int64)
-    posterior, _ = expectation_maximisation(known, np.array([r[1] for r in rows])) if rows else (np.empty(0), None)
-    weights = np.zeros(DIMENSIONS + 1)
-    for r in range(rounds if rows else 0):
-        moved = source.mapInArrow(_learn(weights, known, posterior, rate / (1 + r)), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # at most DIMENSIONS + 2 rows
-        total = next(m["v"] for m in moved if m["i"] == -1)
-        for m in moved:
-            if m["i"] >= 0:
-                weights[m["i"]] += m["v"] / total
-    return weights, known, posterior
+def train(found: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """From :func:`vectors`."""
+    rows = found.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers at most
+    known, counts = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+    model = Model(np.zeros(DIMENSIONS + 1), known, expectation_maximisation(known, counts)[0] if rows else np.empty(0))
+    part = found.select("pattern", "i", "v").coalesce(2 * found.sparkSession.sparkContext.defaultParallelism)
+    first, second = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
+    for r in range(1, rounds + 1 if rows else 0):
+        g = np.zeros(DIMENSIONS + 1)
+        for x in part.mapInArrow(_gradient(model), "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():  # at most DIMENSIONS + 1 rows
+            g[x["i"]] = x["g"] / counts.sum()
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        model.weights += rate * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-6)
+    return model
 
 
-def quality_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, weak_label (posterior of the labellers), score, kept for every row."""
-    weights, known, posterior = model
+def quality_scores(found: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """id, weak_label (posterior of the labellers), score, kept for every row of :func:`vectors`."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in text_chunks(batch.column(1)):
-                found, x = figures(buf, offsets)
-                at = np.searchsorted(known, pattern(votes(x)))
-                s = np.empty(hi - lo)
-                for d in range(hi - lo):
-                    i, value = _hashed(found, x, d)
-                    s[d] = 1 / (1 + np.exp(-(weights[-1] + weights[i] @ value)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(posterior[at]), pa.array(s), pa.array(s >= 0.5)], names=[id_col, "weak_label", "score", "kept"])
+            s = 1 / (1 + np.exp(-_margins(batch, model.weights)[0]))
+            label = model.posterior[np.searchsorted(model.known, batch.column("pattern").to_numpy())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(label), pa.array(s), pa.array(s >= 0.5)], names=[id_col, "weak_label", "score", "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(scored, f"`{id_col}` {kind}, weak_label double, score double, kept boolean")
+    return found.mapInArrow(scored, f"`{id_col}` {found.schema['id'].dataType.simpleString()}, weak_label double, score double, kept boolean")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_scores(docs, train(docs))
+    found = vectors(table(spark, sf_dir, "documents"))
+    return quality_scores(found, train(found))
