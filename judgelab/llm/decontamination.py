@@ -7,10 +7,12 @@ template windows occur there and its slots are filled consistently: the same
 item value is always replaced by the same document value.  So re-parameterised
 copies of a question are caught as well as literal ones.
 
-Windows meet by their hashes.  An item of n windows that leaks shares at least
-one of its floor(n * (1 - part)) + 1 rarest windows, so only those look for
-candidates.  The benchmark goes round in blocks of bounded size, each of which
-all documents pass in turn; documents are never shuffled.
+Windows meet by their hashes in a join.  An item of n windows that leaks shares
+at least one of its floor(n * (1 - part)) + 1 rarest windows, so only those, the
+seeds, are joined.  A bit filter of the seeds, of one fixed size (``FILTER``
+bits), goes to all tasks, and only document windows that pass it reach the join;
+a large benchmark lets more of them pass, but none is lost.  Candidate pairs are
+then checked on their texts.  Equal texts are judged once, by a 64-bit hash.
 
 Defined results: a null text or one without words is clean; null, empty and
 repeated items are ignored, the ids of equal items are all reported; an item of
@@ -27,14 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from judgelab.llm.common import Words, byte_span_hashes, inside_doc, ngram_hashes, span_hashes, table, text_chunks, words_of
+from judgelab.llm.common import Words, byte_span_hashes, inside_doc, materialise, ngram_hashes, span_hashes, table, text_chunks, words_of
 
 WINDOW = 5
-#: Text of one benchmark block, in bytes.
-BLOCK_BYTES = 8 << 20
+FILTER = 1 << 26
+_PIECE = 1 << 16
+#: Rows of a key table that may be broadcast; a larger one is joined by shuffle.
+FEW = 100_000
 
 # Units of measure and of money.
 UNITS = (
@@ -101,56 +105,72 @@ def templates(buf: np.ndarray, offsets: np.ndarray) -> Template:
     return Template(word, raw, number | unit | name, first)
 
 
-def windows(t: Template) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window at every word, and whether it stays in its document."""
-    return ngram_hashes(t.word, WINDOW), inside_doc(t.first, WINDOW)
-
-
 @dataclass
 class Item:
-    ids: list
     word: np.ndarray
     raw: np.ndarray
     slot: np.ndarray
     hashes: np.ndarray
 
 
-@dataclass
-class Block:
-    items: list[Item]
-    seeds: np.ndarray  # sorted window hashes that look for candidates
-    owner: np.ndarray  # item of each seed
-    short: set[int]  # word counts of items below the window length
-
-
-def block_of(rows: list[tuple], part: tuple[int, int]) -> Block:
-    """Templates of a block's (id, text) rows, and the rarest windows of each."""
-    by_text: dict[bytes, list] = {}
-    for key, text in rows:
-        if key is not None and text:
-            by_text.setdefault(text.encode(), []).append(key)
-    items = []
-    for text, ids in by_text.items():
-        buf = np.frombuffer(text, dtype=np.uint8)
-        t = templates(buf, np.array([0, len(buf)]))
-        n = len(t.word)
-        if n:
-            hashes = ngram_hashes(t.word, WINDOW) if n >= WINDOW else span_hashes(t.word, np.array([0]), np.array([n]))
-            items.append(Item(ids, t.word, t.raw, t.slot, hashes))
-    every = np.concatenate([i.hashes for i in items]) if items else np.empty(0, dtype=np.uint64)
-    kinds, count = np.unique(every, return_counts=True)
-    seeds, owner = [], []
-    for k, i in enumerate(items):
-        h = np.unique(i.hashes)
-        rare = h[np.argsort(count[np.searchsorted(kinds, h)], kind="stable")]
-        # Repeats of a window count each, so a bound over positions holds for the distinct ones as well.
-        need = math.floor(len(i.hashes) * (part[1] - part[0]) / part[1]) + 1
-        seeds.append(rare[:need])
-        owner.append(np.full(min(need, len(rare)), k))
-    s = np.concatenate(seeds) if seeds else np.empty(0, dtype=np.uint64)
-    o = np.concatenate(owner) if owner else np.empty(0, dtype=np.int64)
-    order = np.argsort(s, kind="stable")
-    return Block(items, s[order], o[order], {len(i.word) for i in items if len(i.word) < WINDOW})
+def item_of(text: bytes) -> Item:
+    buf = np.frombuffer(text, dtype=np.uint8)
+    t = templates(buf, np.array([0, len(buf)]))
+    n = len(t.word)
+    whole = n >= WINDOW or not n
+    return Item(t.word, t.raw, t.slot, ngram_hashes(t.word, WINDOW) if whole else span_hashes(t.word, np.array([0]), np.array([n])))
+
+
+def _item_windows(part: tuple[int, int]):
+    """(item, words, need, hash): each distinct window of an item, and how many of them are to be seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = item_of(text)
+                h = np.unique(item.hashes)
+                # Repeats of a window count each, so a bound over positions holds for the distinct ones as well.
+                need = math.floor(len(item.hashes) * (part[1] - part[0]) / part[1]) + 1
+                rows = [np.full(len(h), x, dtype=d) for x, d in ((key, np.int64), (len(item.word), np.int32), (need, np.int32))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(h.view(np.int64))], names=["item", "words", "need", "hash"])
+
+    return run
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    bits = np.zeros(_PIECE, dtype=np.uint8)
+    bits[t.column("at").to_numpy()] = 1
+    return pa.table({"piece": t.column("piece")[:1], "bits": pa.array([np.packbits(bits).tobytes()], type=pa.binary())})
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """One flag for the last bits of a hash: FILTER / 8 bytes on the driver, whatever the number of hashes."""
+    at = F.col("hash").bitwiseAND(F.lit(FILTER - 1))
+    pieces = hashes.select(F.floor(at / _PIECE).cast("int").alias("piece"), (at % _PIECE).cast("int").alias("at")).distinct()
+    out = np.zeros(FILTER // 8, dtype=np.uint8)
+    for r in pieces.groupBy("piece").applyInArrow(_packed, "piece int, bits binary").collect():
+        out[r["piece"] * _PIECE // 8 : (r["piece"] + 1) * _PIECE // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _near(bits, lengths: list[int]):
+    """(text, hash) of the distinct windows of a document that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for lo, _, buf, offsets in text_chunks(batch.column(1)):
+                t = templates(buf, offsets)
+                for k in lengths:
+                    n = max(0, len(t.word) - k + 1)
+                    h, ok = (ngram_hashes(t.word, k) if k == WINDOW else span_hashes(t.word, np.arange(n), np.arange(n) + k)), inside_doc(t.first, k)
+                    low = (h & np.uint64(FILTER - 1)).astype(np.int64)
+                    near = np.flatnonzero(ok & (bits.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1 == 1)) if n else np.empty(0, dtype=np.int64)
+                    if len(near):
+                        pairs = np.unique(np.stack([np.searchsorted(t.first, near, side="right") - 1, h[near].view(np.int64)], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + pairs[:, 0]]), pa.array(pairs[:, 1])], names=["text", "hash"])
+
+    return run
 
 
 def _leaks(item: Item, t: Template, lo: int, hi: int, hashes: np.ndarray, part: tuple[int, int]) -> float:
@@ -177,63 +197,68 @@ def _leaks(item: Item, t: Template, lo: int, hi: int, hashes: np.ndarray, part:
     return len(found) / len(item.hashes)
 
 
-def _judge(block: Block, part: tuple[int, int], text_at: int):
-    def hits(t: Template, n_docs: int) -> list[tuple[int, int, float]]:
-        out: list[tuple[int, int, float]] = []
-        for k in sorted({WINDOW, *block.short}):
-            if k == WINDOW:
-                h, ok = windows(t)
-            else:
-                n = max(0, len(t.word) - k + 1)
-                h, ok = span_hashes(t.word, np.arange(n), np.arange(n) + k), inside_doc(t.first, k)
-            if not len(h) or not len(block.seeds):
-                continue
-            at = np.searchsorted(block.seeds, h)
-            near = np.flatnonzero(ok & (block.seeds[np.minimum(at, len(block.seeds) - 1)] == h))
-            last = np.searchsorted(block.seeds, h[near], side="right")
-            size = last - at[near]
-            item = block.owner[np.repeat(at[near] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(near) else np.empty(0, dtype=np.int64)
-            doc = np.repeat(np.searchsorted(t.first, near, side="right") - 1, size)
-            for d, i in np.unique(np.stack([doc, item], axis=1), axis=0) if len(doc) else ():
-                lo, hi = int(t.first[d]), int(t.first[d + 1])
-                if min(WINDOW, len(block.items[i].word)) == k:
-                    share = _leaks(block.items[i], t, lo, hi, h[lo : hi - k + 1], part)
-                    if share:
-                        out += [(int(d), key, share) for key in block.items[i].ids]
-        return out
+def share_of(item: Item, t: Template, part: tuple[int, int]) -> float:
+    """Share of the item found in the one document of ``t``, or 0 if it doesn't leak into it."""
+    k = min(WINDOW, len(item.word))
+    n = len(t.word) - k + 1
+    if not k or n <= 0:
+        return 0.0
+    h = ngram_hashes(t.word, k) if k == WINDOW else span_hashes(t.word, np.arange(n), np.arange(n) + k)
+    return _leaks(item, t, 0, len(t.word), h, part)
+
+
+def _checked(part: tuple[int, int]):
+    """(text, item, share) of the candidate pairs (text, item, item's text, document's text) that leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t = None, None
         for batch in batches:
-            for lo, hi, buf, offsets in text_chunks(batch.column(text_at)):
-                rows: list[list[dict]] = [x or [] for x in batch.column(batch.num_columns - 1).slice(lo, hi - lo).to_pylist()]
-                for d, key, share in hits(templates(buf, offsets), hi - lo):
-                    rows[d].append({"item_id": key, "share": share})
-                kind = batch.schema.field(batch.num_columns - 1).type
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], pa.array(rows, type=kind)], schema=batch.schema)
+            share = np.zeros(batch.num_rows)
+            for i, (key, item, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                if key != last:  # pairs of one text follow each other
+                    buf = np.frombuffer(raw.as_py(), dtype=np.uint8)
+                    last, t = key, templates(buf, np.array([0, len(buf)]))
+                share[i] = share_of(item_of(item), t, part)
+            some = pa.array(np.flatnonzero(share))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(share[share > 0])], names=["text", "item", "share"])
 
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def leaks(texts: DataFrame, items: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """(text, item, share) from (text, body) and (item, body), bodies in bytes: hashes of texts and of the items that leak into them."""
+    sc = texts.sparkSession.sparkContext
+    kinds = items.dropDuplicates(["item"])
+    windows = materialise(kinds.mapInArrow(_item_windows(part), "item bigint, words int, need int, hash bigint"), "item-windows")
+    rarity = windows.groupBy("hash").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("times", "hash"))  # one item's windows
+    seeds = materialise(windows.join(rarity, "hash").withColumn("place", place).filter("place <= need").select("hash", "item"), "seeds")
+    lengths = sorted({WINDOW, *(r[0] for r in windows.filter(f"words < {WINDOW}").select("words").distinct().collect())})
+    near = texts.mapInArrow(_near(sc.broadcast(bit_filter(seeds)), lengths), "text bigint, hash bigint")
+    pairs = materialise(near.join(seeds, "hash").select("text", "item").distinct(), "candidates")
+    wanted = texts.join(_few(pairs.select("text").distinct()), "text", "left_semi").dropDuplicates(["text"])
+    both = pairs.join(kinds.select("item", F.col("body").alias("a")), "item").join(wanted.select("text", F.col("body").alias("b")), "text")
+    return both.select("text", "item", "a", "b").mapInArrow(_checked(part), "text bigint, item bigint, share double")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", part: tuple[int, int] = (75, 100)) -> DataFrame:
     """All columns of ``docs``, ``leaks`` array<struct<item_id, share>> and ``contaminated`` boolean."""
-    names = [c for c in docs.columns if c not in ("leaks", "contaminated")]
+    names = [c for c in docs.columns if c not in ("leaks", "contaminated", "__text")]
     kind = benchmark.schema[item_id].dataType.simpleString()
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.array().cast(f"array<struct<item_id:{kind},share:double>>").alias("leaks"))
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    volume = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(volume / BLOCK_BYTES))
-    schema = out.schema
-    for b in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b) if blocks > 1 else items
-        block = docs.sparkSession.sparkContext.broadcast(block_of([tuple(r) for r in mine.collect()], part))
-        out = out.mapInArrow(_with(block, part, names.index(text)), schema)
+    given = benchmark.select(F.col(item_id).alias("i"), F.xxhash64(item_text).alias("item"), F.col(item_text).cast("binary").alias("body")).filter("i IS NOT NULL AND body IS NOT NULL AND body <> X''")
+    texts = docs.select(F.xxhash64(text).alias("text"), F.col(text).cast("binary").alias("body")).filter("body IS NOT NULL")
+    found = leaks(texts, given.select("item", "body"), part).join(given.select("i", "item"), "item")
+    by_text = materialise(found.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct(F.col("i").alias("item_id"), "share")).alias("__leaks")), "leaks")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__text"))
+    none = F.array().cast(f"array<struct<item_id:{kind},share:double>>")
+    out = keyed.join(_few(by_text), "__text", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("__leaks", none).alias("leaks"))
     return out.withColumn("contaminated", F.size("leaks") > 0)
 
 
-def _with(block, part: tuple[int, int], text_at: int):
-    return lambda batches: _judge(block.value, part, text_at)(batches)
-
-
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))

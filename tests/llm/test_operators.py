@@ -9,13 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from judgelab.llm import lm, minhash
+from judgelab.llm import decontamination, lm, minhash
+from judgelab.llm import quality_classifier as quality
 from judgelab.llm import toxicity as toxicity_module
 from judgelab.llm.decontamination import decontaminate
 from judgelab.llm.lm import language_model_scores
 from judgelab.llm.minhash import near_duplicates
 from judgelab.llm.mixing import mix
-from judgelab.llm.quality_classifier import quality_scores
+from judgelab.llm.quality_classifier import quality_scores, vectors
 from judgelab.llm.quality_classifier import train as train_quality
 from judgelab.llm.quality_rules import quality_rules
 from judgelab.llm.sharding import shard
@@ -416,10 +417,63 @@ def test_quality_classifier_separates_junk(spark):
     good = [(i, " ".join(w + " the of" if k % 4 == 0 else w for k, w in enumerate(words(i, 80))).replace("w", "wa").replace("1", "n").replace("2", "m").replace("3", "o")) for i in range(200)]
     junk = [(1000 + i, "&&& ### $$$ " * 30) for i in range(20)] + [(2000 + i, "spam " * 80) for i in range(20)]
     df = spark.createDataFrame([*good, *junk, (3000, None)], "doc_id long, text string")
-    out = {r["doc_id"]: r["kept"] for r in quality_scores(df, train_quality(df, rounds=12)).collect()}
+    found = vectors(df)
+    out = {r["doc_id"]: r["kept"] for r in quality_scores(found, train_quality(found)).collect()}
+    again = vectors(df.repartition(7, "text"))
+    model, other = train_quality(found), train_quality(again)
+    assert np.allclose(model.weights, other.weights, atol=1e-3) and np.allclose(model.posterior, other.posterior)
     assert sum(out[i] for i, _ in good) >= 195 and sum(out[i] for i, _ in junk) <= 2 and len(out) == 241
 
 
+def test_expectation_maximisation_equals_brute_force():
+    """The same estimates document by document, with plain loops over votes."""
+    r = np.random.default_rng(8)
+    labellers = len(quality.LABELLERS)
+    good = r.random(3000) < 0.7
+    v = np.where(r.random((3000, labellers)) < 0.3, 0, np.where(r.random((3000, labellers)) < 0.85, np.where(good, 2, 1)[:, None], np.where(good, 1, 2)[:, None]))
+    kinds, counts = np.unique(quality.pattern(v), return_counts=True)
+    posterior, chance = quality.expectation_maximisation(kinds, counts, rounds=12)
+    p = [(sum(x == 2) + 1) / (sum(x == 2) + 3 * sum(x == 1) + 2) for x in v]
+    for _ in range(12):
+        prior = {0: (sum(1 - q for q in p) + 1) / 3002, 1: (sum(p) + 1) / 3002}
+        table = {}
+        for k in range(labellers):
+            for c in (0, 1):
+                n = {x: 0.5 + quality.PRIOR * ((0.5, 0.5), (0.005, 0.995))[c][x - 1] for x in (1, 2)}
+                for q, row in zip(p, v):
+                    if row[k]:
+                        n[row[k]] += q if c else 1 - q
+                table[k, c] = {x: n[x] / (n[1] + n[2]) for x in n}
+        like = [[prior[c] * math.prod(table[k, c][row[k]] for k in range(labellers) if row[k]) for c in (0, 1)] for row in v]
+        p = [b / (a + b) for a, b in like]
+    assert np.allclose(posterior[np.searchsorted(kinds, quality.pattern(v))], p, atol=1e-9)
+    assert ((np.array(p) > 0.5) == good).mean() > 0.97 and all(chance[k, 1, 2] > chance[k, 0, 2] for k in range(labellers))
+
+
+def test_decontamination_finds_what_all_pairs_find(spark):
+    """Every document against every item, without seeds, filter or join."""
+    r = np.random.default_rng(9)
+    vocabulary = [*(f"word{k}" for k in range(40)), "Anna", "Berlin", "12", "7", "km", "minutes"]
+    line = lambda n: " ".join(vocabulary[k] for k in r.integers(0, len(vocabulary), n))
+    items = [(i, line(int(n))) for i, n in enumerate(r.integers(1, 25, 60))]
+    rows = []
+    for i in range(150):
+        k = items[int(r.integers(0, 60))][1].split()
+        for _ in range(int(r.integers(0, 3))):
+            k[int(r.integers(0, len(k)))] = vocabulary[int(r.integers(0, len(vocabulary)))]
+        rows.append((i, f"{line(20)} {' '.join(k)} {line(10)}"))
+    rows += [(500, None), (501, rows[3][1])]
+    part = (75, 100)
+    expected = set()
+    for d, t in rows:
+        if t:
+            buf = np.frombuffer(t.encode(), dtype=np.uint8)
+            seen = decontamination.templates(buf, np.array([0, len(buf)]))
+            expected |= {(d, i) for i, x in items if decontamination.share_of(decontamination.item_of(x.encode()), seen, part)}
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], y["item_id"]) for x in out for y in x["leaks"]} == expected and len(out) == len(rows) and len(expected) > 20
+
+
 def test_url_rules_and_spread(spark):
     page = lambda i, u, h="": (i, u, h)
     rows = [
@@ -457,7 +511,7 @@ def test_page_rank_equals_power_iteration(spark):
 
 def test_empty_tables(spark, empty):
     assert near_duplicates(empty).isEmpty() and without_repeats(empty).isEmpty() and quality_rules(empty).isEmpty() and language_model_scores(empty).isEmpty()
-    assert mix(empty).isEmpty() and shard(empty).isEmpty() and quality_scores(empty, train_quality(empty)).isEmpty()
+    assert mix(empty).isEmpty() and shard(empty).isEmpty() and quality_scores(vectors(empty), train_quality(vectors(empty))).isEmpty()
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity(empty, train_toxicity(empty, labels)).isEmpty()
     assert decontaminate(empty, spark.createDataFrame([], "item_id long, text string")).isEmpty()
