@@ -26,13 +26,22 @@ def coerce(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(extract_object(text), F.lit(""))))
 
 
-def flatten(df: DataFrame, ids: list[str], json_col: str, depth: int = 5) -> DataFrame:
+def nesting(df: DataFrame, json_col: str) -> int:
+    """The most containers within each other in any of the texts: one number from one pass."""
+    bare = F.regexp_replace(F.regexp_replace(json_col, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct((s["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("at"), F.greatest(s["most"], s["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
+    most = F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda s: s["most"])
+    return df.filter(F.try_parse_json(F.col(json_col)).isNotNull()).agg(F.max(most)).first()[0] or 0
+
+
+def flatten(df: DataFrame, ids: list[str], json_col: str, depth: int | None = None) -> DataFrame:
     """Long rows (ids, path, type, value): scalar leaves by dotted path, and list lengths as ``path#len``.
 
     Of a list, the first three elements are looked into.  ``value`` is the
-    leaf's JSON text; numbers print alike whether whole or not.  Leaves deeper
-    than ``depth`` containers aren't reported.
+    leaf's JSON text; numbers print alike whether whole or not.  All depths
+    are reported; ``depth``, where it is known, saves the pass that finds it.
     """
+    depth = nesting(df, json_col) if depth is None else depth
     keys = ", ".join(f"`{i}`" for i in ids)
     level = df.select(*ids, F.lit("").alias("__path"), F.try_parse_json(F.col(json_col)).alias("__v")).filter("__v IS NOT NULL")
     parts = []

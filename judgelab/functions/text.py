@@ -61,14 +61,26 @@ def keyword_coverage(keywords: Column, words: Column) -> Column:
 def f1_overlap(df: DataFrame, id_col: str, left: str, right: str, out: str = "f1") -> DataFrame:
     """(id, out): F1 of the two texts' word multisets; 0 if either has none.
 
-    Words are counted by id before they meet, so a long text is many rows of
-    one shuffle and never a quadratic expression.
+    Words become 63-bit hashes whose last bit tells the side; sorted together,
+    equal words follow each other and one pass counts what both have.  So a row
+    is never shuffled, and a long text costs no more than its sorting.
     """
-    sides = df.select(id_col, F.explode(F.concat(F.transform(tokens(left), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(tokens(right), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    counts = sides.groupBy(id_col, "x.t").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    sums = counts.groupBy(id_col).agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    f1 = F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(2 * F.col("both") / (F.col("na") + F.col("nb")))
-    return df.select(id_col).join(sums.select(id_col, f1.alias("__f1")), id_col, "left").select(id_col, F.coalesce("__f1", F.lit(0.0)).alias(out))
+    side = lambda words, bit: F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1) + bit)
+    both = let(F.struct(tokens(left).alias("a"), tokens(right).alias("b")), lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.sort_array(F.concat(side(x["a"], 0), side(x["b"], 1))).alias("w")))
+    state = lambda last, run, met: F.struct(last.alias("last"), run.alias("run"), met.alias("met"))
+    long = lambda x: F.lit(x).cast("long")
+
+    def step(s: Column, w: Column) -> Column:
+        """``run``: words of the left side that wait for a partner, among the equal ones so far."""
+        word, right_side, met = F.shiftright(w, 1), w.bitwiseAND(F.lit(1)) == 1, (F.shiftright(w, 1) == s["last"]) & (s["run"] > 0)
+        waiting = F.when(word == s["last"], s["run"]).otherwise(long(0))
+        return state(word, F.when(~right_side, waiting + 1).otherwise(F.greatest(waiting - 1, long(0))), s["met"] + F.when(right_side & met, long(1)).otherwise(long(0)))
+
+    def f1(x: Column) -> Column:
+        shared = F.aggregate(x["w"], state(long(0), long(0), long(0)), step, lambda s: s["met"])
+        return F.when((x["a"] == 0) | (x["b"] == 0) | x["a"].isNull() | x["b"].isNull() | (x["w"].isNull()), 0.0).otherwise(2 * shared / (x["a"] + x["b"]))
+
+    return df.select(id_col, let(both, f1).alias(out))
 
 
 def degrade(text: Column, quality: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from judgelab.functions.tables import running, written
+from judgelab.functions.text import tokens
 from judgelab.operators.stats import draw, ols, pearson
 
 
@@ -15,25 +17,22 @@ def verbosity_ols(df: DataFrame, score: str, length: str) -> DataFrame:
     return pts.agg(F.count("*").alias("n"), slope.alias("slope"), intercept.alias("intercept"), pearson(pts, "x", "y").alias("r"))
 
 
-def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n_permutations: int = 199, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n_permutations: int = 999, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """n, slope, p_value, significant: two-sided test of the slope.
 
     A permutation orders the scores by hashes of (seed, permutation, id); the
-    k-th of them meets the k-th length.  Permutations are independent groups,
-    one shuffle partition each at most.
+    k-th of them meets the k-th length by id.  Places are running counts over
+    ranges of (permutation, hash), so no task holds a permutation whole.
     """
-    from pyspark.sql import Window
-
-    pts = df.select(F.col(id_col).cast("string").alias("i"), F.col(length).cast("double").alias("x"), F.col(score).cast("double").alias("y")).dropna()
+    pts = written(df.select(F.col(id_col).cast("string").alias("i"), F.col(length).cast("double").alias("x"), F.col(score).cast("double").alias("y"), F.lit(1).alias("one")).dropna())
     slope = pts.agg(F.count("*").alias("n"), ols("x", "y")[0].alias("slope")).first()
     if slope["n"] < 3:
         raise ValueError("verbosity bias needs 3 scored items or more")
-    each = pts.select("i", "x", "y", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("p"))
-    by_id = Window.partitionBy("p").orderBy("i")
-    by_draw = Window.partitionBy("p").orderBy(draw(seed, F.col("p"), F.col("i")), "i")
-    placed = each.select("p", "x", "y", F.row_number().over(by_id).alias("a"), F.row_number().over(by_draw).alias("b"))
-    met = placed.select("p", F.col("a").alias("k"), "x").join(placed.select("p", F.col("b").alias("k"), "y"), ["p", "k"])
-    slopes = met.groupBy("p").agg(ols("x", "y")[0].alias("s"))
+    lengths = running(pts, [], ["i"], ["one"]).select(F.col("before_one").alias("k"), "x")
+    each = pts.select("i", "y", "one", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("p"))
+    each = written(each.select("p", "i", "y", "one", draw(seed, F.col("p"), F.col("i")).alias("d")))
+    scores = running(each, ["p"], ["d", "i"], ["one"]).select("p", F.col("before_one").alias("k"), "y")
+    slopes = scores.join(lengths, "k").groupBy("p").agg(ols("x", "y")[0].alias("s"))
     p = (F.count_if(F.abs("s") >= abs(slope["slope"]) - 1e-15) + 1) / F.lit(float(n_permutations + 1))
     return slopes.agg(F.lit(slope["n"]).cast("long").alias("n"), F.lit(slope["slope"]).alias("slope"), p.alias("p_value"), (p < alpha).alias("significant"))
 
@@ -59,3 +58,22 @@ def priority(labels: DataFrame, disagreement: DataFrame | None = None, weight_ga
 def next_round(labels: DataFrame, k: int = 10, **options) -> DataFrame:
     """The k items to label next: highest priority first, then by id (a top-k, not a full sort)."""
     return priority(labels, **options).orderBy(F.desc("priority"), "item_id").limit(k)
+
+
+def summarize_bias(labels: DataFrame, pairwise: DataFrame | None = None, n_permutations: int = 999) -> DataFrame:
+    """One row: position_bias_rate (null without pairwise verdicts), verbosity slope, r and p (null under three scored
+    items), self-preference counts.  ``labels`` has item_id, prompt, response_a, judge_score, judge_family, a_family,
+    b_family, preferred; an item's length is in words of response_a, or of the prompt where that is blank.
+    """
+    words = F.size(tokens(F.when(F.trim(F.coalesce("response_a", F.lit(""))) != "", F.col("response_a")).otherwise(F.coalesce("prompt", F.lit("")))))
+    scored = written(labels.select("item_id", "judge_score", words.alias("length")).filter("judge_score IS NOT NULL"))
+    out = self_preference(labels).withColumn("__k", F.lit(0))
+    if scored.count() >= 3:
+        tests = (verbosity_ols(scored, "judge_score", "length").select("slope", "r"), verbosity_permutation(scored, "item_id", "judge_score", "length", n_permutations).select("p_value", "significant"))
+        for t in tests:
+            out = out.join(t.withColumn("__k", F.lit(0)), "__k")
+    else:
+        out = out.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("slope", "double"), ("r", "double"), ("p_value", "double"), ("significant", "boolean"))])
+    rate = pairwise.agg(F.avg(F.col("position_bias").cast("double")).alias("position_bias_rate")) if pairwise is not None else labels.sparkSession.range(1).select(F.lit(None).cast("double").alias("position_bias_rate"))
+    out = out.join(rate.withColumn("__k", F.lit(0)), "__k")
+    return out.select("position_bias_rate", F.col("slope").alias("verbosity_slope"), F.col("r").alias("verbosity_r"), F.col("p_value").alias("verbosity_p"), "significant", "n_comparable", "n_flagged", "rate")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from judgelab.functions.jsonx import LENGTH, flatten
 
 
-def handoff_fields(steps: DataFrame, depth: int = 5) -> DataFrame:
+def handoff_fields(steps: DataFrame, depth: int | None = None) -> DataFrame:
     """One row a field of a seam: what became of it.
 
     ``steps`` has (chain_id, step_idx, name, input, output), JSON texts.  Seam i
@@ -34,7 +34,7 @@ def handoff_fields(steps: DataFrame, depth: int = 5) -> DataFrame:
     return looked.select(*seam, "path", "t1", "v1", "t2", "v2", F.when(F.col("__hit"), "recovered").otherwise(F.col("fate")).alias("fate"))
 
 
-def handoffs(steps: DataFrame, depth: int = 5) -> DataFrame:
+def handoffs(steps: DataFrame, depth: int | None = None) -> DataFrame:
     """(chain_id, seam, n_fields, counts by fate, fidelity) for every seam, also where nothing was handed over."""
     w = Window.partitionBy("chain_id").orderBy("step_idx")
     every = steps.select("chain_id", F.row_number().over(w).alias("seam"), F.lead("step_idx").over(w).alias("n")).filter("n IS NOT NULL").drop("n")

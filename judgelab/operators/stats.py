@@ -1,19 +1,19 @@
 """Agreement, rank and paired statistics: DataFrame in, one-row DataFrame out.
 
 Statistics work on value histograms: rows are counted by value first, so what
-is ranked is one row a distinct value.  Ranks over the distinct values are
-running sums within value buckets plus the buckets' offsets; no window spans
-the whole table.
+is ranked is one row a distinct value, written once.  Ranks over the distinct
+values are running sums within ranges of them plus the ranges' offsets; no
+window spans the whole table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from judgelab.functions.tables import running, written
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -29,7 +29,9 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def quadratic_weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Weights are squared distances of level numbers; 1 with one level or no expected disagreement."""
     pairs = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n"))
-    levels = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", F.row_number().over(Window.orderBy("v")).cast("double").alias("i"))  # one row a level
+    pairs = written(pairs)
+    levels = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("one", F.lit(1)))
+    levels = running(levels, [], ["v"], ["one"]).select("v", F.col("before_one").cast("double").alias("i"))
     numbered = pairs.join(levels.toDF("a", "i"), "a").join(levels.toDF("b", "j"), "b")
     i, j, n = F.col("i"), F.col("j"), F.col("n")
     s = numbered.agg(F.sum(n).cast("double").alias("t"), F.sum(n * (i - j) * (i - j)).alias("seen"), F.sum(n * i * i).alias("ii"), F.sum(n * j * j).alias("jj"), F.sum(n * i).alias("si"), F.sum(n * j).alias("sj"))
@@ -37,21 +39,17 @@ def quadratic_weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.filter("t > 0").select(F.when(expected <= 1e-12, 1.0).otherwise(1 - F.col("seen") / expected).alias("qwk"))
 
 
-def histogram(df: DataFrame, value: str, **sums: Column) -> DataFrame:
-    """One row a distinct value: value, n, before (rows of smaller value) and the named sums."""
-    counts = df.select(F.col(value).cast("double").alias("value"), *[c.alias(k) for k, c in sums.items()]).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in sums])
-    lo, hi = counts.agg(F.min("value"), F.max("value")).first()
-    width = (hi - lo) if lo is not None and hi > lo else 1.0
-    bucketed = counts.withColumn("bucket", F.least(F.floor((F.col("value") - F.lit(lo or 0.0)) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    totals = bucketed.groupBy("bucket").agg(F.sum("n").alias("b"))
-    offsets = totals.select("bucket", (F.sum("b").over(Window.orderBy("bucket")) - F.col("b")).alias("start"))  # BUCKETS rows
-    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("value")) - F.col("n")
-    return bucketed.withColumn("inside", inside).join(F.broadcast(offsets), "bucket").select("value", "n", *sums, (F.col("start") + F.col("inside")).alias("before"))
+def histogram(df: DataFrame, value: str, by: list[str] | None = None, weight: str | None = None, **sums: Column) -> DataFrame:
+    """One row a distinct value (of each ``by``): value, n, before (rows of smaller value) and the named sums, with ``before_<name>``."""
+    by = by or []
+    rows = df.select(*by, F.col(value).cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"), *[c.alias(k) for k, c in sums.items()]).filter("value IS NOT NULL")
+    counts = written(rows.groupBy(*by, "value").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums]))
+    return running(counts, by, ["value"], ["n", *sums]).withColumnRenamed("before_n", "before")
 
 
-def midranks(df: DataFrame, value: str) -> DataFrame:
+def midranks(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """(value, midrank): 1-based average ranks under ties."""
-    return histogram(df, value).select("value", (F.col("before") + (F.col("n") + 1) / 2).alias("midrank"))
+    return histogram(df, value, weight=weight).select("value", (F.col("before") + (F.col("n") + 1) / 2).alias("midrank"))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> Column:
@@ -60,9 +58,8 @@ def pearson(df: DataFrame, x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n"))
-    rows = pairs.select("x", "y", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    ranked = pairs.join(midranks(rows, "x").toDF("x", "rx"), "x").join(midranks(rows, "y").toDF("y", "ry"), "y")
+    pairs = written(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n")))
+    ranked = pairs.join(midranks(pairs, "x", "n").toDF("x", "rx"), "x").join(midranks(pairs, "y", "n").toDF("y", "ry"), "y")
     w, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
     s = ranked.agg(F.sum(w).cast("double").alias("t"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"), F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"))
     vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / F.col("t"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("t")
@@ -79,7 +76,7 @@ def within_tolerance(x: str, y: str, tolerance: float = 1.0) -> Column:
 
 def agreement_summary(df: DataFrame, judge: str, human: str) -> DataFrame:
     """n, spearman, mae, within_1, kappa on scores rounded half to even."""
-    pairs = df.select(F.col(judge).cast("double").alias("j"), F.col(human).cast("double").alias("h")).dropna()
+    pairs = written(df.select(F.col(judge).cast("double").alias("j"), F.col(human).cast("double").alias("h")).dropna())
     basic = pairs.agg(F.count("*").alias("n"), mean_absolute_error("j", "h").alias("mae"), within_tolerance("j", "h").alias("within_1"))
     whole = pairs.select(F.rint("j").cast("int").alias("j"), F.rint("h").cast("int").alias("h"))
     parts = [basic, spearman(pairs, "j", "h"), cohen_kappa(whole, "j", "h")]
@@ -102,63 +99,71 @@ def paired_effect(delta: str) -> Column:
 def cliffs_delta(df: DataFrame, side: str, value: str, x: str = "x", y: str = "y") -> DataFrame:
     """Mean sign of x - y over all pairs, from one histogram of both sides."""
     h = histogram(df, value, nx=(F.col(side) == x).cast("long"), ny=(F.col(side) == y).cast("long"))
-    lo = h.agg(F.min("value"), F.max("value")).first()
-    width = (lo[1] - lo[0]) if lo[0] is not None and lo[1] > lo[0] else 1.0
-    b = h.withColumn("bucket", F.least(F.floor((F.col("value") - F.lit(lo[0] or 0.0)) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    offsets = b.groupBy("bucket").agg(F.sum("ny").alias("s")).select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("start"))
-    below = F.col("start") + F.sum("ny").over(Window.partitionBy("bucket").orderBy("value")) - F.col("ny")
-    r = b.join(F.broadcast(offsets), "bucket").withColumn("below", below)
-    s = r.agg(F.sum("nx").alias("tx"), F.sum("ny").alias("ty"), F.sum(F.col("nx").cast("double") * (2 * F.col("below") + F.col("ny"))).alias("twice"))
+    s = h.agg(F.sum("nx").alias("tx"), F.sum("ny").alias("ty"), F.sum(F.col("nx").cast("double") * (2 * F.col("before_ny") + F.col("ny"))).alias("twice"))
     return s.filter("tx > 0 AND ty > 0").select(((F.col("twice") - F.col("tx").cast("double") * F.col("ty")) / (F.col("tx").cast("double") * F.col("ty"))).alias("cliffs_delta"))
 
 
-def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
-    """n, w_plus, variance (with ties) and z of the signed ranks of the non-zero deltas."""
-    used = df.select(F.col(delta).alias("d")).filter("d IS NOT NULL AND d <> 0").select(F.abs("d").alias("m"), (F.col("d") > 0).cast("long").alias("up"))
-    h = histogram(used, "m", up=F.col("up"))
-    n, rank = F.col("n").cast("double"), F.col("before") + (F.col("n") + 1) / 2
-    s = h.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * rank), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(n * n * n - n), F.lit(0.0)).alias("ties"))
-    t = F.col("n").cast("double")
-    s = s.select("n", "w_plus", (t * (t + 1) * (2 * t + 1) / 24 - F.col("ties") / 48).alias("variance"))
-    return s.select("*", ((F.col("w_plus") - t * (t + 1) / 4) / F.nullif(F.sqrt("variance"), F.lit(0.0))).alias("z"))
+EXACT_N = 16
 
 
-EXACT_N = 16
+def erf(x: Column) -> Column:
+    """Error function of x from 0 to 6, as a series of positive terms; 1 beyond."""
+    step = lambda s, k: F.struct((s["t"] * 2 * x * x / (2 * k + 1)).alias("t"), (s["sum"] + s["t"] * 2 * x * x / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), F.struct(x.cast("double").alias("t"), x.cast("double").alias("sum")), step, lambda s: s["sum"])
+    return F.when(x > 6, 1.0).otherwise(F.least(F.lit(1.0), 2 / math.sqrt(math.pi) * F.exp(-x * x) * series))
+
+
+def normal_sf(z: Column) -> Column:
+    """P(Z > z) of a standard normal law, for z from 0."""
+    return 0.5 * (1 - erf(z / math.sqrt(2)))
 
 
-def wilcoxon_exact(df: DataFrame, delta: str) -> DataFrame:
-    """p by all sign assignments, for at most EXACT_N non-zero deltas (65,536 rows)."""
-    used = df.select(F.col(delta).alias("d")).filter("d IS NOT NULL AND d <> 0")
-    m = used.select(F.abs("d").alias("m"), "d")
-    ranked = m.join(midranks(m, "m").toDF("m", "r"), "m")
-    packed = ranked.agg(F.collect_list("r").alias("ranks"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.count("*").alias("n")).filter(f"n BETWEEN 1 AND {EXACT_N}")
-    signs = packed.select("w_plus", "n", "ranks", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("mask"))
-    total = F.aggregate(F.transform("ranks", lambda r, i: r * F.getbit(F.col("mask"), i)), F.lit(0.0), lambda s, x: s + x)
-    s = signs.select("w_plus", "n", total.alias("w")).groupBy("w_plus", "n").agg(F.avg((F.col("w") >= F.col("w_plus")).cast("double")).alias("ge"), F.avg((F.col("w") <= F.col("w_plus")).cast("double")).alias("le"))
-    return s.select("n", "w_plus", F.least(F.lit(1.0), 2 * F.least("ge", "le")).alias("p_value"))
+def _sign_p(ranks: Column, w_plus: Column) -> Column:
+    """Two-sided p of the rank sum over all sign assignments: ways to reach every doubled sum, rank by rank."""
+    top = EXACT_N * (EXACT_N + 1)
+    none = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.transform(ranks, lambda r: (2 * r).cast("int")), none, lambda acc, r: F.transform(acc, lambda x, s: x + F.when(s >= r, F.get(acc, s - r)).otherwise(0.0)))
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+    at = (2 * w_plus).cast("int")
+    tail = F.transform(F.array(ways), lambda w: F.least(total(F.slice(w, at + 1, F.lit(top + 1))), total(F.slice(w, 1, at + 1))))
+    return F.least(F.lit(1.0), 2 * tail[0] / F.pow(F.lit(2.0), F.size(ranks)))
 
 
-def normal_sf(z: float) -> float:
-    return 0.5 * (1.0 - math.erf(z / math.sqrt(2.0)))
+def wilcoxon(df: DataFrame, delta: str, by: list[str] | None = None, exact_max_n: int = EXACT_N) -> DataFrame:
+    """(by,) n, w_plus, variance (with ties), z, p_value and method of the signed ranks of the non-zero deltas.
+
+    Groups of at most ``exact_max_n`` (``EXACT_N`` at most) deltas have the exact law, larger ones the normal one.
+    """
+    keys = by or ["__all"]
+    src = df if by else df.withColumn("__all", F.lit(0))
+    used = src.select(*keys, F.col(delta).alias("d")).filter("d IS NOT NULL").withColumn("m", F.abs("d"))
+    h = histogram(used.filter("d <> 0").withColumn("up", (F.col("d") > 0).cast("long")), "m", keys, up=F.col("up"))
+    n, rank = F.col("n").cast("double"), F.col("before") + (F.col("n") + 1) / 2
+    few = (F.col("before") < exact_max_n)  # the ranks of a small group; of a large one they aren't used
+    ranks = F.flatten(F.collect_list(F.when(few & (F.col("n") <= exact_max_n), F.array_repeat(rank, F.col("n").cast("int")))))
+    s = h.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("up") * rank).alias("w_plus"), F.sum(n * n * n - n).alias("ties"), ranks.alias("ranks"))
+    t = F.col("n").cast("double")
+    s = s.select(*keys, "n", "w_plus", (t * (t + 1) * (2 * t + 1) / 24 - F.col("ties") / 48).alias("variance"), "ranks")
+    s = s.withColumn("z", (F.col("w_plus") - t * (t + 1) / 4) / F.nullif(F.sqrt("variance"), F.lit(0.0)))
+    normal = F.when(F.col("variance") <= 0, (F.col("w_plus") == t * (t + 1) / 4).cast("double")).otherwise(F.least(F.lit(1.0), 2 * normal_sf(F.abs("z"))))
+    exact = F.col("n") <= exact_max_n
+    s = s.withColumn("p_value", F.when(exact, _sign_p(F.col("ranks"), F.col("w_plus"))).otherwise(normal)).withColumn("method", F.when(exact, "exact").otherwise("normal")).drop("ranks")
+    if by:
+        return s
+    one = df.sparkSession.range(1).select(F.lit(0).alias("__all")).join(s, "__all", "left")  # one row also without deltas
+    return one.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("variance", F.lit(0.0)).alias("variance"), "z", F.coalesce("p_value", F.lit(1.0)).alias("p_value"), F.coalesce("method", F.lit("none")).alias("method"))
 
 
 def wilcoxon_test(df: DataFrame, delta: str, exact_max_n: int = EXACT_N) -> dict:
-    """statistic, p_value, n, method of one sample, from one-row results."""
-    r = wilcoxon(df, delta).first()
-    n = int(r["n"])
-    if not n:
-        return {"statistic": 0.0, "p_value": 1.0, "n": 0, "method": "none"}
-    if n <= exact_max_n:
-        return {"statistic": r["w_plus"], "p_value": wilcoxon_exact(df, delta).first()["p_value"], "n": n, "method": "exact"}
-    if r["variance"] <= 0:
-        return {"statistic": r["w_plus"], "p_value": float(r["w_plus"] == n * (n + 1) / 4), "n": n, "method": "normal"}
-    return {"statistic": r["w_plus"], "p_value": min(1.0, 2 * normal_sf(abs(r["z"]))), "n": n, "method": "normal"}
-
-
-def draw(seed: int, *parts: Column) -> Column:
-    """A uniform 32-bit whole number from the MD5 of the parts; the same in any SQL engine."""
+    """statistic, p_value, n, method of one sample."""
+    r = wilcoxon(df, delta, exact_max_n=exact_max_n).first()
+    return {"statistic": r["w_plus"], "p_value": r["p_value"], "n": r["n"], "method": r["method"]}
+
+
+def draw(seed: int, *parts: Column, place: int = 0) -> Column:
+    """A uniform 32-bit whole number from the MD5 of the parts (its ``place``-th eight digits); the same in any SQL engine."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1 + 8 * place, 8), 16, 10).cast("long")
 
 
 #: P(Poisson(1) <= k) for k = 0, 1, ...
@@ -176,10 +181,10 @@ def bootstrap_ci(df: DataFrame, delta: str, n_resamples: int = 2000, confidence:
     """
     key = by or "__all"
     src = df.select((F.col(by) if by else F.lit("all")).alias(key), F.col(delta).cast("double").alias("d")).filter("d IS NOT NULL")
-    counts = src.groupBy(key, "d").agg(F.count("*").cast("double").alias("c"))
-    each = counts.select(key, "d", "c", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("r"))
-    u1 = (draw(seed, F.col("r"), F.col(key), F.rint(F.col("d") * 1e6).cast("long"), F.lit("a")) + 0.5) / 4294967296.0
-    u2 = (draw(seed, F.col("r"), F.col(key), F.rint(F.col("d") * 1e6).cast("long"), F.lit("b")) + 0.5) / 4294967296.0
+    counts = written(src.groupBy(key, "d").agg(F.count("*").cast("double").alias("c")))
+    spread = counts.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)  # few rows, much work each
+    each = spread.select(key, "d", "c", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("r"))
+    u1, u2 = ((draw(seed, F.col("r"), F.col(key), F.rint(F.col("d") * 1e6).cast("long"), place=k) + 0.5) / 4294967296.0 for k in (0, 1))
     z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
     # Square-root transform: (sqrt(c) + z / 2) ** 2 has mean and variance close to c.
     many = F.greatest(F.lit(0.0), F.round(F.pow(F.sqrt(F.col("c") - 0.25) + z / 2, F.lit(2.0))))
@@ -188,6 +193,6 @@ def bootstrap_ci(df: DataFrame, delta: str, n_resamples: int = 2000, confidence:
     means = each.select(key, "r", "d", times.alias("t")).groupBy(key, "r").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.col("d")).alias("s")).filter("t > 0").select(key, (F.col("s") / F.col("t")).alias("m"))
     tail = (1 - confidence) / 2
     ci = means.groupBy(key).agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
-    whole = src.groupBy(key).agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    whole = counts.groupBy(key).agg(F.sum("c").cast("long").alias("n"), (F.sum(F.col("c") * F.col("d")) / F.sum("c")).alias("mean"))
     out = whole.join(ci, key, "left")
     return out if by else out.drop(key)

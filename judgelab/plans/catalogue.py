@@ -102,30 +102,40 @@ def wilcoxon_stat(spark, d):
 
 
 def wilcoxon_exact(spark, d):
-    few = read(spark, d, "events").select("event_id", F.round(F.col("value") - 50, 3).alias("delta")).orderBy("event_id").limit(12)  # a feature: the exact test is for small samples
-    return stats.wilcoxon_exact(few, "delta").select("n", F.round("w_plus", 1).alias("w_plus"), F.round("p_value", 6).alias("p_value"))
+    groups = read(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("sample"), F.round(F.col("value") - 50, 3).alias("delta"))
+    return stats.wilcoxon(groups, "delta", ["sample"]).select("sample", "n", F.round("w_plus", 1).alias("w_plus"), F.round("p_value", 6).alias("p_value"), "method")
 
 
 def wilcoxon_p_normal(spark, d):
-    t = stats.wilcoxon_test(inputs.deltas(spark, d), "delta")
-    return spark.createDataFrame([(float(t["statistic"]), float(t["p_value"]), t["method"])], "statistic double, p_value double, method string")
+    t = stats.wilcoxon(inputs.deltas(spark, d).withColumn("delta", F.round("delta", 4)), "delta")
+    return t.select("n", F.round("w_plus", 1).alias("statistic"), F.round("p_value", 6).alias("p_value"), "method")
 
 
 def bootstrap_ci(spark, d):
-    ci = stats.bootstrap_ci(inputs.deltas(spark, d).withColumn("delta", F.round("delta", 2)), "delta", n_resamples=500, seed=12345)
+    ci = stats.bootstrap_ci(inputs.deltas(spark, d), "delta", seed=12345)
     return ci.select("n", F.round("mean", 5).alias("mean"), F.round("ci_low", 5).alias("ci_low"), F.round("ci_high", 5).alias("ci_high"))
 
 
 def drift_slices(spark, d):
-    s = regression.drift_slices(inputs.deltas(spark, d).withColumn("delta", F.round("delta", 2)), n_resamples=500)
+    s = regression.drift_slices(inputs.deltas(spark, d))
     return s.select("capability", "n", F.round("mean_delta", 5).alias("mean_delta"), F.round("ci_low", 5).alias("ci_low"), F.round("ci_high", 5).alias("ci_high"), F.round("effect_size", 5).alias("effect_size"), "verdict")
 
 
 def gate_decision(spark, d):
-    s = regression.drift_total(inputs.deltas(spark, d).withColumn("delta", F.round("delta", 2)), n_resamples=500)
+    s = regression.drift_total(inputs.deltas(spark, d))
     return s.select("n", F.round("mean_delta", 5).alias("mean_delta"), "verdict", (F.col("verdict") != "regressed").alias("passed"))
 
 
+def drift_summary(spark, d):
+    deltas = inputs.deltas(spark, d).withColumn("delta", F.round("delta", 4))
+    return regression.drift_summary(regression.drift_total(deltas), stats.wilcoxon(deltas, "delta"), regression.drift_slices(deltas), missing_items(spark, d))
+
+
+def metrics_summary(spark, d):
+    m = regression.metrics_summary(inputs.snapshot(spark, d, 0.7, "v2"))
+    return m.select("n_items", "mean_score", F.to_json("capability_means").alias("capability_means"), F.length("snapshot_sha256").alias("digest_length"))
+
+
 def kappa(spark, d):
     return stats.cohen_kappa(_levels(spark, d), "judge", "human").select(F.round("kappa", 6).alias("kappa"))
 
@@ -168,7 +178,7 @@ def verbosity_ols(spark, d):
 
 
 def verbosity_permutation(spark, d):
-    s = calibration.verbosity_permutation(inputs.judged_labels(spark, d), "item_id", "human_score", "n_tokens", n_permutations=49)
+    s = calibration.verbosity_permutation(inputs.judged_labels(spark, d), "item_id", "human_score", "n_tokens")
     return s.select("n", F.round("p_value", 6).alias("p_value"), "significant")
 
 
@@ -180,17 +190,24 @@ def self_preference(spark, d):
     return calibration.self_preference(_families(spark, d)).select("n_comparable", "n_flagged", F.round("rate", 6).alias("rate"))
 
 
+def bias_summary(spark, d):
+    labels = inputs.judged_labels(spark, d).join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    family = lambda n: F.concat(F.lit("f"), (F.col("doc_id") % n).cast("string"))
+    preferred = F.when(F.col("doc_id") % 4 == 0, "a").when(F.col("doc_id") % 4 == 1, "b").otherwise("tie")
+    items = labels.select("item_id", F.lit("a prompt").alias("prompt"), F.when(F.col("doc_id") % 6 != 0, F.col("text")).alias("response_a"), "judge_score", family(3).alias("judge_family"), family(2).alias("a_family"), family(5).alias("b_family"), preferred.alias("preferred"))
+    s = calibration.summarize_bias(items, pairwise_debias(spark, d), n_permutations=19)
+    return s.select(F.round("position_bias_rate", 6).alias("position_bias_rate"), F.round(F.col("verbosity_slope") * 1000, 5).alias("slope_per_1000"), F.round("verbosity_r", 5).alias("r"), "n_comparable", "n_flagged", F.round("rate", 6).alias("rate"))
+
+
 def active_queue(spark, d):
     labels = inputs.judged_labels(spark, d).withColumn("human_score", F.when(F.col("doc_id") % 3 != 0, F.col("human_score")))
     return calibration.next_round(labels, 10).select("item_id", F.round("priority", 6).alias("priority"))
 
 
 def _pairs(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("response_a"), F.lead("text").over(w).alias("response_b"), F.row_number().over(w).alias("k"))
-    return docs.filter("k % 2 = 1 AND response_b IS NOT NULL").select(F.col("doc_id").cast("string").alias("item_id"), "response_a", "response_b")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    a, b = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("response_b"))
+    return a.join(b, "doc_id").select(F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("response_a"), "response_b")
 
 
 def pairwise_debias(spark, d):
@@ -218,15 +235,15 @@ def flatten_fields(spark, d):
 
 
 def handoff_diff(spark, d):
-    return seams.handoffs(inputs.chains(spark, d), depth=1).select("chain_id", "seam", "kept", "recovered", "dropped", "mutated", "type_changed", "added", F.round("fidelity", 5).alias("fidelity"))
+    return seams.handoffs(inputs.chains(spark, d)).select("chain_id", "seam", "kept", "recovered", "dropped", "mutated", "type_changed", "added", F.round("fidelity", 5).alias("fidelity"))
 
 
 def chain_fidelity(spark, d):
-    return seams.chain_audit(seams.handoffs(inputs.chains(spark, d), depth=1)).select("chain_id", "n_seams", F.round("chain_fidelity", 4).alias("chain_fidelity"), "fidelity_halflife")
+    return seams.chain_audit(seams.handoffs(inputs.chains(spark, d))).select("chain_id", "n_seams", F.round("chain_fidelity", 4).alias("chain_fidelity"), "fidelity_halflife")
 
 
 def blame(spark, d):
-    return seams.blame(seams.handoffs(inputs.chains(spark, d), depth=1)).filter("rank <= 3").select("chain_id", "rank", "seam", "downstream_steps", F.round("severity", 4).alias("severity"))
+    return seams.blame(seams.handoffs(inputs.chains(spark, d))).select("chain_id", "rank", "seam", "downstream_steps", F.round("severity", 4).alias("severity"))
 
 
 def hash_embed_similarity(spark, d):
@@ -269,4 +286,4 @@ def manifest_sha(spark, d):
     return datasets.dataset_digest(items, "item_id", ["item_id", "t"])
 
 
-QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_verdict, grid_cells, coverage, validate_items, manifest_sha)}
+QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_verdict, grid_cells, coverage, validate_items, manifest_sha)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from judgelab.functions.tables import written
 from judgelab.functions.text import degrade, tokens
 from judgelab.operators.judges import reference_judge
 
@@ -38,7 +39,7 @@ def snapshot(spark: SparkSession, sf_dir: str, quality: float, version: str) ->
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     from judgelab.operators.regression import paired_deltas
 
-    return paired_deltas(snapshot(spark, sf_dir, 0.75, "v1"), snapshot(spark, sf_dir, 0.7, "v2"))
+    return written(paired_deltas(snapshot(spark, sf_dir, 0.75, "v1"), snapshot(spark, sf_dir, 0.7, "v2")))
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:

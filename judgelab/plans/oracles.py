@@ -85,9 +85,9 @@ _LEVELS = "lv AS (SELECT round_even(judge_score, 0)::INT AS j, round_even(human_
 def _bootstrap(source: str, n: int, seed: int) -> str:
     """CTEs ending in ``ci`` (g, n, mean, ci_low, ci_high) from ``source`` (g, d)."""
     poisson = " + ".join(f"(u1 >= (SELECT sum(exp(-1.0::DOUBLE) / factorial(i::INTEGER)::DOUBLE) FROM range({k + 1}) t(i)))::INT" for k in range(9))
-    u = lambda tag: f"(('0x' || substr(md5('{seed}|' || r || '|' || g || '|' || round_even(d * 1e6, 0)::BIGINT || '|{tag}'), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE"
+    u = lambda at: f"(('0x' || substr(md5('{seed}|' || r || '|' || g || '|' || round_even(d * 1e6, 0)::BIGINT), {at}, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE"
     return f"""bc AS (SELECT g, d, count(*)::DOUBLE AS c FROM {source} GROUP BY ALL),
-bu AS (SELECT *, {u('a')} AS u1, {u('b')} AS u2 FROM bc, range({n}) t(r)),
+bu AS (SELECT *, {u(1)} AS u1, {u(9)} AS u2 FROM bc, range({n}) t(r)),
 bt AS (SELECT *, CASE WHEN c = 1 THEN {poisson} ELSE greatest(0.0::DOUBLE, round(power(sqrt(c - 0.25::DOUBLE) + sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / 2, 2))) END AS times FROM bu),
 bm AS (SELECT g, r, sum(times * d) / sum(times) AS m FROM bt GROUP BY ALL HAVING sum(times) > 0),
 bq AS (SELECT g, quantile_cont(m, (1 - 0.95::DOUBLE) / 2) AS ci_low, quantile_cont(m, 1 - (1 - 0.95::DOUBLE) / 2) AS ci_high FROM bm GROUP BY 1),
@@ -99,9 +99,7 @@ def _verdict(lo: str, hi: str) -> str:
     return f"CASE WHEN {lo} > 0.05 AND abs(effect) >= 0.1 THEN 'regressed' WHEN {hi} < -0.05 AND abs(effect) >= 0.1 THEN 'improved' ELSE 'no_change' END"
 
 
-_PAIRS = """pairs AS (SELECT doc_id::VARCHAR AS item_id, response_a, response_b FROM (
-  SELECT doc_id, text AS response_a, lead(text) OVER w AS response_b, row_number() OVER w AS k FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
-  WHERE k % 2 = 1 AND response_b IS NOT NULL)"""
+_PAIRS = "pairs AS (SELECT a.doc_id::VARCHAR AS item_id, a.text AS response_a, b.text AS response_b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0)"
 
 _CHAINS = """ev AS (SELECT user_id AS chain_id, event_id AS id, event_type AS kind, json_extract_string(props, '$.k')::BIGINT AS k, row_number() OVER w AS idx,
   lag(event_type) OVER w AS kind0, lag(json_extract_string(props, '$.k')::BIGINT) OVER w AS k0, lag(event_id) OVER w AS id0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -142,6 +140,15 @@ _GRID = f"""cells AS (SELECT n_name AS topic, p.persona, q.difficulty, n_nationk
   (VALUES (0, 'novice'), (1, 'expert user')) p(i, persona), (VALUES (0, 'easy'), (1, 'medium'), (2, 'hard'), (3, 'adversarial')) q(i, difficulty), range(2) t(k)),
 grid AS (SELECT *, {_EDGES}[(((cell * 2 + k) * 2 + k) % 6 + 1)::INT] AS edge_case FROM cells)"""
 
+#: Two-sided tail of the standard normal law at z, from a series with positive terms.
+_TWO_SIDED = "least(1.0::DOUBLE, CASE WHEN z > 8 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * (SELECT sum(exp(k * ln(2.0) + (2 * k + 1) * ln(greatest(z, 1e-300) / sqrt(2.0)) + k * ln(2.0) + lgamma(k + 1.0) - lgamma(2 * k + 2.0))) FROM range(150) q(k)) END)"
+
+_SIGNED = """u AS (SELECT round(delta, 4) AS d FROM deltas WHERE round(delta, 4) <> 0), rr AS (SELECT d, abs(d) AS m, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
+ss AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w FROM rr), tt AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM rr GROUP BY m)),
+zz AS (SELECT n, w, abs(w - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM ss, tt)"""
+
+_SLICES = "cj AS (SELECT g, n, mean, effect, CASE WHEN n >= 2 THEN ci_low END AS lo, CASE WHEN n >= 2 THEN ci_high END AS hi FROM ci)"
+
 ORACLES: dict[str, str] = {
     "tokens_per_doc": f"SELECT doc_id, len({_tok('text')})::INT AS n_tokens, len({_content('text')})::INT AS n_content, len(list_distinct({_tok('text')}))::INT AS n_distinct FROM documents",
     "normalize_text": r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))) AS digest FROM documents",
@@ -165,14 +172,37 @@ ORACLES: dict[str, str] = {
 s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r), t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY m)),
 v AS (SELECT n, w, n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS v FROM s, t)
 SELECT n, round(w, 1) AS w_plus, round(v, 2) AS variance, round((w - n::DOUBLE * (n + 1) / 4) / sqrt(v), 4) AS z FROM v""",
-    "wilcoxon_exact": """WITH u AS (SELECT round(value - 50, 3) AS d FROM (SELECT * FROM events ORDER BY event_id LIMIT 12) WHERE round(value - 50, 3) <> 0),
-r AS (SELECT d, row_number() OVER (ORDER BY abs(d)) - 1 AS i, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
-s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r),
-a AS (SELECT mask, sum(r * ((mask >> i) & 1)) AS w FROM r, range(65536) t(mask) WHERE mask < (SELECT 1 << n::INT FROM s) GROUP BY mask)
-SELECT n, round(s.w, 1) AS w_plus, round(least(1.0::DOUBLE, 2 * least(avg((a.w >= s.w)::INT::DOUBLE), avg((a.w <= s.w)::INT::DOUBLE))), 6) AS p_value FROM a, s GROUP BY n, s.w""",
-    "bootstrap_ci": f"WITH {_DELTAS}, src AS (SELECT 'all' AS g, round(delta, 2) AS d FROM deltas), {_bootstrap('src', 500, 12345)} SELECT n, round(mean, 5) AS mean, round(ci_low, 5) AS ci_low, round(ci_high, 5) AS ci_high FROM ci",
-    "drift_slices": f"WITH {_DELTAS}, src AS (SELECT capability AS g, round(delta, 2) AS d FROM deltas), {_bootstrap('src', 500, 12345)}, cj AS (SELECT g, n, mean, effect, CASE WHEN n >= 2 THEN ci_low END AS lo, CASE WHEN n >= 2 THEN ci_high END AS hi FROM ci) SELECT g AS capability, n, round(mean, 5) AS mean_delta, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high, round(effect, 5) AS effect_size, {_verdict('lo', 'hi')} AS verdict FROM cj",
-    "gate_decision": f"WITH {_DELTAS}, src AS (SELECT 'all' AS g, round(delta, 2) AS d FROM deltas), {_bootstrap('src', 500, 12345)} SELECT n, round(mean, 5) AS mean_delta, {_verdict('ci_low', 'ci_high')} AS verdict, {_verdict('ci_low', 'ci_high')} <> 'regressed' AS passed FROM ci",
+    "wilcoxon_exact": f"""WITH u AS (SELECT user_id || '/' || event_type AS sample, round(value - 50, 3) AS d FROM events WHERE round(value - 50, 3) <> 0),
+r AS (SELECT sample, d, row_number() OVER (PARTITION BY sample ORDER BY abs(d)) - 1 AS i, rank() OVER (PARTITION BY sample ORDER BY abs(d)) + (count(*) OVER (PARTITION BY sample, abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
+s AS (SELECT sample, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w FROM r GROUP BY 1),
+a AS (SELECT sample, mask, sum(r * ((mask >> i) & 1)) AS w FROM r JOIN s USING (sample), range(65536) t(mask) WHERE n <= 16 AND mask < (1 << n::INT) GROUP BY ALL),
+e AS (SELECT sample, least(1.0::DOUBLE, 2 * least(avg((a.w >= s.w)::INT::DOUBLE), avg((a.w <= s.w)::INT::DOUBLE))) AS p FROM a JOIN s USING (sample) GROUP BY sample),
+t AS (SELECT sample, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT sample, count(*)::DOUBLE AS c FROM r GROUP BY sample, abs(d)) GROUP BY 1),
+z AS (SELECT sample, n, w, abs(w - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s JOIN t USING (sample))
+SELECT sample, n, round(w, 1) AS w_plus, round(coalesce(p, {_TWO_SIDED}), 6) AS p_value, CASE WHEN n <= 16 THEN 'exact' ELSE 'normal' END AS method FROM z LEFT JOIN e USING (sample)""",
+    "wilcoxon_p_normal": f"WITH {_DELTAS}, {_SIGNED} SELECT n, round(w, 1) AS statistic, round({_TWO_SIDED}, 6) AS p_value, 'normal' AS method FROM zz",
+    "bootstrap_ci": f"WITH {_DELTAS}, src AS (SELECT 'all' AS g, delta AS d FROM deltas), {_bootstrap('src', 2000, 12345)} SELECT n, round(mean, 5) AS mean, round(ci_low, 5) AS ci_low, round(ci_high, 5) AS ci_high FROM ci",
+    "drift_slices": f"WITH {_DELTAS}, src AS (SELECT capability AS g, delta AS d FROM deltas), {_bootstrap('src', 1000, 12345)}, {_SLICES} SELECT g AS capability, n, round(mean, 5) AS mean_delta, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high, round(effect, 5) AS effect_size, {_verdict('lo', 'hi')} AS verdict FROM cj",
+    "gate_decision": f"WITH {_DELTAS}, src AS (SELECT 'all' AS g, delta AS d FROM deltas), {_bootstrap('src', 2000, 12345)} SELECT n, round(mean, 5) AS mean_delta, {_verdict('ci_low', 'ci_high')} AS verdict, {_verdict('ci_low', 'ci_high')} <> 'regressed' AS passed FROM ci",
+    "drift_summary": f"""WITH {_DELTAS.replace("s1.score - s2.score AS delta", "round(s1.score - s2.score, 4) AS delta")}, {_SIGNED},
+total AS (WITH src AS (SELECT 'all' AS g, delta AS d FROM deltas), {_bootstrap('src', 2000, 12345)} SELECT *, {_verdict('ci_low', 'ci_high')} AS verdict FROM ci),
+slices AS (WITH src AS (SELECT capability AS g, delta AS d FROM deltas), {_bootstrap('src', 1000, 12345)}, {_SLICES} SELECT g, {_verdict('lo', 'hi')} AS verdict FROM cj),
+moved AS (SELECT coalesce(string_agg(g, ', ' ORDER BY g) FILTER (verdict = 'regressed'), '') AS worse, coalesce(string_agg(g, ', ' ORDER BY g) FILTER (verdict = 'improved'), '') AS better FROM slices)
+SELECT concat_ws(chr(10), 'Verdict: ' || CASE t.verdict WHEN 'regressed' THEN 'REGRESSION' WHEN 'improved' THEN 'IMPROVEMENT' ELSE 'NO SIGNIFICANT CHANGE' END,
+  printf('Items compared: %d (missing from one side: %d)', t.n, (SELECT count(*) FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0))), printf('Mean delta (baseline - candidate): %+.4f', t.mean),
+  printf('Bootstrap CI: [%+.4f, %+.4f] (threshold +0.0500, min effect 0.10)', t.ci_low, t.ci_high), printf('Effect size (paired Cliff''s delta): %+.3f', t.effect), (SELECT printf('Wilcoxon: W+=%.1f, p=%.4f', w, {_TWO_SIDED}) FROM zz),
+  CASE WHEN worse <> '' THEN 'Regressed capabilities: ' || worse END, CASE WHEN better <> '' THEN 'Improved capabilities: ' || better END) AS summary FROM total t, moved""",
+    "metrics_summary": f"""WITH {_snap('s', 0.7)}, m AS (SELECT capability, count(*) AS n, sum(score) AS t, round(avg(score), 4) AS m FROM s GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_items, round(sum(t) / sum(n), 4) AS mean_score, '{{' || string_agg('"' || capability || '":' || m::VARCHAR, ',' ORDER BY capability) || '}}' AS capability_means, 64::INT AS digest_length FROM m""",
+    "bias_summary": f"""WITH {_LABELS}, {_PAIRS}, x AS (SELECT lj.*, 'f' || doc_id % 3 AS j, 'f' || doc_id % 2 AS a, 'f' || doc_id % 5 AS b, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS pref, CASE WHEN doc_id % 6 <> 0 THEN n_tokens ELSE 2 END AS len FROM lj),
+o AS (SELECT pref, CASE WHEN j = a THEN 'a' WHEN j = b THEN 'b' END AS own FROM x WHERE pref IS NOT NULL),
+f AS (SELECT count(own) AS n_comparable, count(*) FILTER (own = pref) AS n_flagged, round(coalesce((count(*) FILTER (own = pref))::DOUBLE / nullif(count(own), 0), 0), 6) AS rate FROM o)
+SELECT 0.0::DOUBLE AS position_bias_rate, v.*, f.* FROM f, (SELECT round(coalesce(regr_slope(judge_score, len), 0) * 1000, 5) AS slope_per_1000, round(corr(judge_score, len), 5) AS r FROM x) v""",
+    "pav_fit": f"""WITH {_LABELS}, o AS (SELECT judge_score AS x, human_score AS y, row_number() OVER (ORDER BY judge_score, doc_id) AS i FROM lj),
+c AS (SELECT i, x, y, sum(y) OVER (ORDER BY i) AS s FROM o), l AS (SELECT b.i, max((b.s - a.s + a.y) / (b.i - a.i + 1)) AS v FROM c a JOIN c b ON a.i <= b.i GROUP BY 1),
+r AS (SELECT a.i, min((b.s - a.s) / (b.i - a.i)) AS v FROM c a JOIN c b ON b.i > a.i GROUP BY 1),
+g AS (SELECT c.*, coalesce(sum((l.v <= r.v)::INT) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c JOIN l USING (i) LEFT JOIN r USING (i))
+SELECT round(min(x), 6) AS x_start, round(max(x), 6) AS x_end, round(sum(y) / count(*), 6) AS value, round(count(*)::DOUBLE, 3) AS weight FROM g GROUP BY g.g""",
     "kappa": f"WITH {_LABELS}, {_LEVELS}, {_KAPPA} SELECT round(kappa, 6) AS kappa FROM kp",
     "qwk": f"""WITH {_LABELS}, {_LEVELS}, lev AS (SELECT v, row_number() OVER (ORDER BY v)::DOUBLE AS i FROM (SELECT j AS v FROM lv UNION SELECT h FROM lv)),
 x AS (SELECT a.i, b.i AS j FROM lv JOIN lev a ON a.v = lv.j JOIN lev b ON b.v = lv.h)
@@ -186,9 +216,9 @@ l AS (SELECT x, max(i) AS k FROM o GROUP BY 1), f AS (SELECT x, i, min(m) AS v F
 SELECT doc_id, round(v, 6) AS calibrated FROM o JOIN g USING (x)""",
     "verbosity_ols": f"WITH {_LABELS} SELECT count(*) AS n, round(coalesce(regr_slope(judge_score, n_tokens), 0) * 1000, 5) AS slope_per_1000, round(coalesce(regr_intercept(judge_score, n_tokens), avg(judge_score)), 5) AS intercept, round(corr(judge_score, n_tokens), 5) AS r FROM lj",
     "verbosity_permutation": f"""WITH {_LABELS}, e AS (SELECT p, item_id, n_tokens::DOUBLE AS x, human_score AS y, row_number() OVER (PARTITION BY p ORDER BY item_id) AS a,
-  row_number() OVER (PARTITION BY p ORDER BY ('0x' || substr(md5('0|' || p || '|' || item_id), 1, 8))::UBIGINT, item_id) AS b FROM lj, range(1, 50) t(p)),
+  row_number() OVER (PARTITION BY p ORDER BY ('0x' || substr(md5('0|' || p || '|' || item_id), 1, 8))::UBIGINT, item_id) AS b FROM lj, range(1, 1000) t(p)),
 s AS (SELECT u.p, coalesce(regr_slope(v.y, u.x), 0) AS s FROM e u JOIN e v ON u.p = v.p AND u.a = v.b GROUP BY 1), o AS (SELECT count(*) AS n, coalesce(regr_slope(human_score, n_tokens), 0) AS s FROM lj),
-z AS (SELECT o.n, (count(*) FILTER (abs(s.s) >= abs(o.s) - 1e-15) + 1) / 50.0::DOUBLE AS p FROM s, o GROUP BY o.n)
+z AS (SELECT o.n, (count(*) FILTER (abs(s.s) >= abs(o.s) - 1e-15) + 1) / 1000.0::DOUBLE AS p FROM s, o GROUP BY o.n)
 SELECT n, round(p, 6) AS p_value, p < 0.05 AS significant FROM z""",
     "self_preference": """WITH f AS (SELECT 'f' || doc_id % 3 AS j, 'f' || doc_id % 2 AS a, 'f' || doc_id % 5 AS b, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS pref FROM labels),
 o AS (SELECT pref, CASE WHEN j = a THEN 'a' WHEN j = b THEN 'b' END AS own FROM f WHERE pref IS NOT NULL)
@@ -203,7 +233,7 @@ SELECT item_id, m.v AS majority_score, round(avg(score), 5) AS mean, round(var_p
     "flatten_fields": "SELECT event_id, 'k' AS path, 'number' AS type, json_extract_string(props, '$.k') AS value FROM events",
     "handoff_diff": f"WITH {_CHAINS} SELECT chain_id, seam::INT AS seam, kept::BIGINT AS kept, recovered::BIGINT AS recovered, dropped::BIGINT AS dropped, mutated::BIGINT AS mutated, type_changed::BIGINT AS type_changed, added::BIGINT AS added, round(fidelity, 5) AS fidelity FROM hf",
     "chain_fidelity": f"WITH {_CHAINS} SELECT chain_id, count(*) AS n_seams, round(round(CASE WHEN min(fidelity) <= 0 THEN 0 ELSE exp(avg(ln(fidelity))) END, 6), 4) AS chain_fidelity, min(CASE WHEN fidelity < 0.5 THEN seam END)::INT AS fidelity_halflife FROM hf GROUP BY 1",
-    "blame": f"WITH {_CHAINS}, b AS (SELECT chain_id, seam, (max(seam) OVER (PARTITION BY chain_id) - seam + 1) AS after, (1 - fidelity) * (max(seam) OVER (PARTITION BY chain_id) - seam + 1) AS s FROM hf), r AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY s DESC, seam) AS rk FROM b) SELECT chain_id, rk::INT AS rank, seam::INT AS seam, after::INT AS downstream_steps, round(s, 4) AS severity FROM r WHERE rk <= 3",
+    "blame": f"WITH {_CHAINS}, b AS (SELECT chain_id, seam, (max(seam) OVER (PARTITION BY chain_id) - seam + 1) AS after, (1 - fidelity) * (max(seam) OVER (PARTITION BY chain_id) - seam + 1) AS s FROM hf), r AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY s DESC, seam) AS rk FROM b) SELECT chain_id, rk::INT AS rank, seam::INT AS seam, after::INT AS downstream_steps, round(s, 4) AS severity FROM r",
     "hash_embed_similarity": f"WITH {_QA}, {_embed('ea', 'qa', 'prompt')}, {_embed('eb', 'qa', 'response')}, n AS (SELECT item_id, sum(a.weight * b.weight) AS s FROM ea a JOIN eb b USING (item_id, bucket) GROUP BY 1) SELECT item_id, round(coalesce(s, 0), 6) AS similarity FROM (SELECT item_id FROM ea UNION SELECT item_id FROM eb) LEFT JOIN n USING (item_id)",
     "suite_checks": f"WITH {_SUITE} SELECT * FROM checks",
     "suite_verdict": f"WITH {_SUITE} SELECT name, count(*) FILTER (NOT passed) AS n_failed, CASE WHEN count(*) FILTER (NOT passed) = 0 THEN 'PASS' WHEN count(*) FILTER (NOT passed) = count(*) FILTER (escalate) THEN 'ESCALATE' ELSE 'FAIL' END AS verdict FROM checks GROUP BY 1",

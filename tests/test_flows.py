@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from judgelab.functions.jsonx import flatten
-from judgelab.operators import datasets, regression, seams, suite
+from judgelab.operators import datasets, regression, seams, stats, suite
 from judgelab.sources import datasets as store
 from judgelab.sources import jsonl
 from judgelab.sources.snapshots import SnapshotStore
@@ -61,6 +61,21 @@ def test_flatten(spark):
     assert got == {"a.b": ("number", "1"), "a.c": ("null", "null"), "l[0]": ("number", "1"), "l[1]": ("str", '"x"'), "l[2]": ("bool", "true"), "l#len": ("number", "4"), "e#len": ("number", "0")}
 
 
+def test_flatten_any_depth(spark):
+    j = json.dumps({"a": {"b": [{"c": {"d": {"e": {"f": [[1, "} ]"]]}}}}]}})
+    got = {r["path"]: r["value"] for r in flatten(spark.createDataFrame([(1, j), (2, "no json {{{"), (3, None)], "id long, j string"), ["id"], "j").collect()}
+    assert got == {"a.b#len": "1", "a.b[0].c.d.e.f#len": "1", "a.b[0].c.d.e.f[0]#len": "2", "a.b[0].c.d.e.f[0][0]": "1", "a.b[0].c.d.e.f[0][1]": '"} ]"'}
+
+
+def test_summaries(spark):
+    base, cand = snap(spark, [4.0, 3.0, 5.0]), snap(spark, [3.0, 2.0, 4.0])
+    m = regression.metrics_summary(base).first()
+    assert (m["n_items"], m["mean_score"], m["capability_means"], len(m["snapshot_sha256"])) == (3, 4.0, {"general": 4.0}, 64)
+    d = regression.paired_deltas(base, cand)
+    text = regression.drift_summary(regression.drift_total(d), stats.wilcoxon(d, "delta"), regression.drift_slices(d), regression.missing_items(base, cand)).first()[0]
+    assert text.split("\n") == ["Verdict: REGRESSION", "Items compared: 3 (missing from one side: 0)", "Mean delta (baseline - candidate): +1.0000", "Bootstrap CI: [+1.0000, +1.0000] (threshold +0.0500, min effect 0.10)", "Effect size (paired Cliff's delta): +1.000", "Wilcoxon: W+=6.0, p=0.2500", "Regressed capabilities: general"]
+
+
 def chain(spark, *pairs):
     """Steps from (input, output) pairs."""
     rows = [("c", i, f"s{i}", json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)]
@@ -142,6 +157,11 @@ def test_traces_and_outputs(spark, tmp_path):
     for r in sorted(rows, key=lambda r: r["step_idx"]):
         names.setdefault(os.path.basename(r["chain_id"]), []).append(r["name"])
     assert names == {"list.json": ["a", "b", "step-2"], "steps.json": ["a"], "lines.json": ["a", "b"]}
+    (tmp_path / "list.json").write_text('[\n  {"name": "a"},\n  {"name": "b"}\n]\n')
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "t.json").write_text("\n".join(f'{{"name": "n{i}"}}' for i in range(30)))
+    for folder, want in ((str(tmp_path / "list.json"), ["a", "b"]), (str(tmp_path / "long"), [f"n{i}" for i in range(30)])):
+        assert [(r["step_idx"], r["name"]) for r in jsonl.load_traces(spark, folder).orderBy("step_idx").collect()] == list(enumerate(want))
     (tmp_path / "outs").mkdir()
     (tmp_path / "outs" / "o.jsonl").write_text('{"name": "n", "value": "old"}\n{"value": {"k": 1}, "latency_ms": 5}\n{"name": "n", "output": "new"}\n')
     got = {r["name"]: (r["value"], r["latency_ms"]) for r in jsonl.load_outputs(spark, str(tmp_path / "outs")).collect()}

@@ -148,3 +148,55 @@ def test_labelling_queue(spark):
     got = calibration.next_round(labels, 5, disagreement=spread).collect()
     assert [r["item_id"] for r in got] == ["l3", "l2", "l5", "l1", "l4"]
     assert [round(r["priority"], 2) for r in got] == [0.7, 0.56, 0.28, 0.27, 0.14]
+
+
+def test_running_sums_over_ranges_equal_plain_ones(spark):
+    import random
+
+    from judgelab.functions.tables import running, written
+
+    r = random.Random(1)
+    rows = [(r.choice("ab"), i // 2, r.randint(0, 9)) for i in range(200)]
+    df = written(spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "g string, o int, v int, k int"))
+    for limit in (1000, 7):
+        got = {x["k"]: x["before_v"] for x in running(df, ["g"], ["o", "k"], ["v"], limit).collect()}
+        assert got == {k: sum(v for j, (h, _, v) in enumerate(rows) if h == g and j < k) for k, (g, _, _) in enumerate(rows)}
+        assert {x["before_v"] for x in running(df, [], ["k"], ["v"], limit).collect()} == {sum(v for *_, v in rows[:k]) for k in range(200)}
+
+
+def test_signed_ranks_by_group_equal_enumeration(spark):
+    import itertools
+    import random
+
+    r = random.Random(2)
+    data = {g: [r.choice([-3, -2, -1, 0, 1, 2, 2, 3.5]) for _ in range(n)] for g, n in (("a", 5), ("b", 9), ("c", 1), ("d", 12), ("z", 0))}
+    data["z"] = [0.0]
+    rows = [(g, float(x)) for g, xs in data.items() for x in xs]
+    got = {x["g"]: x for x in stats.wilcoxon(spark.createDataFrame(rows, "g string, a double"), "a", ["g"]).collect()}
+    assert "z" not in got
+    for g in "abcd":
+        xs = [x for x in data[g] if x]
+        m = sorted(map(abs, xs))
+        ranks = [m.index(abs(x)) + (m.count(abs(x)) + 1) / 2 for x in xs]
+        w = sum(k for k, x in zip(ranks, xs) if x > 0)
+        all_w = [sum(k for k, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=len(xs))]
+        p = min(1.0, 2 * min(sum(v >= w for v in all_w), sum(v <= w for v in all_w)) / len(all_w))
+        assert (got[g]["n"], got[g]["w_plus"], got[g]["method"]) == (len(xs), w, "exact") and got[g]["p_value"] == pytest.approx(p)
+
+
+def test_error_function(spark):
+    import math
+
+    z = [0.0, 0.3, 1.0, 2.5, 5.0, 9.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").coalesce(1).select(stats.erf(F.col("z"))).collect()]
+    assert got == pytest.approx([math.erf(x) for x in z], abs=1e-13)
+
+
+def test_bias_summary(spark):
+    rows = [(str(i), "two words", "w " * (i + 1) if i != 3 else " ", float(i), "x", "x", "y", "a") for i in range(4)]
+    cols = "item_id string, prompt string, response_a string, judge_score double, judge_family string, a_family string, b_family string, preferred string"
+    s = calibration.summarize_bias(spark.createDataFrame(rows, cols), spark.createDataFrame([(True,), (False,)], "position_bias boolean"), n_permutations=9).first()
+    assert s["position_bias_rate"] == 0.5 and (s["n_comparable"], s["n_flagged"], s["rate"]) == (4, 4, 1.0)
+    assert s["verbosity_slope"] == pytest.approx(0.0, abs=5) and 0.1 <= s["verbosity_p"] <= 1.0
+    few = calibration.summarize_bias(spark.createDataFrame(rows[:2], cols)).first()
+    assert few["verbosity_slope"] is None and few["position_bias_rate"] is None and few["n_flagged"] == 2
