@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgelab.functions.text import tokens
-from judgelab.operators import calibration, isotonic, judges, regression, seams, stats, suite
+from judgelab.operators import calibration, datasets, generator, isotonic, judges, regression, seams, stats, suite
+from judgelab.sources import datasets as store
 from judgelab.sources import jsonl
 from judgelab.sources.snapshots import SnapshotStore
 
@@ -23,7 +24,8 @@ def _show(df: DataFrame, n: int = 50) -> None:
 
 def judge(spark: SparkSession, a: argparse.Namespace) -> int:
     items = spark.read.schema("item_id string, prompt string, response string, reference string").json(a.items)
-    out = judges.heuristic_judge(items).select("item_id", "overall", "criterion_scores")
+    criteria = judges.rubric_from_yaml(spark.read.text(a.rubric, wholetext=True).first()[0]) if a.rubric else judges.DEFAULT_RUBRIC
+    out = judges.heuristic_judge(items, criteria).select("item_id", "overall", "criterion_scores")
     if a.out:
         out.write.mode("overwrite").json(a.out)
     else:
@@ -62,8 +64,8 @@ def calibrate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def regress(spark: SparkSession, a: argparse.Namespace) -> int:
-    store = SnapshotStore(spark, a.store)
-    base, cand = store.latest(a.baseline), store.latest(a.candidate)
+    runs = SnapshotStore(spark, a.store)
+    base, cand = runs.latest(a.baseline), runs.latest(a.candidate)
     if base.isEmpty() or cand.isEmpty():
         raise ValueError("no snapshot of one of the versions")
     result = regression.run_gate(base, cand, a.threshold, a.min_effect)
@@ -80,7 +82,7 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def run_suite(spark: SparkSession, a: argparse.Namespace) -> int:
-    schema = json.loads(spark.read.option("wholetext", True).text(a.schema).first()[0]) if a.schema else None
+    schema = json.loads(spark.read.text(a.schema, wholetext=True).first()[0]) if a.schema else None
     outputs = jsonl.load_outputs(spark, a.outputs).withColumn("reference", F.lit(None).cast("string"))
     checks = suite.run_checks(outputs, schema, a.budget)
     failed = checks.filter("NOT passed").orderBy("name", "check_no")
@@ -88,6 +90,15 @@ def run_suite(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(not failed.isEmpty())
 
 
+def gen_dataset(spark: SparkSession, a: argparse.Namespace) -> int:
+    corpus = spark.read.text(a.corpus).withColumnRenamed("value", "text") if a.corpus else None
+    listed = lambda v: v.split(",") if v else None
+    items = generator.generate(generator.topics_table(spark, a.topics), listed(a.personas), tuple(listed(a.difficulties) or datasets.DIFFICULTIES), items_per_cell=a.items_per_cell, seed=a.seed, corpus=corpus, n=a.n, drop=a.on_contamination == "drop")
+    store.save(items, a.out, a.version, f"seed={a.seed}, decontamination_n={a.n}")
+    print(f"{items.count()} items in {a.out}")
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="judgelab")
     sub = p.add_subparsers(required=True)
@@ -99,7 +110,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{r}", required=True)
         return c
 
-    command("judge", judge, "items").add_argument("--out")
+    j = command("judge", judge, "items")
+    j.add_argument("--out")
+    j.add_argument("--rubric")
     command("pair", pair, "pairs")
     command("calibrate", calibrate, "labels")
     r = command("regress", regress, "store", "baseline", "candidate")
@@ -107,6 +120,13 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--min-effect", type=float, default=0.1)
     r.add_argument("--gate", action="store_true")
     command("audit", audit, "trace").add_argument("--min-fidelity", type=float)
+    g = command("gen-dataset", gen_dataset, "out")
+    for name in ("topics", "personas", "difficulties", "corpus"):
+        g.add_argument(f"--{name}")
+    for name, default in (("items-per-cell", 1), ("seed", 42), ("n", 8)):
+        g.add_argument(f"--{name}", type=int, default=default)
+    g.add_argument("--on-contamination", choices=("flag", "drop"), default="flag")
+    g.add_argument("--version", default="v1")
     s = command("suite", run_suite, "outputs")
     s.add_argument("--schema")
     s.add_argument("--budget", type=float)

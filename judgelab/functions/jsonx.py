@@ -60,10 +60,20 @@ def flatten(df: DataFrame, ids: list[str], json_col: str, depth: int | None = No
     return out
 
 
+def _among(kind: Column, text: Column, number: Column, allowed: list) -> Column:
+    """Whether a value equals one of ``allowed`` in kind and value; true and false equal 1 and 0, as in Python."""
+    truth = F.when(kind == "bool", F.when(text == "true", 1.0).otherwise(0.0)).when(kind == "number", number)
+    tests = [kind == "null" if e is None else (kind == "str") & (text == e) if isinstance(e, str) else truth == float(e) for e in allowed if e is None or isinstance(e, (str, bool, int, float))]
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
 def schema_errors(v: Column, schema: dict, path: str = "$") -> Column:
     """Violations of the supported JSON-schema subset as an array of texts; compiled once into column expressions.
 
-    Supported: type, enum (texts), properties, required, items (scalars), minLength, maxLength, minimum, maximum.
+    Supported: type, enum (any scalar), properties, required, items, minLength, maxLength, minimum, maximum.
     """
     kind = type_name(v)
     found: list[Column] = []
@@ -74,8 +84,8 @@ def schema_errors(v: Column, schema: dict, path: str = "$") -> Column:
     right = kind == names.get(want, "") if want in names else F.lit(True)
     if want == "integer":
         right = right & (number == F.floor(number))
-    if schema.get("enum"):
-        found.append(F.when(~F.coalesce(text.isin(*[str(e) for e in schema["enum"]]), F.lit(False)), F.lit(f"{path}: not in enum")))
+    if "enum" in schema:
+        found.append(F.when(~_among(kind, text, number, schema["enum"]), F.lit(f"{path}: not in enum")))
     for name in schema.get("required", []):
         found.append(F.when((kind == "dict") & F.try_variant_get(v, f"$['{name}']", "variant").isNull(), F.lit(f"{path}: missing required field '{name}'")))
     if "minLength" in schema:

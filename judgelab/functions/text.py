@@ -100,8 +100,8 @@ def degrade(text: Column, quality: float) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Letters and digits, other runs as one dash, none at the ends, 40 characters at most."""
-    return F.substring(F.btrim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-")), 1, 40)
+    """Letters and digits of any script, a dash for every other character, none at the ends, then 40 characters at most."""
+    return F.substring(F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "-"), F.lit("-")), 1, 40)
 
 
 def hash_embedding(df: DataFrame, id_col: str, text: str, width: int = 256) -> DataFrame:

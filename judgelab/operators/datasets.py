@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from judgelab.functions.text import is_blank, ngrams, slug, tokens
 
 DIFFICULTIES = ("easy", "medium", "hard", "adversarial")
-EDGE_CASES = ("typical", "empty_input", "very_long_input", "ambiguous", "prompt_injection", "multilingual")
+EDGE_CASES = ("empty_input", "unicode_stress", "prompt_injection", "refusal_bait", "ambiguity", "format_trap")
 
 
 def grid(topics: DataFrame, personas: list[str], difficulties: tuple[str, ...] = DIFFICULTIES, edges: tuple[str, ...] = EDGE_CASES, items_per_cell: int = 1) -> DataFrame:
     """Cells topic x persona x difficulty in that nesting, each with ``items_per_cell`` items whose edge case cycles.
 
-    ``topics`` has (ordinal, topic, capability).  The lists are parameters and
+    ``topics`` has (ordinal, topic, capability) and what else an item shall carry.  The lists are parameters and
     so fixed in size; only the topics are a table.
     """
     per_topic = len(personas) * len(difficulties)
-    cells = topics.select("ordinal", "topic", "capability", F.posexplode(F.array(*[F.lit(p) for p in personas])).alias("pi", "persona")).select("*", F.posexplode(F.array(*[F.lit(d) for d in difficulties])).alias("di", "difficulty"))
+    cells = topics.select("*", F.posexplode(F.array(*[F.lit(p) for p in personas])).alias("pi", "persona")).select("*", F.posexplode(F.array(*[F.lit(d) for d in difficulties])).alias("di", "difficulty"))
     cell = F.col("ordinal") * per_topic + F.col("pi") * len(difficulties) + F.col("di")
-    items = cells.select("topic", "capability", "persona", "difficulty", cell.cast("long").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(items_per_cell - 1))).alias("k"))
-    number = F.col("cell") * items_per_cell + F.col("k")  # the ordinal grows with every item
-    edge = F.element_at(F.array(*[F.lit(e) for e in edges]), F.pmod(number * items_per_cell + F.col("k"), F.lit(len(edges))).cast("int") + 1)
-    return items.withColumn("edge_case", edge).withColumn("item_id", F.concat_ws("__", slug(F.col("topic")), slug(F.col("persona")), "difficulty", "edge_case", F.col("k").cast("string")))
+    items = cells.select("*", cell.cast("long").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(items_per_cell - 1))).alias("k")).drop("ordinal", "pi", "di")
+    items = items.withColumn("number", F.col("cell") * items_per_cell + F.col("k"))  # the ordinal grows with every item
+    edge = F.element_at(F.array(*[F.lit(e) for e in edges]), F.pmod(F.col("number") * items_per_cell + F.col("k"), F.lit(len(edges))).cast("int") + 1)
+    return items.withColumn("edge_case", edge).withColumn("item_id", F.concat_ws("__", "topic", slug(F.col("persona")), "difficulty", "edge_case", F.col("k").cast("string")))
+
 
 
 def coverage(items: DataFrame) -> DataFrame:

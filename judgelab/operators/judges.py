@@ -35,6 +35,17 @@ DEFAULT_RUBRIC = (
 )
 
 
+def rubric_from_yaml(text: str) -> tuple[Criterion, ...]:
+    """Criteria of a rubric file: a list, or one under ``criteria``; the default rubric where there are none."""
+    import yaml  # only rubric files need it
+
+    said = yaml.safe_load(text)
+    entries = (said.get("criteria") if isinstance(said, dict) else said) or []
+    if any("name" not in e for e in entries):
+        raise ValueError("a criterion needs a name")
+    return tuple(Criterion(str(e["name"]), str(e.get("description", "")), float(e.get("weight", 1.0)), {int(k): str(v) for k, v in (e.get("anchors") or {}).items()}) for e in entries) or DEFAULT_RUBRIC
+
+
 def format_score(prompt: Column, response: Column) -> Column:
     """5 where a requested JSON or list format is met, 3 for broken JSON or no request, 1 otherwise."""
     asked = F.lower(prompt)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from judgelab.functions import prompts
 from judgelab.functions.jsonx import flatten
 from judgelab.functions.text import content_tokens, cosine, degrade, f1_overlap, hash_embedding, keyword_coverage, normalize, tokens
-from judgelab.operators import calibration, datasets, isotonic, judges, regression, seams, stats, suite
+from judgelab.operators import calibration, datasets, generator, isotonic, judges, regression, seams, stats, suite
 from judgelab.plans import inputs
 from judgelab.plans.inputs import read
 from judgelab.sources.snapshots import latest_run
@@ -276,6 +277,20 @@ def coverage(spark, d):
     return datasets.coverage(_grid(spark, d))
 
 
+def generate_items(spark, d):
+    topics = read(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("topic"), F.col("p_brand").alias("capability"), F.split("p_name", " ").alias("keywords"), F.col("p_name").alias("blurb"))
+    return generator.generate(topics, ["novice", "expert user"]).select("item_id", "prompt", "reference", "capability", F.col("meta")["cell"].alias("cell"))
+
+
+def prompt_payload(spark, d):
+    """Pairwise prompts of answers, read back."""
+    qa = inputs.qa(spark, d)
+    said = prompts.parse_payload(prompts.pairwise_prompt(F.col("item_id"), F.col("prompt"), F.col("response"), F.col("prompt"), "ba"))
+    got = qa.select("item_id", said.alias("p"))
+    field = lambda k: F.try_variant_get(F.col("p.payload"), f"$.{k}", "string")
+    return got.select("item_id", F.col("p.kind").alias("kind"), field("order").alias("order"), F.md5(field("response_first")).alias("first"), F.md5(field("response_second")).alias("second"), F.col("p.error").alias("error"))
+
+
 def validate_items(spark, d):
     items = read(spark, d, "conversations").select(F.when(F.col("turn") == 0, "").otherwise(F.col("conv_id").cast("string")).alias("item_id"), F.when(F.col("role") == "system", "").otherwise(F.col("text")).alias("prompt"), F.when(F.col("role") == "user", F.lit("")).otherwise(F.col("text")).alias("reference"), F.lit("typical").alias("edge_case"))
     return datasets.validate(items).groupBy("problem").agg(F.count("*").alias("n"))
@@ -286,4 +301,4 @@ def manifest_sha(spark, d):
     return datasets.dataset_digest(items, "item_id", ["item_id", "t"])
 
 
-QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_verdict, grid_cells, coverage, validate_items, manifest_sha)}
+QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_verdict, grid_cells, coverage, generate_items, prompt_payload, validate_items, manifest_sha)}

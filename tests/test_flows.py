@@ -126,7 +126,7 @@ def test_no_regression(spark):
 def test_grid_and_validation(spark):
     topics = spark.createDataFrame([(0, "T One", "c"), (1, "T two", "c")], "ordinal int, topic string, capability string")
     g = datasets.grid(topics, ["p", "q"], ("easy", "hard")).orderBy("cell").collect()
-    assert len(g) == 8 and {r["edge_case"] for r in g} == set(datasets.EDGE_CASES) and g[0]["item_id"] == "t-one__p__easy__typical__0"
+    assert len(g) == 8 and {r["edge_case"] for r in g} == set(datasets.EDGE_CASES) and g[0]["item_id"] == "T One__p__easy__empty_input__0"
     items = spark.createDataFrame([("a", "p", "r", "typical"), ("a", "p", "r", "typical"), ("", "p", " ", "typical"), ("b", "", "r", "empty_input"), ("c", "", "r", "typical")], "item_id string, prompt string, reference string, edge_case string")
     assert sorted(r["problem"] for r in datasets.validate(items).collect()) == ["duplicate item_id", "empty item_id", "empty prompt", "empty reference"]
 
