@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One word, as a Java regular expression.
@@ -218,3 +218,20 @@ def list_rows(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], limit: int = 32768) -> DataFrame:
+    """``df`` (a written table) with ``__part`` and ``__at``: the row's place by ``order`` within ``by``, from 0.
+
+    Rows are cut into sorted ranges of about ``limit`` rows; a group of any
+    size spans as many ranges as it fills, and its ranges' counts are added up.
+    ``order`` should tell all rows apart, or rows alike share a range.
+    """
+    local = (1 << 33) - 1  # an id's lower bits count the rows of its partition
+    cut = df.repartitionByRange(max(1, -(-df.count() // limit)), *by, *order).sortWithinPartitions(*by, *order)
+    cut = materialise(cut.withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    cut = cut.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(local).alias("__row"))
+    found = cut.groupBy(*by, "__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = found.select(*by, "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return cut.join(shift, [*by, "__part"]).select(*[F.col(f"`{c}`") for c in df.columns], "__part", (F.col("__row") + F.col("__shift")).alias("__at"))
