@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from judgelab.llm.decontamination import op6_decontamination
 from judgelab.llm.lm import op2_lm_scoring
+from judgelab.llm.merkle import op12_merkle_manifest
 from judgelab.llm.minhash import op4_minhash_near_dedup
 from judgelab.llm.mixing import op1_mixing
 from judgelab.llm.oracles import ORACLES
+from judgelab.llm.prefix_trie import op11_prefix_trie
 from judgelab.llm.quality_classifier import op5_quality_classifier
 from judgelab.llm.quality_rules import op7_quality_rules
 from judgelab.llm.sharding import op9_sharding
@@ -25,4 +27,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
