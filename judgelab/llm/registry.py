@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from judgelab.llm.decontamination import op6_decontamination
+from judgelab.llm.license_scan import op13_license_scan
 from judgelab.llm.lm import op2_lm_scoring
 from judgelab.llm.merkle import op12_merkle_manifest
 from judgelab.llm.minhash import op4_minhash_near_dedup
@@ -29,4 +30,5 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
