@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from judgelab.functions.tables import step_path
+
 LENGTH = "#len"
 SAMPLE = 3
 
@@ -26,38 +28,50 @@ def coerce(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(extract_object(text), F.lit(""))))
 
 
-def nesting(df: DataFrame, json_col: str) -> int:
-    """The most containers within each other in any of the texts: one number from one pass."""
-    bare = F.regexp_replace(F.regexp_replace(json_col, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    step = lambda s, c: F.struct((s["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("at"), F.greatest(s["most"], s["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
-    most = F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda s: s["most"])
-    return df.filter(F.try_parse_json(F.col(json_col)).isNotNull()).agg(F.max(most)).first()[0] or 0
+#: Levels that one pass opens.
+LEVELS = 4
+
+
+def _opened(path: Column, v: Column) -> Column:
+    """What a value gives: itself if it is a leaf, else its children and, of a list with a path, its length; ``v`` is what is left to open."""
+    kind = "array<struct<path:string,type:string,value:string,v:variant>>"
+    row = lambda path, t, value, v: F.struct(path.alias("path"), t.alias("type"), value.alias("value"), v.alias("v"))
+    none, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    t = type_name(v)
+    leaf = F.array(row(path, t, F.coalesce(F.to_json(v), F.lit("null")), none))
+    fields = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    inner = F.transform(fields, lambda e: row(F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), no_text, no_text, e["value"]))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    first = F.transform(F.slice(items, 1, SAMPLE), lambda e, i: row(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), no_text, no_text, e))
+    length = F.when(path != "", F.array(row(F.concat(path, F.lit(LENGTH)), F.lit("number"), F.size(items).cast("string"), none))).otherwise(F.array().cast(kind))
+    return F.when(t == "dict", inner).when(t == "list", F.concat(first, length)).otherwise(leaf)
 
 
-def flatten(df: DataFrame, ids: list[str], json_col: str, depth: int | None = None) -> DataFrame:
+def flatten(df: DataFrame, ids: list[str], json_col: str, levels: int = LEVELS) -> DataFrame:
     """Long rows (ids, path, type, value): scalar leaves by dotted path, and list lengths as ``path#len``.
 
     Of a list, the first three elements are looked into.  ``value`` is the
-    leaf's JSON text; numbers print alike whether whole or not.  All depths
-    are reported; ``depth``, where it is known, saves the pass that finds it.
+    leaf's JSON text; numbers print alike whether whole or not.  All depths are
+    reported: a pass opens ``levels`` of them and is written, and what is deeper
+    goes through the same pass again, until nothing is left.  So the plan has
+    one size, and deep texts cost the others nothing.
     """
-    depth = nesting(df, json_col) if depth is None else depth
-    keys = ", ".join(f"`{i}`" for i in ids)
-    level = df.select(*ids, F.lit("").alias("__path"), F.try_parse_json(F.col(json_col)).alias("__v")).filter("__v IS NOT NULL")
-    parts = []
-    for d in range(depth + 1):
-        typed = level.withColumn("__t", type_name(F.col("__v")))
-        leaf = typed.filter("__t NOT IN ('dict', 'list')").select(*ids, F.col("__path").alias("path"), F.col("__t").alias("type"), F.coalesce(F.to_json("__v"), F.lit("null")).alias("value"))
-        size = F.size(F.variant_get("__v", "$", "array<variant>")).cast("string")
-        length = typed.filter("__t = 'list' AND __path <> ''").select(*ids, F.concat("__path", F.lit(LENGTH)).alias("path"), F.lit("number").alias("type"), size.alias("value"))
-        parts += [leaf, length]
-        if d < depth:
-            path = "CASE WHEN key IS NULL THEN concat(__path, '[', pos, ']') WHEN __path = '' THEN key ELSE concat(__path, '.', key) END"
-            level = df.sparkSession.sql(f"SELECT {keys}, {path} AS __path, value AS __v FROM {{level}}, LATERAL variant_explode(__v) WHERE key IS NOT NULL OR pos < {SAMPLE}", level=typed.filter("__t IN ('dict', 'list')"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = df.sparkSession
+    keys = [F.col(f"`{i}`") for i in ids]
+    folder, level = step_path(spark), df.select(*keys, F.lit("").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")).filter("v IS NOT NULL")
+    level = level.select(*keys, "path", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"), "v")
+    k = 0
+    while True:
+        for _ in range(levels):
+            done = F.array(F.struct("path", "type", "value", "v"))
+            level = level.select(*keys, F.explode(F.when(F.col("type").isNotNull(), done).otherwise(_opened(F.col("path"), F.col("v")))).alias("x")).select(*keys, "x.*")
+        part = level.select(*keys, "path", "type", "value", F.to_json("v").alias("rest"))
+        part.write.parquet(f"{folder}/pass={k}")
+        deeper = spark.read.schema(part.schema).parquet(f"{folder}/pass={k}").filter("type IS NULL")
+        if deeper.isEmpty():
+            break
+        level, k = deeper.select(*keys, "path", "type", "value", F.parse_json("rest").alias("v")), k + 1
+    return spark.read.schema(part.schema).parquet(*[f"{folder}/pass={j}" for j in range(k + 1)]).filter("type IS NOT NULL").select(*keys, "path", "type", "value")
 
 
 def _among(kind: Column, text: Column, number: Column, allowed: list) -> Column:
@@ -104,3 +118,38 @@ def schema_errors(v: Column, schema: dict, path: str = "$") -> Column:
         items = F.try_variant_get(v, "$", "array<variant>")
         out = F.concat(out, F.coalesce(F.flatten(F.transform(items, lambda x: schema_errors(x, schema["items"], f"{path}[]"))), F.array().cast("array<string>")))
     return F.when(~F.coalesce(right, F.lit(False)), F.array(F.lit(f"{path}: expected type {want}"))).otherwise(out)
+
+
+_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def _is(value: object, want: str | None) -> bool:
+    if want in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (want == "number" or float(value).is_integer())
+    return isinstance(value, _KINDS[want]) if want in _KINDS else True
+
+
+def schema_violations(value: object, schema: dict, path: str = "$") -> list[str]:
+    """:func:`schema_errors` of one parsed value under a schema that comes as data."""
+    want = schema.get("type")
+    if not _is(value, want):
+        return [f"{path}: expected type {want}"]
+    out, number = [], isinstance(value, (int, float)) and not isinstance(value, bool)
+    allowed = [e for e in schema.get("enum", []) if e is None or isinstance(e, (str, bool, int, float))]
+    if "enum" in schema and (isinstance(value, (dict, list)) or value not in allowed):
+        out.append(f"{path}: not in enum")
+    if isinstance(value, dict):
+        out += [f"{path}: missing required field '{n}'" for n in schema.get("required", []) if n not in value]
+    if isinstance(value, str):
+        out += [f"{path}: shorter than minLength"] if len(value) < schema.get("minLength", 0) else []
+        out += [f"{path}: longer than maxLength"] if len(value) > schema.get("maxLength", len(value)) else []
+    if number:
+        out += [f"{path}: below minimum"] if value < schema.get("minimum", value) else []
+        out += [f"{path}: above maximum"] if value > schema.get("maximum", value) else []
+    if isinstance(value, dict):
+        for name, sub in schema.get("properties", {}).items():
+            out += schema_violations(value[name], sub, f"{path}.{name}") if name in value else []
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        for x in value:
+            out += schema_violations(x, schema["items"], f"{path}[]")
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ def keyword_coverage(keywords: Column, words: Column) -> Column:
     return let(F.struct(keywords.alias("k"), F.array_distinct(words).alias("w")), lambda x: F.when(F.size(x["k"]) == 0, 0.0).otherwise(F.size(F.filter(x["k"], lambda k: F.array_contains(x["w"], k))) / F.size(x["k"])))
 
 
-def f1_overlap(df: DataFrame, id_col: str, left: str, right: str, out: str = "f1") -> DataFrame:
-    """(id, out): F1 of the two texts' word multisets; 0 if either has none.
+def f1_column(left: str, right: str) -> Column:
+    """F1 of two text columns' word multisets; 0 if either has none.
 
     Words become 63-bit hashes whose last bit tells the side; sorted together,
     equal words follow each other and one pass counts what both have.  So a row
@@ -80,7 +82,12 @@ def f1_overlap(df: DataFrame, id_col: str, left: str, right: str, out: str = "f1
         shared = F.aggregate(x["w"], state(long(0), long(0), long(0)), step, lambda s: s["met"])
         return F.when((x["a"] == 0) | (x["b"] == 0) | x["a"].isNull() | x["b"].isNull() | (x["w"].isNull()), 0.0).otherwise(2 * shared / (x["a"] + x["b"]))
 
-    return df.select(id_col, let(both, f1).alias(out))
+    return let(both, f1)
+
+
+def f1_overlap(df: DataFrame, id_col: str, left: str, right: str, out: str = "f1") -> DataFrame:
+    """(id, out): :func:`f1_column` of the two texts."""
+    return df.select(id_col, f1_column(left, right).alias(out))
 
 
 def degrade(text: Column, quality: float) -> Column:
@@ -89,12 +96,10 @@ def degrade(text: Column, quality: float) -> Column:
     if q >= 1.0:
         return text
 
-    def draw(i: Column, head: Column) -> Column:
-        digest = F.sha2(F.concat(head, F.lit("|"), i.cast("string")), 256)
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    bound = f"{math.ceil(q * 4294967296):08x}"  # of the digest's first eight digits, which are compared as text
 
     def kept(x: Column) -> Column:
-        return let(F.filter(x["words"], lambda w, i: draw(i, x["head"]) < q), lambda k: F.array_join(F.when(F.size(k) > 0, k).otherwise(F.slice(x["words"], 1, 1)), " "))
+        return let(F.filter(x["words"], lambda w, i: F.sha2(F.concat(x["head"], F.lit("|"), i.cast("string")), 256) < bound), lambda k: F.array_join(F.when(F.size(k) > 0, k).otherwise(F.slice(x["words"], 1, 1)), " "))
 
     return let(F.struct(F.split(text, " ", -1).alias("words"), F.substring(text, 1, 32).alias("head")), kept)
 
@@ -113,6 +118,35 @@ def hash_embedding(df: DataFrame, id_col: str, text: str, width: int = 256) -> D
     return counts.join(norm, id_col).select(id_col, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def hash_similarity(left: str, right: str, width: int = 256) -> Column:
+    """Cosine of two text columns' hash embeddings, to six places; 0 where either has no features.
+
+    The buckets of both sides are sorted together, so that one pass over the row
+    sums what they share; nothing is shuffled.
+    """
+
+    def side(text: str, bit: int) -> Column:
+        features = let(tokens(text), lambda w: F.concat(w, ngrams(w, 2)))
+        return F.transform(F.coalesce(features, F.array().cast("array<string>")), lambda f: F.shiftleft(F.pmod(F.conv(F.right(F.sha1(f), F.lit(7)), 16, 10).cast("long"), F.lit(width)), 1) + bit)
+
+    zero = F.lit(0.0)
+    state = lambda last, a, b, ab, aa, bb: F.struct(last.alias("last"), a.alias("a"), b.alias("b"), ab.alias("ab"), aa.alias("aa"), bb.alias("bb"))
+    closed = lambda s: (s["ab"] + s["a"] * s["b"], s["aa"] + s["a"] * s["a"], s["bb"] + s["b"] * s["b"])
+
+    def step(s: Column, x: Column) -> Column:
+        """``a``, ``b``: how often each side has the bucket of the run at hand."""
+        bucket, one, other = F.shiftright(x, 1), F.when(x.bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(0.0), F.when(x.bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(0.0)
+        same = bucket == s["last"]
+        sums = [F.when(same, old).otherwise(new) for old, new in zip((s["ab"], s["aa"], s["bb"]), closed(s), strict=True)]
+        return state(bucket, F.when(same, s["a"]).otherwise(zero) + one, F.when(same, s["b"]).otherwise(zero) + other, *sums)
+
+    def ended(s: Column) -> Column:
+        return let(F.struct(*[c.alias(n) for n, c in zip(("ab", "aa", "bb"), closed(s), strict=True)]), lambda x: F.round(F.coalesce(x["ab"] / F.nullif(F.sqrt(x["aa"]) * F.sqrt(x["bb"]), zero), zero), 6))
+
+    both = F.sort_array(F.concat(side(left, 0), side(right, 1)))
+    return F.aggregate(both, state(F.lit(-1).cast("long"), zero, zero, zero, zero, zero), step, ended)
+
+
 def cosine(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
     """(id, similarity) of two tables of unit vectors, for the ids of either; 0 where they don't meet."""
     ids = left.select(id_col).union(right.select(id_col)).distinct()

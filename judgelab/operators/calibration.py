@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +19,61 @@ def verbosity_ols(df: DataFrame, score: str, length: str) -> DataFrame:
     return pts.agg(F.count("*").alias("n"), slope.alias("slope"), intercept.alias("intercept"), pearson(pts, "x", "y").alias("r"))
 
 
-def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n_permutations: int = 999, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """n, slope, p_value, significant: two-sided test of the slope.
+#: Permutations that one pair of random orders gives; rows of a block of such orders.
+LAGS, BLOCK_ROWS = 125, 65536
+
+
+def _lagged_products(lags: int):
+    """Sums of x[k] * y[k + lag] over a block's rows (j, x, y); its last lags - 1 rows have the next block's y alone."""
+
+    def sums(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("j")
+        y, x = t["y"].to_numpy(), t["x"].drop_null().to_numpy()
+        return pa.table({"o": np.full(lags, key[0].as_py()), "lag": np.arange(lags), "t": np.correlate(y, x, "valid")})
+
+    return sums
+
 
-    A permutation orders the scores by hashes of (seed, permutation, id); the
-    k-th of them meets the k-th length by id.  Places are running counts over
-    ranges of (permutation, hash), so no task holds a permutation whole.
+def permuted_products(pts: DataFrame, n: int, n_permutations: int, seed: int, lags: int = LAGS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(o, lag, t): the sum of x * y under ``n_permutations`` random pairings of ``pts`` (i, x, y, one).
+
+    x and y are put into two independent random orders (by hashes of seed and
+    id), and the k-th x meets the (k + lag)-th y, cyclically: each such pairing
+    is a uniformly random permutation.  One pair of orders gives ``lags`` of
+    them, so the rows written don't grow with the number of permutations beyond
+    n_permutations / lags.  A block's products are sums over two slices.
     """
-    pts = written(df.select(F.col(id_col).cast("string").alias("i"), F.col(length).cast("double").alias("x"), F.col(score).cast("double").alias("y"), F.lit(1).alias("one")).dropna())
-    slope = pts.agg(F.count("*").alias("n"), ols("x", "y")[0].alias("slope")).first()
-    if slope["n"] < 3:
+    lags = min(lags, n)
+    orders, blocks = -(-n_permutations // lags), max(1, n // block_rows)
+    each = pts.select("i", "x", "y", "one", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("o"))
+
+    def placed(side: str) -> DataFrame:
+        keyed = written(each.select("o", "i", side, "one", draw(seed, F.lit(side), F.col("o"), F.col("i")).alias("d")))
+        return running(keyed, ["o"], ["d", "i"], ["one"]).select("o", F.col("before_one").alias("k"), side)
+
+    met = placed("x").join(placed("y"), ["o", "k"])
+    block = F.expr(f"((k + 1) * {blocks} - 1) div {n}")
+    met = met.withColumn("b", block).withColumn("j", F.expr(f"k - (b * {n}) div {blocks}"))
+    before = F.expr(f"pmod(b - 1, {blocks})")
+    size = F.expr(f"((pmod(b - 1, {blocks}) + 1) * {n}) div {blocks} - (pmod(b - 1, {blocks}) * {n}) div {blocks}")
+    halo = met.filter(F.col("j") < lags - 1).select("o", before.alias("b"), (F.col("j") + size).alias("j"), F.lit(None).cast("double").alias("x"), "y")
+    parts = met.select("o", "b", "j", "x", "y").unionByName(halo).groupBy("o", "b").applyInArrow(_lagged_products(lags), "o long, lag long, t double")
+    return parts.filter(F.col("o") * lags + F.col("lag") < n_permutations).groupBy("o", "lag").agg(F.sum("t").alias("t"))
+
+
+def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n_permutations: int = 999, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """n, slope, p_value, significant: two-sided permutation test of the slope (see :func:`permuted_products`)."""
+    pts = df.select(F.col(id_col).cast("string").alias("i"), F.col(length).cast("double").alias("x"), F.col(score).cast("double").alias("y"), F.lit(1).alias("one")).dropna()
+    pts = written(pts)
+    s = pts.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx")).first()
+    if s["n"] < 3:
         raise ValueError("verbosity bias needs 3 scored items or more")
-    lengths = running(pts, [], ["i"], ["one"]).select(F.col("before_one").alias("k"), "x")
-    each = pts.select("i", "y", "one", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("p"))
-    each = written(each.select("p", "i", "y", "one", draw(seed, F.col("p"), F.col("i")).alias("d")))
-    scores = running(each, ["p"], ["d", "i"], ["one"]).select("p", F.col("before_one").alias("k"), "y")
-    slopes = scores.join(lengths, "k").groupBy("p").agg(ols("x", "y")[0].alias("s"))
-    p = (F.count_if(F.abs("s") >= abs(slope["slope"]) - 1e-15) + 1) / F.lit(float(n_permutations + 1))
-    return slopes.agg(F.lit(slope["n"]).cast("long").alias("n"), F.lit(slope["slope"]).alias("slope"), p.alias("p_value"), (p < alpha).alias("significant"))
+    n, spread = s["n"], s["n"] * s["xx"]
+    slope = s["xy"] / s["xx"] if s["xx"] else 0.0
+    centred = pts.select("i", (F.col("x") - s["mx"]).alias("x"), (F.col("y") - s["my"]).alias("y"), "one")
+    slopes = permuted_products(centred, n, n_permutations, seed).select((F.col("t") / spread if spread else F.lit(0.0)).alias("s"))
+    p = (F.count_if(F.abs("s") >= abs(slope) - 1e-12 * max(1.0, abs(slope))) + 1) / F.lit(float(n_permutations + 1))
+    return slopes.agg(F.lit(n).cast("long").alias("n"), F.lit(slope).alias("slope"), p.alias("p_value"), (p < alpha).alias("significant"))
 
 
 def self_preference(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgelab.functions.text import content_tokens, f1_overlap, is_blank, keyword_coverage, tokens
+from judgelab.functions.text import content_tokens, f1_column, is_blank, keyword_coverage, tokens
 
 #: A judge takes items (item_id, prompt, response, reference) and adds ``overall``.
 Judge = Callable[[DataFrame], DataFrame]
@@ -108,9 +108,9 @@ def heuristic_judge(items: DataFrame, criteria: tuple[Criterion, ...] = DEFAULT_
     return scored.withColumn("criterion_scores", parts).withColumn("overall", overall).drop(*[f"__{c.name}" for c in criteria])
 
 
-def reference_judge(items: DataFrame, id_col: str = "item_id") -> DataFrame:
-    """(id, overall): five times the F1 of response and reference words."""
-    return f1_overlap(items, id_col, "response", "reference").select(id_col, F.round(5 * F.col("f1"), 4).alias("overall"))
+def reference_judge(items: DataFrame) -> DataFrame:
+    """``items`` with overall, five times the F1 of response and reference words: one projection, no shuffle."""
+    return items.withColumn("overall", F.round(5 * f1_column("response", "reference"), 4))
 
 
 def rubric_payload(df: DataFrame, payload: str, criteria: tuple[Criterion, ...] = DEFAULT_RUBRIC) -> DataFrame:

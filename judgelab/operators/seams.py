@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgelab.functions.jsonx import LENGTH, flatten
+from judgelab.functions.tables import RANGE_ROWS, running, sequenced, written
 
 
-def handoff_fields(steps: DataFrame, depth: int | None = None) -> DataFrame:
+def seam_pairs(steps: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
+    """(chain_id, seam, before, after): a step's output and the next step's input; a chain may have any length."""
+    cut = sequenced(steps.select("chain_id", "step_idx", "input", "output"), ["chain_id"], ["step_idx"], {"after": "input", "__next": "step_idx"}, limit)
+    return cut.filter("__next IS NOT NULL").select("chain_id", F.col("__at").alias("seam"), F.col("output").alias("before"), "after")
+
+
+def handoff_fields(steps: DataFrame) -> DataFrame:
     """One row a field of a seam: what became of it.
 
     ``steps`` has (chain_id, step_idx, name, input, output), JSON texts.  Seam i
@@ -16,11 +23,13 @@ def handoff_fields(steps: DataFrame, depth: int | None = None) -> DataFrame:
     recovered (gone, but the value turns up elsewhere), dropped, mutated,
     type_changed, added.  A list that grew counts as kept.
     """
+    return _fields(seam_pairs(steps))
+
+
+def _fields(pairs: DataFrame) -> DataFrame:
     seam = ["chain_id", "seam"]
-    w = Window.partitionBy("chain_id").orderBy("step_idx")
-    pairs = steps.select("chain_id", (F.row_number().over(w)).alias("seam"), F.col("output").alias("before"), F.lead("input").over(w).alias("after"), F.lead("step_idx").over(w).alias("__next")).filter("__next IS NOT NULL")
-    left = flatten(pairs, seam, "before", depth).select(*seam, "path", F.col("type").alias("t1"), F.col("value").alias("v1"))
-    right = flatten(pairs, seam, "after", depth).select(*seam, "path", F.col("type").alias("t2"), F.col("value").alias("v2"))
+    left = flatten(pairs, seam, "before").select(*seam, "path", F.col("type").alias("t1"), F.col("value").alias("v1"))
+    right = flatten(pairs, seam, "after").select(*seam, "path", F.col("type").alias("t2"), F.col("value").alias("v2"))
     met = left.join(right, [*seam, "path"], "full")
     number = lambda c: F.try_to_number(F.col(c), F.lit("999999999")).cast("double")
     grew = F.col("path").endswith(LENGTH) & (number("v2") > number("v1"))
@@ -34,12 +43,12 @@ def handoff_fields(steps: DataFrame, depth: int | None = None) -> DataFrame:
     return looked.select(*seam, "path", "t1", "v1", "t2", "v2", F.when(F.col("__hit"), "recovered").otherwise(F.col("fate")).alias("fate"))
 
 
-def handoffs(steps: DataFrame, depth: int | None = None) -> DataFrame:
+def handoffs(steps: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
     """(chain_id, seam, n_fields, counts by fate, fidelity) for every seam, also where nothing was handed over."""
-    w = Window.partitionBy("chain_id").orderBy("step_idx")
-    every = steps.select("chain_id", F.row_number().over(w).alias("seam"), F.lead("step_idx").over(w).alias("n")).filter("n IS NOT NULL").drop("n")
+    pairs = written(seam_pairs(steps, limit))
+    every = pairs.select("chain_id", "seam")
     fates = ("kept", "recovered", "dropped", "mutated", "type_changed", "added")
-    counts = handoff_fields(steps, depth).groupBy("chain_id", "seam").agg(*[F.count_if(F.col("fate") == f).alias(f) for f in fates])
+    counts = _fields(pairs).groupBy("chain_id", "seam").agg(*[F.count_if(F.col("fate") == f).alias(f) for f in fates])
     out = every.join(counts, ["chain_id", "seam"], "left").na.fill(0, list(fates))
     n = F.col("kept") + F.col("recovered") + F.col("dropped") + F.col("mutated") + F.col("type_changed")
     return out.select("*", n.alias("n_fields"), F.round(F.when(n == 0, 1.0).otherwise((F.col("kept") + F.col("recovered")) / F.nullif(n, F.lit(0))), 6).alias("fidelity"))
@@ -51,10 +60,10 @@ def chain_audit(seams: DataFrame) -> DataFrame:
     return seams.groupBy("chain_id").agg(F.count("*").alias("n_seams"), F.round(mean, 6).alias("chain_fidelity"), F.min(F.when(F.col("fidelity") < 0.5, F.col("seam"))).alias("fidelity_halflife"))
 
 
-def blame(seams: DataFrame) -> DataFrame:
-    """Seams worst first: loss times the steps after it."""
-    n = F.max("seam").over(Window.partitionBy("chain_id"))
-    after = n - F.col("seam") + 1
-    severity = (1 - F.col("fidelity")) * after
-    place = F.row_number().over(Window.partitionBy("chain_id").orderBy(F.desc("severity"), "seam"))
-    return seams.select("chain_id", "seam", "fidelity", after.alias("downstream_steps"), severity.alias("severity")).withColumn("rank", place)
+def blame(seams: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
+    """Seams worst first: loss times the steps after it.  Ranks are running counts over ranges, so a chain may have any length."""
+    lengths = seams.groupBy("chain_id").agg(F.max("seam").alias("__n"))
+    after = F.col("__n") - F.col("seam") + 1
+    severe = seams.join(lengths, "chain_id").select("chain_id", "seam", "fidelity", after.alias("downstream_steps"), ((1 - F.col("fidelity")) * after).alias("severity"))
+    ranked = running(written(severe.withColumns({"__order": -F.col("severity"), "__one": F.lit(1)})), ["chain_id"], ["__order", "seam"], ["__one"], limit)
+    return ranked.select("chain_id", "seam", "fidelity", "downstream_steps", "severity", (F.col("before___one") + 1).cast("int").alias("rank"))

@@ -8,8 +8,13 @@ window spans the whole table.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,33 +171,85 @@ def draw(seed: int, *parts: Column, place: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1 + 8 * place, 8), 16, 10).cast("long")
 
 
-#: P(Poisson(1) <= k) for k = 0, 1, ...
-_POISSON_ONE = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+#: Counts up to this are drawn from the exact Poisson law.
+EXACT_COUNT = 32
+_ODD = np.uint32(0x9E3779B9)
+
+
+def _fmix(h: np.ndarray) -> np.ndarray:
+    """A bijective 32-bit finaliser."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+@lru_cache(maxsize=EXACT_COUNT)
+def _poisson_steps(c: int) -> np.ndarray:
+    """P(Poisson(c) <= k) for k = 0, 1, ... 4 c + 16."""
+    k = np.arange(4 * c + 17)
+    return np.cumsum(np.exp(k * math.log(c) - c - np.array([math.lgamma(i + 1) for i in k])))
+
+
+def poisson_times(key: tuple[int, int], count: float, n_resamples: int) -> np.ndarray:
+    """How often a value of this count is drawn in each resample; ``key``: two 32-bit numbers that stand for the value."""
+    r, a, b = np.arange(n_resamples, dtype=np.uint32) * _ODD, np.uint32(key[0]), np.uint32(key[1])
+    u1 = (_fmix(_fmix(r + a) ^ b) + 0.5) / 4294967296.0
+    if count <= EXACT_COUNT:
+        return np.searchsorted(_poisson_steps(int(count)), u1, side="right").astype(np.float64)
+    u2 = (_fmix(_fmix(r + b) ^ a) + 0.5) / 4294967296.0
+    z = np.sqrt(-2 * np.log(u1)) * np.cos(2 * math.pi * u2)
+    # Square-root transform: (sqrt(c - 1 / 4) + z / 2) ** 2 has mean c and a variance close to it.
+    return np.maximum(0.0, np.rint((math.sqrt(count - 0.25) + z / 2) ** 2))
+
+
+def _resampled_sums(seed: int, n_resamples: int, most_groups: int = 256):
+    """Partial sums of a partition's values (g, d, c): for each group and resample, the draws and their sum."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            names, rows = [*held], np.stack([*held.values()]) if held else np.zeros((0, 2, n_resamples))
+            held.clear()
+            kind = pa.list_(pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*rows[:, 0]], kind), pa.array([*rows[:, 1]], kind)], ["g", "t", "s"])
+
+        for b in batches:
+            d = b.column("d").to_numpy() + 0.0  # one zero
+            for g, x, bits, c in zip(b.column("g").to_pylist(), d.tolist(), d.view(np.int64).tolist(), b.column("c").to_pylist(), strict=True):
+                digest = hashlib.md5(f"{seed}|{g}|{bits}".encode()).digest()
+                times = poisson_times((int.from_bytes(digest[:4], "big"), int.from_bytes(digest[4:8], "big")), c, n_resamples)
+                if g not in held:
+                    if len(held) >= most_groups:
+                        yield out()
+                    held[g] = np.zeros((2, n_resamples))
+                held[g][0] += times
+                held[g][1] += times * x
+        yield out()
+
+    return sums
 
 
 def bootstrap_ci(df: DataFrame, delta: str, n_resamples: int = 2000, confidence: float = 0.95, seed: int = 0, by: str | None = None) -> DataFrame:
     """(by,) n, mean, ci_low, ci_high: percentile interval of resampled means.
 
     A resample of n rows is a Poisson bootstrap: each distinct delta of count c
-    is drawn Poisson(c) times.  That law agrees with drawing n rows with
-    replacement as n grows, needs no row numbers and splits over any number of
-    partitions; draws come from hashes of (seed, resample, value), so results
-    can be replayed.  Counts above 1 use the normal approximation of the law.
+    is drawn Poisson(c) times, by hashes of (seed, group, all bits of the delta,
+    resample), so unlike deltas are drawn independently however close they are,
+    and results can be replayed.  That law agrees with drawing n rows with
+    replacement as n grows.  A partition's values are summed into one vector of
+    ``n_resamples`` draws a group: what is shuffled afterwards depends on the
+    partitions, not on the rows.
     """
     key = by or "__all"
-    src = df.select((F.col(by) if by else F.lit("all")).alias(key), F.col(delta).cast("double").alias("d")).filter("d IS NOT NULL")
+    src = df.select((F.col(by) if by else F.lit("all")).alias(key), (F.col(delta).cast("double") + 0.0).alias("d")).filter("d IS NOT NULL")
     counts = written(src.groupBy(key, "d").agg(F.count("*").cast("double").alias("c")))
-    spread = counts.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)  # few rows, much work each
-    each = spread.select(key, "d", "c", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("r"))
-    u1, u2 = ((draw(seed, F.col("r"), F.col(key), F.rint(F.col("d") * 1e6).cast("long"), place=k) + 0.5) / 4294967296.0 for k in (0, 1))
-    z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-    # Square-root transform: (sqrt(c) + z / 2) ** 2 has mean and variance close to c.
-    many = F.greatest(F.lit(0.0), F.round(F.pow(F.sqrt(F.col("c") - 0.25) + z / 2, F.lit(2.0))))
-    once = sum((F.when(u1 >= upto, 1.0).otherwise(0.0) for upto in _POISSON_ONE), F.lit(0.0))
-    times = F.when(F.col("c") == 1, once).otherwise(many)
-    means = each.select(key, "r", "d", times.alias("t")).groupBy(key, "r").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.col("d")).alias("s")).filter("t > 0").select(key, (F.col("s") / F.col("t")).alias("m"))
+    values = counts.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("g"), "d", "c").repartition(2 * df.sparkSession.sparkContext.defaultParallelism)  # few rows, much work each
+    part = values.mapInArrow(_resampled_sums(seed, n_resamples), "g string, t array<double>, s array<double>")
+    each = part.select("g", F.posexplode(F.arrays_zip("t", "s")).alias("r", "x")).groupBy("g", "r").agg(F.sum("x.t").alias("t"), F.sum("x.s").alias("s"))
+    means = each.filter("t > 0").select("g", (F.col("s") / F.col("t")).alias("m"))
     tail = (1 - confidence) / 2
-    ci = means.groupBy(key).agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
+    ci = means.groupBy("g").agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
     whole = counts.groupBy(key).agg(F.sum("c").cast("long").alias("n"), (F.sum(F.col("c") * F.col("d")) / F.sum("c")).alias("mean"))
-    out = whole.join(ci, key, "left")
+    out = whole.withColumn("g", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(ci, "g", "left").drop("g")
     return out if by else out.drop(key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from judgelab.functions import prompts
 from judgelab.functions.jsonx import flatten
-from judgelab.functions.text import content_tokens, cosine, degrade, f1_overlap, hash_embedding, keyword_coverage, normalize, tokens
+from judgelab.functions.text import content_tokens, degrade, f1_overlap, hash_similarity, keyword_coverage, normalize, tokens
 from judgelab.operators import calibration, datasets, generator, isotonic, judges, regression, seams, stats, suite
 from judgelab.plans import inputs
 from judgelab.plans.inputs import read
@@ -54,7 +54,7 @@ def heuristic_judge(spark, d):
 
 
 def reference_judge(spark, d):
-    return judges.reference_judge(inputs.qa(spark, d).withColumnRenamed("prompt", "reference"))
+    return judges.reference_judge(inputs.qa(spark, d).withColumnRenamed("prompt", "reference")).select("item_id", "overall")
 
 
 def degrade_replay(spark, d):
@@ -93,22 +93,22 @@ def paired_effect(spark, d):
 
 
 def cliffs_delta(spark, d):
-    both = inputs.snapshot(spark, d, 0.75, "x").unionByName(inputs.snapshot(spark, d, 0.7, "y"))
+    both = inputs.snapshots(spark, d, {"x": 0.75, "y": 0.7})
     return stats.cliffs_delta(both, "model_version", "score").select(F.round("cliffs_delta", 6).alias("cliffs_delta"))
 
 
 def wilcoxon_stat(spark, d):
-    w = stats.wilcoxon(inputs.deltas(spark, d).withColumn("delta", F.round("delta", 4)), "delta")
+    w = stats.wilcoxon(inputs.deltas(spark, d), "delta")
     return w.select("n", F.round("w_plus", 1).alias("w_plus"), F.round("variance", 2).alias("variance"), F.round("z", 4).alias("z"))
 
 
 def wilcoxon_exact(spark, d):
-    groups = read(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("sample"), F.round(F.col("value") - 50, 3).alias("delta"))
+    groups = read(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("sample"), (F.col("value") - 50).alias("delta"))
     return stats.wilcoxon(groups, "delta", ["sample"]).select("sample", "n", F.round("w_plus", 1).alias("w_plus"), F.round("p_value", 6).alias("p_value"), "method")
 
 
 def wilcoxon_p_normal(spark, d):
-    t = stats.wilcoxon(inputs.deltas(spark, d).withColumn("delta", F.round("delta", 4)), "delta")
+    t = stats.wilcoxon(inputs.deltas(spark, d), "delta")
     return t.select("n", F.round("w_plus", 1).alias("statistic"), F.round("p_value", 6).alias("p_value"), "method")
 
 
@@ -128,7 +128,7 @@ def gate_decision(spark, d):
 
 
 def drift_summary(spark, d):
-    deltas = inputs.deltas(spark, d).withColumn("delta", F.round("delta", 4))
+    deltas = inputs.deltas(spark, d)
     return regression.drift_summary(regression.drift_total(deltas), stats.wilcoxon(deltas, "delta"), regression.drift_slices(deltas), missing_items(spark, d))
 
 
@@ -196,8 +196,8 @@ def bias_summary(spark, d):
     family = lambda n: F.concat(F.lit("f"), (F.col("doc_id") % n).cast("string"))
     preferred = F.when(F.col("doc_id") % 4 == 0, "a").when(F.col("doc_id") % 4 == 1, "b").otherwise("tie")
     items = labels.select("item_id", F.lit("a prompt").alias("prompt"), F.when(F.col("doc_id") % 6 != 0, F.col("text")).alias("response_a"), "judge_score", family(3).alias("judge_family"), family(2).alias("a_family"), family(5).alias("b_family"), preferred.alias("preferred"))
-    s = calibration.summarize_bias(items, pairwise_debias(spark, d), n_permutations=19)
-    return s.select(F.round("position_bias_rate", 6).alias("position_bias_rate"), F.round(F.col("verbosity_slope") * 1000, 5).alias("slope_per_1000"), F.round("verbosity_r", 5).alias("r"), "n_comparable", "n_flagged", F.round("rate", 6).alias("rate"))
+    s = calibration.summarize_bias(items, pairwise_debias(spark, d))
+    return s.select(F.round("position_bias_rate", 6).alias("position_bias_rate"), F.round(F.col("verbosity_slope") * 1000, 5).alias("slope_per_1000"), F.round("verbosity_r", 5).alias("r"), "n_comparable", "n_flagged", F.round("rate", 6).alias("rate"), F.round("verbosity_p", 6).alias("p_value"), "significant")
 
 
 def active_queue(spark, d):
@@ -249,8 +249,7 @@ def blame(spark, d):
 
 def hash_embed_similarity(spark, d):
     q = inputs.qa(spark, d)
-    near = cosine(hash_embedding(q, "item_id", "prompt"), hash_embedding(q, "item_id", "response"), "item_id")
-    return near.select("item_id", "similarity")
+    return q.select("item_id", hash_similarity("prompt", "response").alias("similarity"))
 
 
 SUITE_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10}}}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from judgelab.functions.tables import written
 from judgelab.functions.text import degrade, tokens
 from judgelab.operators.judges import reference_judge
+from judgelab.operators.regression import paired_deltas
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +32,20 @@ def judged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot(spark: SparkSession, sf_dir: str, quality: float, version: str) -> DataFrame:
     """Documents degraded to ``quality`` and judged against themselves; capability is the language."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("capability"), F.col("text").alias("reference")).withColumn("response", degrade(F.col("reference"), quality))
-    scores = reference_judge(docs)
-    return docs.select("item_id", "capability").join(scores, "item_id").select(F.lit(version).alias("model_version"), "item_id", "capability", F.col("overall").alias("score"))
+    return snapshots(spark, sf_dir, {version: quality})
 
 
-def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from judgelab.operators.regression import paired_deltas
+def snapshots(spark: SparkSession, sf_dir: str, qualities: dict[str, float]) -> DataFrame:
+    """Snapshots of several versions from one scan of the documents."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("capability"), F.col("text").alias("reference"))
+    answers = F.array(*[F.struct(F.lit(v).alias("version"), degrade(F.col("reference"), q).alias("response")) for v, q in qualities.items()])
+    each = docs.select("item_id", "capability", "reference", F.explode(answers).alias("a")).select("item_id", "capability", "reference", "a.version", "a.response")
+    return reference_judge(each).select(F.col("version").alias("model_version"), "item_id", "capability", F.col("overall").alias("score"))
+
 
-    return written(paired_deltas(snapshot(spark, sf_dir, 0.75, "v1"), snapshot(spark, sf_dir, 0.7, "v2")))
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = written(snapshots(spark, sf_dir, {"v1": 0.75, "v2": 0.7}))
+    return written(paired_deltas(both.filter("model_version = 'v1'"), both.filter("model_version = 'v2'")))
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:

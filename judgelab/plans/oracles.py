@@ -73,6 +73,19 @@ heuristic AS (SELECT item_id, relevance, clarity, round(relevance * 0.25 + compl
 _RANKS = """ranked AS (SELECT *, avg(rn) OVER (PARTITION BY judge_score) AS rj, avg(rm) OVER (PARTITION BY human_score) AS rh FROM (
   SELECT *, row_number() OVER (ORDER BY judge_score) AS rn, row_number() OVER (ORDER BY human_score) AS rm FROM lj))"""
 
+
+
+def _permutation(source: str, x: str, y: str) -> str:
+    """CTEs ending in ``pt`` (n, p): 999 pairings of two random orders, lag by lag."""
+    place = lambda side: f"row_number() OVER (PARTITION BY o ORDER BY ('0x' || substr(md5('0|{side}|' || o || '|' || item_id), 1, 8))::UBIGINT, item_id) - 1 AS k{side}"
+    return f"""pm AS (SELECT count(*) AS n, least(125, count(*)) AS lags, avg({x}::DOUBLE) AS mx, avg({y}::DOUBLE) AS my FROM {source}),
+pc AS (SELECT item_id, {x} - mx AS x, {y} - my AS y, n, lags FROM {source}, pm),
+pe AS (SELECT *, {place('x')}, {place('y')} FROM (SELECT *, unnest(range((999 + lags - 1) // lags)) AS o FROM pc)),
+pl AS (SELECT a.o, a.lag, sum(a.x * b.y) / (SELECT sum(x * x) FROM pc) AS s FROM (SELECT *, unnest(range(lags)) AS lag FROM pe) a JOIN pe b ON b.o = a.o AND b.ky = (a.kx + a.lag) % a.n WHERE a.o * a.lags + a.lag < 999 GROUP BY ALL),
+po AS (SELECT count(*) AS n, sum(x * y) / sum(x * x) AS s FROM pc),
+pt AS (SELECT po.n, (count(*) FILTER (abs(pl.s) >= abs(po.s) - 1e-12 * greatest(1, abs(po.s))) + 1) / 1000.0::DOUBLE AS p FROM pl, po GROUP BY po.n)"""
+
+
 _SPEARMAN = "CASE WHEN count(*) < 2 OR var_pop(rj) = 0 OR var_pop(rh) = 0 THEN 0 ELSE corr(rj, rh) END"
 
 _KAPPA = """po AS (SELECT avg((j = h)::INT::DOUBLE) AS po, count(*)::DOUBLE AS n FROM lv),
@@ -82,13 +95,21 @@ kp AS (SELECT CASE WHEN coalesce(s, 0) / n / n = 1 THEN (po = 1)::INT::DOUBLE EL
 _LEVELS = "lv AS (SELECT round_even(judge_score, 0)::INT AS j, round_even(human_score, 0)::INT AS h FROM lj)"
 
 
+def _fmix(name: str, x: str) -> str:
+    """Columns ending in ``name``: 32-bit finaliser of x."""
+    return f"({x})::UBIGINT AS {name}0, (xor({name}0, {name}0 >> 16) * 2246822507) & 4294967295 AS {name}1, (xor({name}1, {name}1 >> 13) * 3266489909) & 4294967295 AS {name}2, xor({name}2, {name}2 >> 16) AS {name}"
+
+
 def _bootstrap(source: str, n: int, seed: int) -> str:
     """CTEs ending in ``ci`` (g, n, mean, ci_low, ci_high) from ``source`` (g, d)."""
-    poisson = " + ".join(f"(u1 >= (SELECT sum(exp(-1.0::DOUBLE) / factorial(i::INTEGER)::DOUBLE) FROM range({k + 1}) t(i)))::INT" for k in range(9))
-    u = lambda at: f"(('0x' || substr(md5('{seed}|' || r || '|' || g || '|' || round_even(d * 1e6, 0)::BIGINT), {at}, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE"
-    return f"""bc AS (SELECT g, d, count(*)::DOUBLE AS c FROM {source} GROUP BY ALL),
-bu AS (SELECT *, {u(1)} AS u1, {u(9)} AS u2 FROM bc, range({n}) t(r)),
-bt AS (SELECT *, CASE WHEN c = 1 THEN {poisson} ELSE greatest(0.0::DOUBLE, round(power(sqrt(c - 0.25::DOUBLE) + sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / 2, 2))) END AS times FROM bu),
+    half = lambda at: f"('0x' || substr(md5('{seed}|' || g || '|' || d::BIT::BIGINT), {at}, 8))::UBIGINT"
+    step = "r::UBIGINT * 2654435769"
+    return f"""bc AS (SELECT g, d, count(*)::DOUBLE AS c FROM (SELECT g, d::DOUBLE + 0.0::DOUBLE AS d FROM {source}) GROUP BY ALL),
+bh AS (SELECT *, {half(1)} AS h, {half(9)} AS l FROM bc),
+bu AS (SELECT g, d, c, r, {_fmix("p", f"({step} + h) & 4294967295")}, {_fmix("q", "xor(p, l)")}, {_fmix("v", f"({step} + l) & 4294967295")}, {_fmix("w", "xor(v, h)")}, (q::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u1, (w::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u2 FROM bh, range({n}) t(r)),
+ck AS (SELECT c, k, exp(k * ln(c) - c - lgamma(k + 1)) AS p FROM (SELECT c, unnest(range((4 * c + 17)::BIGINT)) AS k FROM (SELECT DISTINCT c FROM bc WHERE c <= 32))),
+cl AS (SELECT c, list(s ORDER BY k) AS steps FROM (SELECT c, k, sum(p) OVER (PARTITION BY c ORDER BY k) AS s FROM ck) GROUP BY c),
+bt AS (SELECT g, r, d, CASE WHEN c <= 32 THEN len(list_filter(steps, lambda x: x <= u1))::DOUBLE ELSE greatest(0.0::DOUBLE, round_even(power(sqrt(c - 0.25::DOUBLE) + sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / 2, 2), 0)) END AS times FROM bu LEFT JOIN cl USING (c)),
 bm AS (SELECT g, r, sum(times * d) / sum(times) AS m FROM bt GROUP BY ALL HAVING sum(times) > 0),
 bq AS (SELECT g, quantile_cont(m, (1 - 0.95::DOUBLE) / 2) AS ci_low, quantile_cont(m, 1 - (1 - 0.95::DOUBLE) / 2) AS ci_high FROM bm GROUP BY 1),
 bn AS (SELECT g, count(*) AS n, avg(d) AS mean, avg(sign(d)::DOUBLE) AS effect FROM {source} GROUP BY 1),
@@ -143,7 +164,7 @@ grid AS (SELECT *, {_EDGES}[(((cell * 2 + k) * 2 + k) % 6 + 1)::INT] AS edge_cas
 #: Two-sided tail of the standard normal law at z, from a series with positive terms.
 _TWO_SIDED = "least(1.0::DOUBLE, CASE WHEN z > 8 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * (SELECT sum(exp(k * ln(2.0) + (2 * k + 1) * ln(greatest(z, 1e-300) / sqrt(2.0)) + k * ln(2.0) + lgamma(k + 1.0) - lgamma(2 * k + 2.0))) FROM range(150) q(k)) END)"
 
-_SIGNED = """u AS (SELECT round(delta, 4) AS d FROM deltas WHERE round(delta, 4) <> 0), rr AS (SELECT d, abs(d) AS m, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
+_SIGNED = """u AS (SELECT delta AS d FROM deltas WHERE delta <> 0), rr AS (SELECT d, abs(d) AS m, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
 ss AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w FROM rr), tt AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM rr GROUP BY m)),
 zz AS (SELECT n, w, abs(w - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM ss, tt)"""
 
@@ -168,11 +189,11 @@ ORACLES: dict[str, str] = {
     "missing_items": "SELECT doc_id::VARCHAR AS item_id, CASE WHEN doc_id % 5 = 0 THEN 'baseline' ELSE 'candidate' END AS missing_from FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)",
     "paired_effect": f"WITH {_DELTAS} SELECT round(avg(sign(delta)::DOUBLE), 6) AS effect FROM deltas",
     "cliffs_delta": f"WITH {_snap('s1', 0.75)}, {_snap('s2', 0.7)} SELECT round(avg(sign(s1.score - s2.score)::DOUBLE), 6) AS cliffs_delta FROM s1, s2",
-    "wilcoxon_stat": f"""WITH {_DELTAS}, u AS (SELECT round(delta, 4) AS d FROM deltas WHERE round(delta, 4) <> 0), r AS (SELECT d, abs(d) AS m, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
+    "wilcoxon_stat": f"""WITH {_DELTAS}, u AS (SELECT delta AS d FROM deltas WHERE delta <> 0), r AS (SELECT d, abs(d) AS m, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
 s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r), t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY m)),
 v AS (SELECT n, w, n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS v FROM s, t)
 SELECT n, round(w, 1) AS w_plus, round(v, 2) AS variance, round((w - n::DOUBLE * (n + 1) / 4) / sqrt(v), 4) AS z FROM v""",
-    "wilcoxon_exact": f"""WITH u AS (SELECT user_id || '/' || event_type AS sample, round(value - 50, 3) AS d FROM events WHERE round(value - 50, 3) <> 0),
+    "wilcoxon_exact": f"""WITH u AS (SELECT user_id || '/' || event_type AS sample, value - 50 AS d FROM events WHERE value <> 50),
 r AS (SELECT sample, d, row_number() OVER (PARTITION BY sample ORDER BY abs(d)) - 1 AS i, rank() OVER (PARTITION BY sample ORDER BY abs(d)) + (count(*) OVER (PARTITION BY sample, abs(d)) - 1) / 2.0::DOUBLE AS r FROM u),
 s AS (SELECT sample, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w FROM r GROUP BY 1),
 a AS (SELECT sample, mask, sum(r * ((mask >> i) & 1)) AS w FROM r JOIN s USING (sample), range(65536) t(mask) WHERE n <= 16 AND mask < (1 << n::INT) GROUP BY ALL),
@@ -184,7 +205,7 @@ SELECT sample, n, round(w, 1) AS w_plus, round(coalesce(p, {_TWO_SIDED}), 6) AS
     "bootstrap_ci": f"WITH {_DELTAS}, src AS (SELECT 'all' AS g, delta AS d FROM deltas), {_bootstrap('src', 2000, 12345)} SELECT n, round(mean, 5) AS mean, round(ci_low, 5) AS ci_low, round(ci_high, 5) AS ci_high FROM ci",
     "drift_slices": f"WITH {_DELTAS}, src AS (SELECT capability AS g, delta AS d FROM deltas), {_bootstrap('src', 1000, 12345)}, {_SLICES} SELECT g AS capability, n, round(mean, 5) AS mean_delta, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high, round(effect, 5) AS effect_size, {_verdict('lo', 'hi')} AS verdict FROM cj",
     "gate_decision": f"WITH {_DELTAS}, src AS (SELECT 'all' AS g, delta AS d FROM deltas), {_bootstrap('src', 2000, 12345)} SELECT n, round(mean, 5) AS mean_delta, {_verdict('ci_low', 'ci_high')} AS verdict, {_verdict('ci_low', 'ci_high')} <> 'regressed' AS passed FROM ci",
-    "drift_summary": f"""WITH {_DELTAS.replace("s1.score - s2.score AS delta", "round(s1.score - s2.score, 4) AS delta")}, {_SIGNED},
+    "drift_summary": f"""WITH {_DELTAS}, {_SIGNED},
 total AS (WITH src AS (SELECT 'all' AS g, delta AS d FROM deltas), {_bootstrap('src', 2000, 12345)} SELECT *, {_verdict('ci_low', 'ci_high')} AS verdict FROM ci),
 slices AS (WITH src AS (SELECT capability AS g, delta AS d FROM deltas), {_bootstrap('src', 1000, 12345)}, {_SLICES} SELECT g, {_verdict('lo', 'hi')} AS verdict FROM cj),
 moved AS (SELECT coalesce(string_agg(g, ', ' ORDER BY g) FILTER (verdict = 'regressed'), '') AS worse, coalesce(string_agg(g, ', ' ORDER BY g) FILTER (verdict = 'improved'), '') AS better FROM slices)
@@ -196,8 +217,8 @@ SELECT concat_ws(chr(10), 'Verdict: ' || CASE t.verdict WHEN 'regressed' THEN 'R
 SELECT sum(n)::BIGINT AS n_items, round(sum(t) / sum(n), 4) AS mean_score, '{{' || string_agg('"' || capability || '":' || m::VARCHAR, ',' ORDER BY capability) || '}}' AS capability_means, 64::INT AS digest_length FROM m""",
     "bias_summary": f"""WITH {_LABELS}, {_PAIRS}, x AS (SELECT lj.*, 'f' || doc_id % 3 AS j, 'f' || doc_id % 2 AS a, 'f' || doc_id % 5 AS b, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS pref, CASE WHEN doc_id % 6 <> 0 THEN n_tokens ELSE 2 END AS len FROM lj),
 o AS (SELECT pref, CASE WHEN j = a THEN 'a' WHEN j = b THEN 'b' END AS own FROM x WHERE pref IS NOT NULL),
-f AS (SELECT count(own) AS n_comparable, count(*) FILTER (own = pref) AS n_flagged, round(coalesce((count(*) FILTER (own = pref))::DOUBLE / nullif(count(own), 0), 0), 6) AS rate FROM o)
-SELECT 0.0::DOUBLE AS position_bias_rate, v.*, f.* FROM f, (SELECT round(coalesce(regr_slope(judge_score, len), 0) * 1000, 5) AS slope_per_1000, round(corr(judge_score, len), 5) AS r FROM x) v""",
+f AS (SELECT count(own) AS n_comparable, count(*) FILTER (own = pref) AS n_flagged, round(coalesce((count(*) FILTER (own = pref))::DOUBLE / nullif(count(own), 0), 0), 6) AS rate FROM o), {_permutation('x', 'len', 'judge_score')}
+SELECT 0.0::DOUBLE AS position_bias_rate, v.*, f.*, round(pt.p, 6) AS p_value, pt.p < 0.05 AS significant FROM f, pt, (SELECT round(coalesce(regr_slope(judge_score, len), 0) * 1000, 5) AS slope_per_1000, round(corr(judge_score, len), 5) AS r FROM x) v""",
     "pav_fit": f"""WITH {_LABELS}, o AS (SELECT judge_score AS x, human_score AS y, row_number() OVER (ORDER BY judge_score, doc_id) AS i FROM lj),
 c AS (SELECT i, x, y, sum(y) OVER (ORDER BY i) AS s FROM o), l AS (SELECT b.i, max((b.s - a.s + a.y) / (b.i - a.i + 1)) AS v FROM c a JOIN c b ON a.i <= b.i GROUP BY 1),
 r AS (SELECT a.i, min((b.s - a.s) / (b.i - a.i)) AS v FROM c a JOIN c b ON b.i > a.i GROUP BY 1),
@@ -215,11 +236,7 @@ c AS (SELECT i, sum(y) OVER (ORDER BY i) AS s FROM o), m AS (SELECT a.i, b.i AS
 l AS (SELECT x, max(i) AS k FROM o GROUP BY 1), f AS (SELECT x, i, min(m) AS v FROM l JOIN m ON m.i <= k AND m.j >= k GROUP BY ALL), g AS (SELECT x, max(v) AS v FROM f GROUP BY 1)
 SELECT doc_id, round(v, 6) AS calibrated FROM o JOIN g USING (x)""",
     "verbosity_ols": f"WITH {_LABELS} SELECT count(*) AS n, round(coalesce(regr_slope(judge_score, n_tokens), 0) * 1000, 5) AS slope_per_1000, round(coalesce(regr_intercept(judge_score, n_tokens), avg(judge_score)), 5) AS intercept, round(corr(judge_score, n_tokens), 5) AS r FROM lj",
-    "verbosity_permutation": f"""WITH {_LABELS}, e AS (SELECT p, item_id, n_tokens::DOUBLE AS x, human_score AS y, row_number() OVER (PARTITION BY p ORDER BY item_id) AS a,
-  row_number() OVER (PARTITION BY p ORDER BY ('0x' || substr(md5('0|' || p || '|' || item_id), 1, 8))::UBIGINT, item_id) AS b FROM lj, range(1, 1000) t(p)),
-s AS (SELECT u.p, coalesce(regr_slope(v.y, u.x), 0) AS s FROM e u JOIN e v ON u.p = v.p AND u.a = v.b GROUP BY 1), o AS (SELECT count(*) AS n, coalesce(regr_slope(human_score, n_tokens), 0) AS s FROM lj),
-z AS (SELECT o.n, (count(*) FILTER (abs(s.s) >= abs(o.s) - 1e-15) + 1) / 1000.0::DOUBLE AS p FROM s, o GROUP BY o.n)
-SELECT n, round(p, 6) AS p_value, p < 0.05 AS significant FROM z""",
+    "verbosity_permutation": f"""WITH {_LABELS}, {_permutation('lj', 'n_tokens', 'human_score')} SELECT n, round(p, 6) AS p_value, p < 0.05 AS significant FROM pt""",
     "self_preference": """WITH f AS (SELECT 'f' || doc_id % 3 AS j, 'f' || doc_id % 2 AS a, 'f' || doc_id % 5 AS b, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS pref FROM labels),
 o AS (SELECT pref, CASE WHEN j = a THEN 'a' WHEN j = b THEN 'b' END AS own FROM f WHERE pref IS NOT NULL)
 SELECT count(own) AS n_comparable, count(*) FILTER (own = pref) AS n_flagged, round(coalesce((count(*) FILTER (own = pref))::DOUBLE / nullif(count(own), 0), 0), 6) AS rate FROM o""",
