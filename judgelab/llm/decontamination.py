@@ -7,6 +7,10 @@ template windows occur there and its slots are filled consistently: the same
 item value is always replaced by the same document value.  So re-parameterised
 copies of a question are caught as well as literal ones.
 
+Items that differ in their slots' values alone are one class: they share all
+windows, and what decides is which of their slots are equal, so a document is
+paired with the class and checked once.  ``item_classes`` tells the members.
+
 Windows meet by their hashes in a join.  An item of n windows that leaks shares
 at least one of its floor(n * (1 - part)) + 1 rarest windows, so only those, the
 seeds, are joined.  A bit filter of the seeds, of one fixed size (``FILTER``
@@ -15,7 +19,7 @@ a large benchmark lets more of them pass, but none is lost.  Candidate pairs are
 then checked on their texts.  Equal texts are judged once, by a 64-bit hash.
 
 Defined results: a null text or one without words is clean; null, empty and
-repeated items are ignored, the ids of equal items are all reported; an item of
+repeated items are ignored, equal items are of one class; an item of
 fewer than five words is one window; repeated documents are judged one by one;
 an empty benchmark leaves every document clean.  Added columns replace clashing
 ones.
@@ -23,6 +27,7 @@ ones.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -121,6 +126,30 @@ def item_of(text: bytes) -> Item:
     return Item(t.word, t.raw, t.slot, ngram_hashes(t.word, WINDOW) if whole else span_hashes(t.word, np.array([0]), np.array([n])))
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, item, body): an item with its class, a hash of its template words and of which slots have equal values."""
+    for batch in batches:
+        keys = []
+        for text in batch.column("body").to_pylist():
+            item = item_of(text)
+            first = np.unique(item.raw[item.slot], return_index=True, return_inverse=True)
+            equal = first[1][first[2]] if len(first[0]) else np.empty(0, dtype=np.int64)  # where a slot's value first stood
+            keys.append(int.from_bytes(hashlib.blake2b(item.word.tobytes() + b"|" + equal.astype(np.int64).tobytes(), digest_size=8).digest(), "big", signed=True))
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(keys, pa.int64()), batch.column("body")], names=["i", "item", "body"])
+
+
+def _given(benchmark: DataFrame, item_text: str, item_id: str) -> DataFrame:
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    given = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("binary").alias("body")).filter("i IS NOT NULL AND body IS NOT NULL AND body <> X''")
+    return given.mapInArrow(_classed, f"i {kind}, item bigint, body binary")
+
+
+def item_classes(benchmark: DataFrame, item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """(item_id, class_id): every item with the smallest id of its class."""
+    given = _given(benchmark, item_text, item_id).select("i", "item")
+    return given.join(given.groupBy("item").agg(F.min("i").alias("class_id")), "item").select(F.col("i").alias("item_id"), "class_id")
+
+
 def _item_windows(part: tuple[int, int]):
     """(item, words, need, hash): each distinct window of an item, and how many of them are to be seeds."""
 
@@ -230,9 +259,8 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def leaks(texts: DataFrame, items: DataFrame, part: tuple[int, int]) -> DataFrame:
-    """(text, item, share) from (text, body) and (item, body), bodies in bytes: hashes of texts and of the items that leak into them."""
-    sc = texts.sparkSession.sparkContext
-    kinds = items.dropDuplicates(["item"])
+    """(text, item, share) from (text, body) and (item, body), bodies in bytes, one row a class: hashes of texts and the classes that leak into them."""
+    sc, kinds = texts.sparkSession.sparkContext, items
     windows = materialise(kinds.mapInArrow(_item_windows(part), "item bigint, words int, need int, hash bigint"), "item-windows")
     rarity = windows.groupBy("hash").agg(F.count("*").alias("times"))
     place = F.row_number().over(Window.partitionBy("item").orderBy("times", "hash"))  # one item's windows
@@ -246,15 +274,18 @@ def leaks(texts: DataFrame, items: DataFrame, part: tuple[int, int]) -> DataFram
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", part: tuple[int, int] = (75, 100)) -> DataFrame:
-    """All columns of ``docs``, ``leaks`` array<struct<item_id, share>> and ``contaminated`` boolean."""
+    """All columns of ``docs``, ``leaks`` array<struct<item_id, n_items, share>> and ``contaminated`` boolean.
+
+    A leak names a class of items by its smallest id, and how many items it has.
+    """
     names = [c for c in docs.columns if c not in ("leaks", "contaminated", "__text")]
     kind = benchmark.schema[item_id].dataType.simpleString()
-    given = benchmark.select(F.col(item_id).alias("i"), F.xxhash64(item_text).alias("item"), F.col(item_text).cast("binary").alias("body")).filter("i IS NOT NULL AND body IS NOT NULL AND body <> X''")
+    kinds = materialise(_given(benchmark, item_text, item_id).groupBy("item").agg(F.min("i").alias("i"), F.count("*").alias("n"), F.min_by("body", "i").alias("body")), "item-classes")
     texts = docs.select(F.xxhash64(text).alias("text"), F.col(text).cast("binary").alias("body")).filter("body IS NOT NULL")
-    found = leaks(texts, given.select("item", "body"), part).join(given.select("i", "item"), "item")
-    by_text = materialise(found.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct(F.col("i").alias("item_id"), "share")).alias("__leaks")), "leaks")
+    found = leaks(texts, kinds.select("item", "body"), part).join(kinds.select("i", "n", "item"), "item")
+    by_text = materialise(found.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct(F.col("i").alias("item_id"), F.col("n").alias("n_items"), "share")).alias("__leaks")), "leaks")
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__text"))
-    none = F.array().cast(f"array<struct<item_id:{kind},share:double>>")
+    none = F.array().cast(f"array<struct<item_id:{kind},n_items:bigint,share:double>>")
     out = keyed.join(_few(by_text), "__text", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("__leaks", none).alias("leaks"))
     return out.withColumn("contaminated", F.size("leaks") > 0)
 

@@ -366,6 +366,33 @@ def test_sharding_subdivides_identical_rows(spark):
 ITEM = "A train leaves the station at 10 km with Anna aboard and needs 25 minutes to reach the old harbour near Berlin before 9 tonight."
 
 
+def leaking_items(rows, classes):
+    """doc_id -> ids of all items that leak into it, members of each class included."""
+    members = {}
+    for r in classes.collect():
+        members.setdefault(r["class_id"], []).append(r["item_id"])
+    assert all(len(members[x["item_id"]]) == x["n_items"] for r in rows for x in r["leaks"])
+    return {r["doc_id"]: sorted(i for x in r["leaks"] for i in members[x["item_id"]]) for r in rows}
+
+
+def test_decontamination_pairs_documents_with_classes(spark):
+    """Items and documents of one template: as many leaks as documents, and every item is among the members."""
+    fill = lambda k: ITEM.replace("10", str(100 + k)).replace("25", str(3000 + 7 * k))
+    items = spark.createDataFrame([(k, fill(k)) for k in range(500)] + [(900, ITEM.replace("25", "10"))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, fill(5000 + k)) for k in range(500)] + [(k, fill(1)) for k in range(500, 520)], "doc_id long, text string")
+    out = decontaminate(docs, items).collect()
+    assert sum(len(r["leaks"]) for r in out) <= 2 * len(out) and all(r["contaminated"] for r in out)
+    got = leaking_items(out, decontamination.item_classes(items))
+    assert all(set(range(500)) <= set(v) for v in got.values())
+
+
+def test_decontamination_judges_repeated_rows_and_null_ids_one_by_one(spark):
+    rows = [(1, ITEM), (1, ITEM), (None, ITEM), (None, "clean words of no item at all"), (None, None)]
+    items = spark.createDataFrame([(7, ITEM), (None, "clean words of no item at all")], "item_id long, text string")
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((str(r["doc_id"]), r["contaminated"]) for r in out) == [("1", True), ("1", True), ("None", False), ("None", False), ("None", True)]
+
+
 def test_decontamination_catches_copies_and_changed_slots_only(spark):
     changed = ITEM.replace("10", "77").replace("Anna", "Peter").replace("25", "30").replace("Berlin", "Hamburg")
     mixed = "A train leaves the station quickly. " + " ".join(words(3, 60))
@@ -374,7 +401,7 @@ def test_decontamination_catches_copies_and_changed_slots_only(spark):
     bench = spark.createDataFrame([(7, ITEM), (8, None), (9, ITEM), (10, "tiny item")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate(df, bench).collect()}
     assert [d for d in sorted(got) if got[d]["contaminated"]] == [1, 2, 6]
-    assert sorted(x["item_id"] for x in got[1]["leaks"]) == [7, 9]
+    assert leaking_items(got.values(), decontamination.item_classes(bench))[1] == [7, 9]
     none = decontaminate(df, bench.limit(0)).collect()
     assert not any(r["contaminated"] for r in none)
 
@@ -470,8 +497,9 @@ def test_decontamination_finds_what_all_pairs_find(spark):
             buf = np.frombuffer(t.encode(), dtype=np.uint8)
             seen = decontamination.templates(buf, np.array([0, len(buf)]))
             expected |= {(d, i) for i, x in items if decontamination.share_of(decontamination.item_of(x.encode()), seen, part)}
-    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(x["doc_id"], y["item_id"]) for x in out for y in x["leaks"]} == expected and len(out) == len(rows) and len(expected) > 20
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()
+    assert {(d, i) for d, v in leaking_items(out, decontamination.item_classes(bench)).items() for i in v} == expected and len(out) == len(rows) and len(expected) > 20
 
 
 def test_url_rules_and_spread(spark):
