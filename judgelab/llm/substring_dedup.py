@@ -17,8 +17,10 @@ window that also starts elsewhere go.
 
 Shards are as many as the text to be indexed needs: ``SHARD_WORDS`` each on
 average.  An anchor with more words than that is not one shard: its windows go
-one by one to shards by the hash of all their words, so equal windows still
-meet.  Equal segments are counted, not gathered.  Words, anchors and segments
+one by one to shards by the hash of all their words, where equal windows are
+counted first and one of them is indexed with its count; what repeats is joined
+back to its places.  So a shard holds unlike windows only, however many
+documents share a passage.  Equal segments are counted, not gathered.  Words, anchors and segments
 are compared by 64-bit hashes.
 
 Defined results: a null or empty text has 0 words and the hash of the empty
@@ -195,7 +197,7 @@ def _indexed(window: int):
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(hit))[: len(a)] - 1
         of = owner[hit[a]]
-        return pa.table({"seg": seg[of], "lo": off[of] + window_no[hit[a]], "hi": off[of] + window_no[hit[z]]})
+        return pa.table({"seg": seg[of], "lo": off[of] + window_no[hit[a]], "hi": off[of] + window_no[hit[z]], "shard": np.full(len(a), t["shard"][0].as_py())})
 
     return run
 
@@ -217,7 +219,7 @@ def _unpack(size: pa.Scalar, data: pa.Scalar) -> bytes:
 
 
 def _fetched(window: int, hot_shards: int):
-    """Words of the wanted segments of each document: (shard, seg, off, times, words); of a hot anchor, window by window."""
+    """Words of the wanted segments of each document: (shard, seg, off, times, hash, words); of a hot anchor, window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,14 +230,15 @@ def _fetched(window: int, hot_shards: int):
                 for x in batch.column("want")[i].as_py():
                     mine = h[x["at"] : x["at"] + x["words"]]
                     if x["shard"] >= 0:
-                        rows.append((x["shard"], x["seg"], 0, x["times"], mine.tobytes()))
+                        rows.append((x["shard"], x["seg"], 0, x["times"], 0, mine.tobytes()))
                     else:
                         at = np.arange(len(mine) - window + 1)
-                        shard = -1 - (span_hashes(mine, at, at + window, salt=5) % np.uint64(hot_shards)).astype(np.int64)
-                        rows += [(int(k), x["seg"], o, x["times"], mine[o : o + window].tobytes()) for o, k in enumerate(shard)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "seg", "off", "times", "words"])
+                        whole = span_hashes(mine, at, at + window, salt=5)
+                        shard = -1 - (whole % np.uint64(hot_shards)).astype(np.int64)
+                        rows += [(k, x["seg"], o, x["times"], w, mine[o : o + window].tobytes()) for o, (k, w) in enumerate(zip(shard.tolist(), whole.view(np.int64).tolist(), strict=True))]
+                kinds = (*[pa.int64()] * 5, pa.binary())
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "seg", "off", "times", "hash", "words"])
 
     return run
 
@@ -264,6 +267,12 @@ def _cut(window: int):
     return run
 
 
+def distinct_windows(words: DataFrame) -> DataFrame:
+    """(shard, hash, words, times, seg, off): the unlike windows of hot anchors, how often each occurs, and one place of it."""
+    found = words.filter("shard < 0").groupBy("shard", "hash", "words").agg(F.sum("times").alias("times"), F.min(F.struct("seg", "off")).alias("x"))
+    return found.select("shard", "hash", "words", "times", "x.seg", "x.off")
+
+
 def repeated_intervals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(key, gone): word intervals lo:hi of each document that repeated windows cover; key is the hash of id and text."""
     keyed = docs.select(_key(id_col, text), utf8(text).alias("text"))
@@ -285,9 +294,20 @@ def repeated_intervals(docs: DataFrame, text: str = "text", id_col: str = "doc_i
         shard = F.when(F.col("hot"), F.lit(-1)).otherwise(shard)
     want = kinds.groupBy("key").agg(F.collect_list(F.struct(shard.alias("shard"), "seg", "times", "at", "words")).alias("want"))
     texts = keyed.mapInArrow(_packed, "key bigint, size bigint, data binary")
-    words = texts.join(want, "key").mapInArrow(_fetched(window, hot_shards), "shard bigint, seg bigint, off bigint, times bigint, words binary")
-    hits = words.dropDuplicates(["shard", "seg", "off"]).groupBy("shard").applyInArrow(_indexed(window), "seg bigint, lo bigint, hi bigint")
-    hits = materialise(hits, "repeated-windows")
+    words = texts.join(want, "key").mapInArrow(_fetched(window, hot_shards), "shard bigint, seg bigint, off bigint, times bigint, hash bigint, words binary")
+    words = words.dropDuplicates(["shard", "seg", "off"])
+    if volume[1]:
+        words = materialise(words, "words")
+        indexed = words.filter("shard >= 0").select("shard", "seg", "off", "times", "words").unionByName(distinct_windows(words).select("shard", "seg", "off", "times", "words"))
+    else:
+        indexed = words.select("shard", "seg", "off", "times", "words")
+    hits = materialise(indexed.groupBy("shard").applyInArrow(_indexed(window), "seg bigint, lo bigint, hi bigint, shard bigint"), "repeated-windows")
+    if volume[1]:  # a repeated window of a hot anchor stands for all of its places
+        again = hits.filter("shard < 0").select("seg", F.col("lo").alias("off"))
+        named = distinct_windows(words).join(again, ["seg", "off"], "left_semi").select("shard", "hash", F.col("words").alias("same"))
+        places = words.filter("shard < 0").join(named, ["shard", "hash"]).filter(F.col("words") == F.col("same"))
+        hits = hits.filter("shard >= 0").select("seg", "lo", "hi").unionByName(places.select("seg", F.col("off").alias("lo"), F.col("off").alias("hi")))
+        hits = materialise(hits, "repeated-places")
     whole = some.filter("not mixed").select("key", F.col("at").alias("lo"), (F.col("at") + F.col("n") + window - 1).alias("hi"))
     part = some.filter("mixed").join(hits, "seg").select("key", (F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi") + window).cast("int").alias("hi"))
     return whole.unionByName(part).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))  # each interval once, however often a row repeats

@@ -20,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,30 +72,43 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.select("src", dst.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust) from ``seeds`` (host, trust, distrust), each summing to 1, over ``edges`` (src, dst, n)."""
+def rounds_to(tolerance: float, damping: float) -> int:
+    """After so many rounds ranks change by less than ``tolerance``: each round's change is at most ``damping`` of the last, and the first's at most 4."""
+    return max(1, math.ceil(math.log(tolerance / 4) / math.log(damping)) + 1)
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(host, trust, distrust) from ``seeds`` (host, trust, distrust), each summing to 1, over ``edges`` (src, dst, n).
+
+    Rounds end where ranks change by less than ``tolerance`` in all; ``rounds``
+    sets their number instead.
+    """
     edges = materialise(edges, "host-edges")
     if edges.isEmpty():
         return seeds
     out_w = edges.groupBy("src").agg(F.sum("n").alias("out"))
     in_w = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     shares = materialise(edges.join(out_w, "src").join(in_w, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("down"), (F.col("n") / F.col("into")).alias("up")), "host-shares")
-    hosts = shares.select(F.explode(F.array("src", "dst")).alias("host")).distinct().join(seeds, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("s"), F.coalesce("distrust", F.lit(0.0)).alias("d"))
-    now = materialise(hosts.select("*", F.col("s").alias("trust"), F.col("d").alias("distrust")), "ranks")
-    for _ in range(rounds):
+    linked = shares.select(F.explode(F.array(F.struct(F.col("src").alias("host"), F.lit(1).alias("gives"), F.lit(0).alias("takes")), F.struct(F.col("dst").alias("host"), F.lit(0).alias("gives"), F.lit(1).alias("takes")))).alias("x")).groupBy("x.host").agg(F.max("x.gives").alias("gives"), F.max("x.takes").alias("takes"))
+    zero = F.lit(0.0)
+    hosts = linked.join(seeds, "host", "full").select("host", F.coalesce("gives", F.lit(0)).alias("gives"), F.coalesce("takes", F.lit(0)).alias("takes"), F.coalesce("trust", zero).alias("s"), F.coalesce("distrust", zero).alias("d"))
+    now = materialise(hosts.select("*", F.col("s").alias("trust"), F.col("d").alias("distrust"), F.lit(4.0).alias("change")), "ranks")
+    for _ in range(rounds or rounds_to(tolerance, damping)):
+        # What moves along links; the rest, which hosts without links hold, goes back to the seeds.
+        t, b, change = now.agg(F.sum(F.col("trust") * F.col("gives")), F.sum(F.col("distrust") * F.col("takes")), F.sum("change")).first()
+        if rounds is None and change < tolerance:
+            break
         down = shares.join(now.select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("trust") * F.col("down")).alias("t"))
         up = shares.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("distrust") * F.col("up")).alias("b"))
-        moved = materialise(now.join(down, "host", "left").join(up, "host", "left").select("host", "s", "d", F.col("trust").alias("t0"), F.col("distrust").alias("b0"), F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("b", F.lit(0.0)).alias("b")), "moved")
-        t, b = moved.agg(F.sum("t"), F.sum("b")).first()  # what hosts without links hold goes back to the seeds
-        trust = (1 - damping * t) * F.col("s") + damping * F.col("t")
-        distrust = (1 - damping * b) * F.col("d") + damping * F.col("b")
-        after = materialise(moved.select("host", "s", "d", "t0", "b0", trust.alias("trust"), distrust.alias("distrust")), "ranks")
-        change = after.agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("b0")))).first()[0]
+        trust = (1 - damping * t) * F.col("s") + damping * F.coalesce("t", zero)
+        distrust = (1 - damping * b) * F.col("d") + damping * F.coalesce("b", zero)
+        moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        after = now.join(down, "host", "left").join(up, "host", "left").select("host", "gives", "takes", "s", "d", trust.alias("trust"), distrust.alias("distrust"), moved.alias("change"))
+        after = materialise(after, "ranks")
         discard(now)
-        discard(moved)
         now = after
-        if change < tolerance:
-            break
+    discard(edges)
+    discard(shares)
     return now.select("host", "trust", "distrust")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from judgelab.llm import decontamination, lm, minhash
+from judgelab.llm import decontamination, lm, minhash, substring_dedup
 from judgelab.llm import quality_classifier as quality
 from judgelab.llm import toxicity as toxicity_module
 from judgelab.llm.decontamination import decontaminate
@@ -23,7 +23,7 @@ from judgelab.llm.sharding import shard
 from judgelab.llm.substring_dedup import repeated_intervals, without_repeats
 from judgelab.llm.toxicity import toxicity
 from judgelab.llm.toxicity import train as train_toxicity
-from judgelab.llm.url_filters import propagate, url_filter
+from judgelab.llm.url_filters import propagate, rounds_to, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -123,6 +123,25 @@ def test_substring_dedup_of_many_equal_rows_and_null_ids(spark):
     assert max(len(r["gone"]) for r in repeated_intervals(df).collect()) <= 80
 
 
+def test_substring_dedup_indexes_a_shared_passage_once(spark, monkeypatch):
+    """A passage of more than a window amid unlike words: the largest shard doesn't grow with the documents that share it."""
+    sizes = {}
+    for n in (60, 240):
+        rows = [(i, " ".join([*words(1000 + i, 20), *words(5, 60), *words(5000 + i, 20)])) for i in range(n)]
+        largest = []
+        real = substring_dedup.distinct_windows
+
+        def spy(w, real=real, largest=largest):
+            largest.append(real(w).groupBy("shard").count().agg({"count": "max"}).first()[0] or 0)
+            return real(w)
+
+        monkeypatch.setattr(substring_dedup, "distinct_windows", spy)
+        assert Counter(tuple(r) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shard_words=1000).collect()) == _windows_gone(rows)
+        monkeypatch.setattr(substring_dedup, "distinct_windows", real)
+        sizes[n] = max(largest)
+    assert 0 < sizes[240] <= 1.5 * sizes[60] + 40
+
+
 def test_substring_dedup_splits_a_hot_anchor(spark):
     line = words(23, 20)
     rows = [(i, " ".join(words(100 + i, 40) + line + words(100 + i // 2, 40, 2))) for i in range(120)]
@@ -502,6 +521,21 @@ def test_decontamination_finds_what_all_pairs_find(spark):
     assert {(d, i) for d, v in leaking_items(out, decontamination.item_classes(bench)).items() for i in v} == expected and len(out) == len(rows) and len(expected) > 20
 
 
+def test_spread_goes_on_to_the_tolerance(spark):
+    """Two hosts in a ring and a third beside them, one seed: as far from the limit as the tolerance says, with the shipped number of rounds."""
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 3)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(edges, seeds, tolerance=1e-3).collect()}
+    index, down = ["a", "b", "c"], np.array([[0, 1, 0], [0.25, 0, 0.75], [1, 0, 0]])  # c has no links: back to the seed
+    up = np.array([[0, 1, 0], [1, 0, 0], [0, 1, 0]])  # against the links, by each host's incoming weight
+    want = []
+    for m, s in ((down, [1, 0, 0]), (up, [0, 0, 1])):
+        want.append(np.linalg.solve(np.eye(3) - 0.85 * m.T, 0.15 * np.array(s)))
+    for k, h in enumerate(index):
+        assert abs(got[h][0] - want[0][k]) < 1e-3 / 0.15 and abs(got[h][1] - want[1][k]) < 1e-3 / 0.15
+    assert 4 * 0.85 ** (rounds_to(1e-6, 0.85) - 1) <= 1e-6 < 4 * 0.85 ** (rounds_to(1e-6, 0.85) - 3)
+
+
 def test_url_rules_and_spread(spark):
     page = lambda i, u, h="": (i, u, h)
     rows = [
