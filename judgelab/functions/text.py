@@ -60,15 +60,14 @@ def keyword_coverage(keywords: Column, words: Column) -> Column:
     return let(F.struct(keywords.alias("k"), F.array_distinct(words).alias("w")), lambda x: F.when(F.size(x["k"]) == 0, 0.0).otherwise(F.size(F.filter(x["k"], lambda k: F.array_contains(x["w"], k))) / F.size(x["k"])))
 
 
-def f1_column(left: str, right: str) -> Column:
-    """F1 of two text columns' word multisets; 0 if either has none.
+def f1_each(texts: Column, reference: Column | str) -> Column:
+    """F1 of the word multisets of each of ``texts`` (an array) and of ``reference``; 0 if either has none.
 
     Words become 63-bit hashes whose last bit tells the side; sorted together,
     equal words follow each other and one pass counts what both have.  So a row
     is never shuffled, and a long text costs no more than its sorting.
     """
     side = lambda words, bit: F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1) + bit)
-    both = let(F.struct(tokens(left).alias("a"), tokens(right).alias("b")), lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.sort_array(F.concat(side(x["a"], 0), side(x["b"], 1))).alias("w")))
     state = lambda last, run, met: F.struct(last.alias("last"), run.alias("run"), met.alias("met"))
     long = lambda x: F.lit(x).cast("long")
 
@@ -78,11 +77,16 @@ def f1_column(left: str, right: str) -> Column:
         waiting = F.when(word == s["last"], s["run"]).otherwise(long(0))
         return state(word, F.when(~right_side, waiting + 1).otherwise(F.greatest(waiting - 1, long(0))), s["met"] + F.when(right_side & met, long(1)).otherwise(long(0)))
 
-    def f1(x: Column) -> Column:
-        shared = F.aggregate(x["w"], state(long(0), long(0), long(0)), step, lambda s: s["met"])
-        return F.when((x["a"] == 0) | (x["b"] == 0) | x["a"].isNull() | x["b"].isNull() | (x["w"].isNull()), 0.0).otherwise(2 * shared / (x["a"] + x["b"]))
+    def f1(a: Column, b: Column) -> Column:
+        shared = F.aggregate(F.sort_array(F.concat(a, b)), state(long(0), long(0), long(0)), step, lambda s: s["met"])
+        return F.when((F.size(a) == 0) | (F.size(b) == 0) | a.isNull() | b.isNull(), 0.0).otherwise(2 * shared / (F.size(a) + F.size(b)))
+
+    return let(side(tokens(reference), 1), lambda b: F.transform(texts, lambda t: let(side(tokens(t), 0), lambda a: f1(a, b))))
 
-    return let(both, f1)
+
+def f1_column(left: str, right: str) -> Column:
+    """F1 of two text columns' word multisets (see :func:`f1_each`)."""
+    return F.get(f1_each(F.array(F.col(left)), right), 0)
 
 
 def f1_overlap(df: DataFrame, id_col: str, left: str, right: str, out: str = "f1") -> DataFrame:
@@ -90,18 +94,25 @@ def f1_overlap(df: DataFrame, id_col: str, left: str, right: str, out: str = "f1
     return df.select(id_col, f1_column(left, right).alias(out))
 
 
-def degrade(text: Column, quality: float) -> Column:
-    """Keep each word with probability ``quality``, drawn from a hash of the text's start and the word's place."""
-    q = min(1.0, max(0.0, quality))
-    if q >= 1.0:
-        return text
+def degrade_each(text: Column, qualities: list[float]) -> Column:
+    """The text once for each quality, which is the probability that a word stays; draws are hashes of the text's start and
+    the word's place, and are made once for all qualities."""
+    bounds = [f"{math.ceil(min(1.0, max(0.0, q)) * 4294967296):08x}" for q in qualities]  # of the digest's first eight digits, which are compared as text
+
+    def drawn(x: Column) -> Column:
+        return let(F.transform(x["words"], lambda w, i: F.sha2(F.concat(x["head"], F.lit("|"), i.cast("string")), 256)), lambda d: F.array(*[kept(x["words"], d, q, b) for q, b in zip(qualities, bounds, strict=True)]))
 
-    bound = f"{math.ceil(q * 4294967296):08x}"  # of the digest's first eight digits, which are compared as text
+    def kept(words: Column, digests: Column, q: float, bound: str) -> Column:
+        if q >= 1.0:
+            return F.array_join(words, " ")
+        return let(F.filter(words, lambda w, i: F.get(digests, i) < bound), lambda k: F.array_join(F.when(F.size(k) > 0, k).otherwise(F.slice(words, 1, 1)), " "))
 
-    def kept(x: Column) -> Column:
-        return let(F.filter(x["words"], lambda w, i: F.sha2(F.concat(x["head"], F.lit("|"), i.cast("string")), 256) < bound), lambda k: F.array_join(F.when(F.size(k) > 0, k).otherwise(F.slice(x["words"], 1, 1)), " "))
+    return let(F.struct(F.split(text, " ", -1).alias("words"), F.substring(text, 1, 32).alias("head")), drawn)
 
-    return let(F.struct(F.split(text, " ", -1).alias("words"), F.substring(text, 1, 32).alias("head")), kept)
+
+def degrade(text: Column, quality: float) -> Column:
+    """Keep each word with probability ``quality`` (see :func:`degrade_each`)."""
+    return text if quality >= 1.0 else F.get(degrade_each(text, [quality]), 0)
 
 
 def slug(text: Column) -> Column:

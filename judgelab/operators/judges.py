@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgelab.functions.text import content_tokens, f1_column, is_blank, keyword_coverage, tokens
+from judgelab.functions.text import content_tokens, f1_column, f1_each, is_blank, keyword_coverage, tokens
 
 #: A judge takes items (item_id, prompt, response, reference) and adds ``overall``.
 Judge = Callable[[DataFrame], DataFrame]
@@ -113,6 +113,11 @@ def reference_judge(items: DataFrame) -> DataFrame:
     return items.withColumn("overall", F.round(5 * f1_column("response", "reference"), 4))
 
 
+def reference_scores(responses: Column, reference: Column) -> Column:
+    """The same score for each of several responses to one reference."""
+    return F.transform(f1_each(responses, reference), lambda f: F.round(5 * f, 4))
+
+
 def rubric_payload(df: DataFrame, payload: str, criteria: tuple[Criterion, ...] = DEFAULT_RUBRIC) -> DataFrame:
     """Scores of a model's JSON verdicts ``{"scores": [{"name", "score"}]}``: clamped to 0..5; ``error`` where one is missing or no number."""
     parsed = F.from_json(F.col(payload), "scores array<struct<name string, score double>>")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from judgelab.functions.tables import written
-from judgelab.functions.text import degrade, tokens
-from judgelab.operators.judges import reference_judge
+from judgelab.functions.text import degrade_each, tokens
+from judgelab.operators.judges import reference_scores
 from judgelab.operators.regression import paired_deltas
 
 
@@ -37,10 +37,10 @@ def snapshot(spark: SparkSession, sf_dir: str, quality: float, version: str) ->
 
 def snapshots(spark: SparkSession, sf_dir: str, qualities: dict[str, float]) -> DataFrame:
     """Snapshots of several versions from one scan of the documents."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("capability"), F.col("text").alias("reference"))
-    answers = F.array(*[F.struct(F.lit(v).alias("version"), degrade(F.col("reference"), q).alias("response")) for v, q in qualities.items()])
-    each = docs.select("item_id", "capability", "reference", F.explode(answers).alias("a")).select("item_id", "capability", "reference", "a.version", "a.response")
-    return reference_judge(each).select(F.col("version").alias("model_version"), "item_id", "capability", F.col("overall").alias("score"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("capability"), "text")
+    scores = reference_scores(degrade_each(F.col("text"), [*qualities.values()]), F.col("text"))
+    versions = F.array(*[F.lit(v) for v in qualities])
+    return docs.select("item_id", "capability", F.explode(F.arrays_zip(versions.alias("version"), scores.alias("score"))).alias("x")).select(F.col("x.version").alias("model_version"), "item_id", "capability", "x.score")
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
