@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgelab.functions.tables import written
 from judgelab.functions.text import is_blank, ngrams, slug, tokens
 
 DIFFICULTIES = ("easy", "medium", "hard", "adversarial")
@@ -45,15 +47,49 @@ def corpus_ngrams(corpus: DataFrame, text: str, n: int = 8) -> DataFrame:
     return lines.select(F.explode(ngrams(tokens("line"), n)).alias("gram")).distinct()
 
 
+#: Slots of the n-gram filter, a byte each, at least and at most; a page is what one bitmap of Spark's holds.
+SLOTS, PAGE = (1 << 20, 1 << 25), 32768
+
+
+def _slots(gram: Column, slots: int) -> list[Column]:
+    """Two places of an n-gram in the filter."""
+    return [F.pmod(F.xxhash64(F.lit(seed), gram), F.lit(slots)) for seed in (1, 2)]
+
+
+def gram_filter(grams: DataFrame, count: int):
+    """A test that all of ``grams`` (gram) pass, and of other n-grams about one in a thousand while there are at most 2 million.
+
+    Its size is 16 bytes for each n-gram, between the bounds of ``SLOTS``: bits
+    are set in bitmaps on the executors, and 4 KB a page come to the driver.
+    """
+    slots = SLOTS[0]
+    while slots < 16 * count and slots < SLOTS[1]:
+        slots *= 2
+    at = grams.select(F.explode(F.array(*_slots(F.col("gram"), slots))).alias("at"))
+    pages = at.groupBy(F.floor(F.col("at") / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % PAGE).alias("bits")).collect()
+    held = np.zeros(slots, dtype=np.uint8)
+    for r in pages:
+        held[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")[:PAGE]
+    table, one = F.lit(bytearray(held.tobytes())), F.lit(bytearray(b"\x01"))
+
+    def may_be(gram: Column) -> Column:
+        first, second = (F.substring(table, s.cast("int") + 1, 1) == one for s in _slots(gram, slots))
+        return first & second
+
+    return may_be
+
+
 def contamination(items: DataFrame, corpus: DataFrame, id_col: str, item_text: str, corpus_text: str, n: int = 8) -> DataFrame:
     """(id, gram) shared with the corpus.
 
-    The items' distinct n-grams are the small side: the corpus is reduced by a
-    semi join with them before anything of it is shuffled for distinctness.
+    A filter of the items' distinct n-grams goes to the scan of the corpus, so
+    that n-grams which can't match are never shuffled; a semi join then decides.
     """
-    mine = items.select(id_col, F.explode(F.array_distinct(ngrams(tokens(item_text), n))).alias("gram"))
+    mine = written(items.select(id_col, F.explode(F.array_distinct(ngrams(tokens(item_text), n))).alias("gram")))
+    may_be = gram_filter(mine.select("gram"), mine.count())
     lines = corpus.select(F.explode(F.split(F.col(corpus_text), "\n", -1)).alias("line"))
-    theirs = lines.select(F.explode(ngrams(tokens("line"), n)).alias("gram")).join(mine.select("gram").distinct(), "gram", "left_semi").distinct()
+    near = lines.select(F.explode(F.filter(ngrams(tokens("line"), n), may_be)).alias("gram"))
+    theirs = near.join(mine.select("gram").distinct(), "gram", "left_semi").distinct()
     return mine.join(theirs, "gram", "left_semi").select(id_col, "gram")
 
 
@@ -68,9 +104,32 @@ def drop_contaminated(items: DataFrame, corpus: DataFrame, id_col: str, item_tex
     return items.join(contamination(items, corpus, id_col, item_text, corpus_text, n), id_col, "left_anti")
 
 
+#: Digests of a leaf of the tree, about.
+LEAF = 64
+
+
 def dataset_digest(items: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
-    """One row: sha256 over the rows' own digests in id order, bucket by bucket, so no task gathers all rows."""
-    row = F.sha2(F.to_json(F.struct(*cols)), 256)
-    rows = items.select(F.col(id_col).alias("i"), row.alias("h")).withColumn("b", F.substring("h", 1, 2))
-    buckets = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return buckets.agg(F.sum("n").alias("n_items"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
+    """One row (n_items, sha256): the root of a hash tree over the rows' digests, whatever their order and partitioning.
+
+    Unlike digests are counted, and put into leaves by their first hex digits,
+    as many as leave about ``LEAF`` of them in each; a leaf is the digest of its
+    lines ``digest:count`` in order.  A parent is the digest of the nodes that
+    differ in their last digit, 16 at most, up to the root.
+    """
+    rows = written(items.select(F.sha2(F.to_json(F.struct(*cols)), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n")))
+    kinds, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    digits = digest_digits(kinds)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: F.concat(x["h"], F.lit(":"), x["n"].cast("string")))
+    nodes = rows.groupBy(F.substring("h", 1, digits).alias("p")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("h"))
+    for k in range(digits - 1, -1, -1):
+        nodes = nodes.groupBy(F.substring("p", 1, k).alias("p")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+    root = nodes.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("sha256"))  # one node
+    return root.select(F.lit(total).cast("long").alias("n_items"), "sha256")
+
+
+def digest_digits(kinds: int) -> int:
+    """Hex digits that leave at most ``LEAF`` digests to a leaf on average."""
+    digits = 0
+    while kinds > LEAF * 16**digits:
+        digits += 1
+    return digits

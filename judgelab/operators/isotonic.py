@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from judgelab.functions.tables import discard, written
+
 #: Blocks of a range at most after pooling; no task holds more than two such ranges.
 RANGE_ROWS = 100_000
 BLOCKS = "part int, ord long, x_start double, x_end double, value double, weight double"
@@ -62,7 +64,8 @@ def fit(points: DataFrame, x: str, y: str, order: str, weight: str | None = None
             yield held.assign(part=[part * 1024 + min(1023, j * k // len(held)) for j in range(len(held))]).astype({"part": "int32"})
 
     ranged = pts.select(F.lit(0).alias("part"), "ord", "x_start", "x_end", "value", "weight").repartitionByRange(max(parts, -(-n // limit)), "x_start", "ord")
-    pooled = ranged.sortWithinPartitions("x_start", "ord").mapInPandas(local, BLOCKS).persist()
+    pooled = ranged.sortWithinPartitions("x_start", "ord").mapInPandas(local, BLOCKS)
+    pooled = written(pooled)
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["part"]))
@@ -76,7 +79,8 @@ def fit(points: DataFrame, x: str, y: str, order: str, weight: str | None = None
         if not any(l["last"] > r["first"] for l, r in zip(edges, edges[1:])):
             return pooled.select("x_start", "x_end", "value", "weight", "ord")
         groups = F.broadcast(points.sparkSession.createDataFrame(list(_groups(edges, limit).items()), "part int, g int"))
-        pooled = pooled.join(groups, "part").groupBy("g").applyInPandas(again, BLOCKS).persist()
+        before, pooled = pooled, written(pooled.join(groups, "part").groupBy("g").applyInPandas(again, BLOCKS))
+        discard(before)
 
 
 def predict(points: DataFrame, x: str, blocks: DataFrame, out: str = "calibrated", limit: int = RANGE_ROWS) -> DataFrame:
@@ -92,7 +96,7 @@ def predict(points: DataFrame, x: str, blocks: DataFrame, out: str = "calibrated
         raise ValueError("no blocks to predict from")
     values = points.select(v.alias("v")).filter("v IS NOT NULL").distinct()
     rows = blocks.select(F.col("x_start").alias("v"), F.lit(0).alias("kind"), "ord", b.alias("b")).unionByName(values.select("v", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("ord")), allowMissingColumns=True)
-    ranged = rows.repartitionByRange(max(1, -(-rows.count() // limit)), "v", "kind", "ord").withColumn("p", F.spark_partition_id()).persist()
+    ranged = written(rows.repartitionByRange(max(1, -(-rows.count() // limit)), "v", "kind", "ord").withColumn("p", F.spark_partition_id()))
     key = F.when(F.col("kind") == 0, F.struct("v", "ord"))  # of blocks only
     up, down = Window.partitionBy("p").orderBy("v", "kind", "ord"), Window.partitionBy("p").orderBy(F.desc("v"), F.desc("kind"), F.desc("ord"))
     ends = ranged.groupBy("p").agg(F.max_by("b", key).alias("e"), F.min_by("b", key).alias("s"))

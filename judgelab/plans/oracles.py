@@ -23,6 +23,15 @@ def _grams(words: str, n: int) -> str:
     return f"list_transform(range(1, greatest(len({words}) - {n - 1}, 0) + 1), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
 
 
+def _digest(rows: str, levels: int = 6) -> str:
+    """CTEs ending in ``dg`` (n_items, sha256): leaves by the first hex digits, then parents a digit shorter; ``rows`` has h."""
+    parts = [f"dr AS (SELECT h, count(*) AS n FROM ({rows}) GROUP BY 1)", "dk AS (SELECT greatest(0, ceil(log(greatest(count(*), 1) / 64.0::DOUBLE) / log(16.0::DOUBLE)))::INT AS digits, sum(n)::BIGINT AS total FROM dr)"]
+    parts.append("d0 AS (SELECT left(h, digits) AS p, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS h FROM dr, dk GROUP BY 1)")
+    for k in range(levels):
+        parts.append(f"d{k + 1} AS (SELECT left(p, greatest(length(p) - 1, 0)) AS p, CASE WHEN max(length(p)) = 0 THEN max(h) ELSE sha256(string_agg(h, chr(10) ORDER BY p)) END AS h FROM (SELECT p, h FROM d{k}) GROUP BY left(p, greatest(length(p) - 1, 0)))")
+    return ", ".join([*parts, f"dg AS (SELECT total AS n_items, h AS sha256 FROM dk, d{levels})"])
+
+
 _QA = """qa AS (SELECT conv_id || '-' || turn AS item_id, prompt, text AS response FROM (
   SELECT *, lag(text) OVER w AS prompt, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'assistant' AND before = 'user')"""
@@ -267,6 +276,5 @@ SELECT topic || '__' || dashed || '__' || difficulty || '__' || edge || '__0' AS
     "validate_items": """WITH i AS (SELECT CASE WHEN turn = 0 THEN '' ELSE conv_id::VARCHAR END AS id, CASE WHEN role = 'system' THEN '' ELSE text END AS p, CASE WHEN role = 'user' THEN '' ELSE text END AS r FROM conversations)
 SELECT problem, count(*) AS n FROM (SELECT 'empty item_id' AS problem FROM i WHERE trim(id) = '' UNION ALL SELECT 'duplicate item_id' FROM (SELECT row_number() OVER (PARTITION BY id) AS k FROM i) WHERE k > 1
 UNION ALL SELECT 'empty reference' FROM i WHERE trim(r) = '' UNION ALL SELECT 'empty prompt' FROM i WHERE trim(p) = '') GROUP BY 1""",
-    "manifest_sha": """WITH h AS (SELECT sha256('{"item_id":"' || item_id || '","t":"' || md5(text) || '"}') AS h FROM benchmark), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
-SELECT sum(n)::BIGINT AS n_items, sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256 FROM b""",
+    "manifest_sha": f"""WITH {_digest("SELECT sha256('{\"item_id\":\"' || item_id || '\",\"t\":\"' || md5(text) || '\"}') AS h FROM benchmark")} SELECT n_items, sha256 FROM dg""",
 }
