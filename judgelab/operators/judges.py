@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from judgelab.functions.text import content_tokens, f1_column, f1_each, is_blank, keyword_coverage, tokens
+from judgelab.sources.model import Policy, ask
 
 #: A judge takes items (item_id, prompt, response, reference) and adds ``overall``.
 Judge = Callable[[DataFrame], DataFrame]
@@ -174,22 +174,16 @@ def self_consistency(samples: DataFrame) -> DataFrame:
     return top.join(spread, "item_id").select("item_id", "majority_score", "mean", "variance", F.round(1 / (1 + F.col("variance")), 4).alias("confidence"))
 
 
-def model_judge(items: DataFrame, complete: Callable[[], Callable[[str], str]], prompt: str, out: str = "payload") -> DataFrame:
-    """Adds a model's completion of ``prompt``: one client per partition, made by ``complete()``; failures become null."""
-    schema = T.StructType([*items.schema.fields, T.StructField(out, T.StringType())])
+def model_judge(items: DataFrame, complete: Callable[[], Callable[[str], str]], prompt: str, out: str = "payload", store: str | None = None, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+    """Adds a model's completion of ``prompt``; calls that fail for good become null.
 
-    def run(batches):
-        client = complete()
-        for pdf in batches:
-            said = []
-            for text in pdf[prompt]:
-                try:
-                    said.append(client(text))
-                except Exception:  # noqa: BLE001  a failed call is a null verdict, checked downstream
-                    said.append(None)
-            yield pdf.assign(**{out: said})
-
-    return items.mapInPandas(run, schema)
+    Equal prompts are asked once.  ``complete()`` makes a partition's client;
+    retries, concurrency and the store of answers are those of
+    :func:`judgelab.sources.model.ask`.
+    """
+    asked = items.select(F.col(prompt).alias("prompt")).filter("prompt IS NOT NULL").distinct()
+    said = ask(asked, complete, store, policy).select(F.col("prompt").alias("__p"), F.col("answer").alias(out))
+    return items.drop(out).join(said, F.col(prompt) == F.col("__p"), "left").drop("__p")
 
 
 def latest_by(df: DataFrame, key: list[str], order: str) -> DataFrame:

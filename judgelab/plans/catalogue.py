@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,6 +261,18 @@ def suite_checks(spark, d):
     return suite.run_checks(inputs.suite_outputs(spark, d), SUITE_SCHEMA, budget_ms=90.0, min_similarity=0.9)
 
 
+#: Another schema for some of the names.
+STRICT_SCHEMA = {"type": "object", "required": ["k", "z"], "maxLength": 9, "properties": {"k": {"enum": [1, "1"]}}}
+
+
+def suite_by_name(spark, d):
+    """Outputs under the schema, budget and least similarity of their own name."""
+    outputs, n = inputs.suite_outputs(spark, d), F.col("name").cast("long")
+    schema = F.when(n % 3 == 0, json.dumps(SUITE_SCHEMA)).when(n % 3 == 1, json.dumps(STRICT_SCHEMA))
+    specs = outputs.filter(n % 11 != 0).select("name", schema.alias("schema"), "reference", F.when(n % 2 == 0, 90.0).alias("budget_ms"), F.when(n % 4 == 0, 0.9).alias("min_similarity"))
+    return suite.run_checks_by_name(outputs, specs)
+
+
 def suite_verdict(spark, d):
     return suite.verdicts(suite_checks(spark, d))
 
@@ -300,4 +314,4 @@ def manifest_sha(spark, d):
     return datasets.dataset_digest(items, "item_id", ["item_id", "t"])
 
 
-QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_verdict, grid_cells, coverage, generate_items, prompt_payload, validate_items, manifest_sha)}
+QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_by_name, suite_verdict, grid_cells, coverage, generate_items, prompt_payload, validate_items, manifest_sha)}

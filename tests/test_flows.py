@@ -73,7 +73,7 @@ def test_summaries(spark):
     assert (m["n_items"], m["mean_score"], m["capability_means"], len(m["snapshot_sha256"])) == (3, 4.0, {"general": 4.0}, 64)
     d = regression.paired_deltas(base, cand)
     text = regression.drift_summary(regression.drift_total(d), stats.wilcoxon(d, "delta"), regression.drift_slices(d), regression.missing_items(base, cand)).first()[0]
-    assert text.split("\n") == ["Verdict: REGRESSION", "Items compared: 3 (missing from one side: 0)", "Mean delta (baseline - candidate): +1.0000", "Bootstrap CI: [+1.0000, +1.0000] (threshold +0.0500, min effect 0.10)", "Effect size (paired Cliff's delta): +1.000", "Wilcoxon: W+=6.0, p=0.2500", "Regressed capabilities: general"]
+    assert text.split("\n") == ["regressed over 3 shared items (0 on one side only)", "loss: mean 1.0000, 95% between 1.0000 and 1.0000, tolerated 0.05", "sign balance: 1.000, asked for 0.1", "signed ranks: 6.0 (p 0.2500)", "worse in: general"]
 
 
 def chain(spark, *pairs):
