@@ -281,6 +281,14 @@ def test_language_model_scores_equal_brute_force(spark):
         assert sum(level(kinds[1].get(("t2", "t1"), {}), c, w, low[w]) for w in members) == pytest.approx(1.0)
 
 
+def test_language_model_scores_do_not_depend_on_partitions(spark):
+    """With contexts split from few occurrences on, and rows dealt out in different ways and orders."""
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in r.zipf(1.6, 60) % 50)) for i in range(120)]
+    a, b = ({x["doc_id"]: x["score"] for x in language_model_scores(spark.createDataFrame(d, "doc_id long, text string").repartition(n), split=40).collect()} for d, n in ((rows, 1), (rows[::-1], 6)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 * abs(a[k]) for k in a)
+
+
 def test_language_model_splits_hot_contexts_and_tells_copies_apart(spark):
     r = np.random.default_rng(6)
     texts = [" ".join(f"q{k}" for k in r.integers(0, 400, 60)) for _ in range(300)]
@@ -293,7 +301,7 @@ def test_language_model_splits_hot_contexts_and_tells_copies_apart(spark):
     v, _, _ = lm.train(df.selectExpr("CAST(text AS BINARY) AS text"))
     h, rare, first = lm.tokens(np.tile(np.frombuffer(b"q1 q2 ", dtype=np.uint8), 50), np.arange(0, 306, 6))
     p = lm.positions(h, rare, first, v)
-    whole, cut = (lm.grams(h, first, p, np.zeros(50, dtype=bool), v, 7, split) for split in (1 << 30, 5))
+    whole, cut = (lm.grams(h, first, p, np.zeros(50, dtype=bool), v, lm.document_keys(h, first, list(range(50))), split) for split in (1 << 30, 5))
     assert len(set(whole.key)) < len(set(cut.key))
 
 
