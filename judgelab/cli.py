@@ -10,7 +10,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgelab.functions.text import tokens
 from judgelab.operators import calibration, datasets, generator, isotonic, judges, regression, seams, stats, suite
 from judgelab.sources import datasets as store
 from judgelab.sources import jsonl
@@ -43,20 +42,13 @@ def pair(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def calibrate(spark: SparkSession, a: argparse.Namespace) -> int:
     labels = jsonl.load_labels(spark, a.labels)
-    paired = labels.filter("judge_score IS NOT NULL AND human_score IS NOT NULL")
-    agreement = stats.agreement_summary(paired, "judge_score", "human_score").first()
-    if agreement is None or agreement["n"] < 2:
-        raise ValueError("calibration needs two labels or more with both scores")
-    blocks = isotonic.fit(paired, "judge_score", "human_score", "line_no")
-    sized = labels.withColumn("__n", F.size(tokens(F.when(F.coalesce("response_a", F.lit("")) != "", F.col("response_a")).otherwise(F.col("prompt")))))
-    scored = sized.filter("judge_score IS NOT NULL").count()
-    verbosity = calibration.verbosity_permutation(sized, "item_id", "judge_score", "__n").first() if scored >= 3 else None
-    families = labels.select("preferred", *[F.col("meta")[k].alias(c) for k, c in (("judge_family", "judge_family"), ("response_a_family", "a_family"), ("response_b_family", "b_family"))])
-    own = calibration.self_preference(families).first()
+    families = labels.withColumns({c: F.col("meta")[k] for k, c in (("judge_family", "judge_family"), ("response_a_family", "a_family"), ("response_b_family", "b_family"))})
+    pairs = labels.filter("response_a IS NOT NULL AND response_b IS NOT NULL")
+    found = calibration.calibration_report(families, "line_no", judges.pairwise_judge(pairs)).first().asDict()
+    advice = found.pop("advice")
     print("# Calibration\n")
-    print(json.dumps(agreement.asDict(), sort_keys=True))
-    _show(blocks.orderBy("x_start", "ord").drop("ord"))
-    for line in isotonic.recommendations(None, bool(verbosity and verbosity["significant"]), own["rate"], agreement["mae"], agreement["spearman"]):
+    print(json.dumps(found, sort_keys=True))
+    for line in advice:
         print(f"- {line}")
     print("\nNext to label:")
     _show(calibration.next_round(labels, 5).select("item_id", F.round("priority", 4).alias("priority")))

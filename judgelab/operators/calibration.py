@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from judgelab.functions.tables import running, written
 from judgelab.functions.text import tokens
+from judgelab.operators import isotonic, stats
 from judgelab.operators.stats import draw, ols, pearson
 
 
@@ -116,3 +117,15 @@ def summarize_bias(labels: DataFrame, pairwise: DataFrame | None = None, n_permu
     rate = pairwise.agg(F.avg(F.col("position_bias").cast("double")).alias("position_bias_rate")) if pairwise is not None else labels.sparkSession.range(1).select(F.lit(None).cast("double").alias("position_bias_rate"))
     out = out.join(rate.withColumn("__k", F.lit(0)), "__k")
     return out.select("position_bias_rate", F.col("slope").alias("verbosity_slope"), F.col("r").alias("verbosity_r"), F.col("p_value").alias("verbosity_p"), "significant", "n_comparable", "n_flagged", "rate")
+
+
+def calibration_report(labels: DataFrame, order: str, pairwise: DataFrame | None = None, n_permutations: int = 999) -> DataFrame:
+    """One row of what a calibration found: n, spearman, mae, within_1, kappa, n_blocks of the isotonic fit, the bias
+    figures of :func:`summarize_bias`, and an array of advice.  Raises with fewer than two labels that have both scores."""
+    paired = written(labels.filter("judge_score IS NOT NULL AND human_score IS NOT NULL"))
+    if paired.count() < 2:
+        raise ValueError("calibration needs two labels or more with both scores")
+    agreement = stats.agreement_summary(paired, "judge_score", "human_score").withColumn("__k", F.lit(0))
+    blocks = isotonic.fit(paired, "judge_score", "human_score", order).agg(F.count("*").alias("n_blocks")).withColumn("__k", F.lit(0))
+    bias = summarize_bias(labels, pairwise, n_permutations).select("position_bias_rate", "verbosity_slope", "verbosity_p", F.col("significant").alias("verbosity_significant"), F.col("rate").alias("self_preference_rate"), F.lit(0).alias("__k"))
+    return isotonic.advised(agreement.join(blocks, "__k").join(bias, "__k").drop("__k"))

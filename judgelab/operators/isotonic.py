@@ -111,16 +111,16 @@ def predict(points: DataFrame, x: str, blocks: DataFrame, out: str = "calibrated
     return points.drop(out).withColumn("__v", v).join(found, "__v", "left").drop("__v")
 
 
-def recommendations(position_bias: float | None, verbosity_significant: bool, self_preference_rate: float, mae: float, spearman: float) -> list[str]:
-    out = []
-    if position_bias is not None and position_bias > 0.15:
-        out.append("Judge each pair in both orders and average: position bias is high.")
-    if verbosity_significant:
-        out.append("Scores follow length: control for response length.")
-    if self_preference_rate > 0:
-        out.append("The judge prefers its own family: add a judge of another family.")
-    if mae > 1.0:
-        out.append("Mean error is above one point: calibrate scores before use.")
-    if spearman < 0.7:
-        out.append("Rank agreement is low: collect more labels and revise the rubric.")
-    return out
+#: What a calibration finding calls for: (test on a report's row, advice).
+ADVICE = (
+    ("position_bias_rate > 0.15", "Judge each pair in both orders and average: position bias is high."),
+    ("verbosity_significant", "Scores follow length: control for response length."),
+    ("self_preference_rate > 0", "The judge prefers its own family: add a judge of another family."),
+    ("mae > 1.0", "Mean error is above one point: calibrate scores before use."),
+    ("spearman < 0.7", "Rank agreement is low: collect more labels and revise the rubric."),
+)
+
+
+def advised(report: DataFrame) -> DataFrame:
+    """``report`` with an array of advice; a finding that is null calls for none."""
+    return report.withColumn("advice", F.array_compact(F.array(*[F.when(F.coalesce(F.expr(test), F.lit(False)), F.lit(text)) for test, text in ADVICE])))

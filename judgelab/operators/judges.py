@@ -123,7 +123,8 @@ def rubric_payload(df: DataFrame, payload: str, criteria: tuple[Criterion, ...]
     parsed = F.from_json(F.col(payload), "scores array<struct<name string, score double>>")
     found = F.map_from_entries(F.filter(F.coalesce(parsed["scores"], F.array().cast("array<struct<name:string,score:double>>")), lambda s: s["name"].isNotNull()))
     given = F.transform(parsed["scores"], lambda s: s["name"])
-    score = {c.name: F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.try_element_at(found, F.lit(c.name)))), 4) for c in criteria}
+    raw = {c.name: F.try_element_at(found, F.lit(c.name)) for c in criteria}
+    score = {name: F.when(x.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), x)), 4)) for name, x in raw.items()}  # of nulls, the bounds alone would count
     missing = F.array_compact(F.array(*[F.when(F.coalesce(~F.array_contains(given, c.name), F.lit(True)) | score[c.name].isNull(), F.lit(c.name)) for c in criteria]))
     return df.withColumns({"error": F.when(F.size(missing) > 0, F.concat(F.lit("no score for "), F.array_join(missing, ", "))), "overall": F.round(weighted_overall(score, criteria), 4)})
 

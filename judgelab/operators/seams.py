@@ -54,6 +54,13 @@ def handoffs(steps: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
     return out.select("*", n.alias("n_fields"), F.round(F.when(n == 0, 1.0).otherwise((F.col("kept") + F.col("recovered")) / F.nullif(n, F.lit(0))), 6).alias("fidelity"))
 
 
+def step_fidelity(steps: DataFrame, seams: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
+    """(chain_id, step_no, name, fidelity): every step with the fidelity of the seam before it; null for the first."""
+    placed = sequenced(steps.select("chain_id", "step_idx", "name"), ["chain_id"], ["step_idx"], {}, limit)
+    before = seams.select("chain_id", (F.col("seam") + 1).alias("__at"), "fidelity")
+    return placed.join(before, ["chain_id", "__at"], "left").select("chain_id", F.col("__at").alias("step_no"), "name", "fidelity")
+
+
 def chain_audit(seams: DataFrame) -> DataFrame:
     """(chain_id, n_seams, chain_fidelity, fidelity_halflife) from :func:`handoffs`."""
     mean = F.when(F.min("fidelity") <= 0, 0.0).otherwise(F.exp(F.avg(F.log(F.nullif("fidelity", F.lit(0.0))))))

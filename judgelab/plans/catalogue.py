@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from judgelab.functions import prompts
 from judgelab.functions.jsonx import flatten
+from judgelab.functions.tables import step_path, written
 from judgelab.functions.text import content_tokens, degrade, f1_overlap, hash_similarity, keyword_coverage, normalize, tokens
 from judgelab.operators import calibration, datasets, generator, isotonic, judges, regression, seams, stats, suite
 from judgelab.plans import inputs
 from judgelab.plans.inputs import read
-from judgelab.sources.snapshots import latest_run
+from judgelab.sources import datasets as versions
+from judgelab.sources import jsonl
+from judgelab.sources.snapshots import SnapshotStore, latest_run
 
 
 def tokens_per_doc(spark: SparkSession, d: str) -> DataFrame:
@@ -314,4 +317,80 @@ def manifest_sha(spark, d):
     return datasets.dataset_digest(items, "item_id", ["item_id", "t"])
 
 
-QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_by_name, suite_verdict, grid_cells, coverage, generate_items, prompt_payload, validate_items, manifest_sha)}
+def label_lines(spark, d):
+    """Labels written as JSON lines and loaded again, with how many lines there are and how many numbers within files."""
+    folder = step_path(spark)
+    rows = inputs.judged_labels(spark, d).select("item_id", F.lit("a prompt").alias("prompt"), "judge_score", "human_score")
+    jsonl.to_jsonl(rows.repartition(3), folder)
+    return jsonl.load_labels(spark, folder).select("item_id", "judge_score", "human_score")
+
+
+def snapshot_runs(spark, d):
+    """Two runs of a version appended to a store; the rows of its latest."""
+    store = SnapshotStore(spark, step_path(spark))
+    for quality in (0.75, 0.7):
+        store.append(inputs.snapshot(spark, d, quality, "v"))
+    return store.latest("v").select("item_id", "run_seq", "score")
+
+
+def dataset_version(spark, d):
+    """Benchmark items saved as a version and loaded again."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.lit("ask").alias("prompt"), F.col("text").alias("reference"), F.lit("c").alias("capability"), F.lit("t").alias("topic"), F.lit("p").alias("persona"), F.lit("easy").alias("difficulty"), F.lit("typical").alias("edge_case"), F.create_map(F.lit("n"), F.length("text").cast("string")).alias("meta"))
+    folder = step_path(spark)
+    versions.save(items, folder, "v1")
+    loaded, manifest = versions.load(spark, folder, "v1")
+    return loaded.select("item_id", F.md5("reference").alias("digest"), F.col("meta")["n"].alias("n"), F.lit(manifest["n_items"]).cast("long").alias("n_items"))
+
+
+def no_regression(spark, d):
+    """Baseline outputs against outputs of which some are missing, changed or only spelt otherwise."""
+    e = read(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), "event_id", "props")
+    said = F.when(F.col("event_id") % 4 == 0, F.concat("props", F.lit(" "))).when(F.col("event_id") % 4 == 1, F.lit('{"k": -1}')).when(F.col("event_id") % 4 == 2, F.lit("words")).otherwise(F.col("props"))
+    return suite.no_regression(e.select("name", F.when(F.col("event_id") % 8 == 2, F.lit("words")).otherwise(F.col("props")).alias("value")), e.filter("event_id % 13 <> 0").select("name", said.alias("value")))
+
+
+def label_priority(spark, d):
+    """Priorities of all labels, with the judges' disagreement where there is one."""
+    labels = inputs.judged_labels(spark, d).withColumn("human_score", F.when(F.col("doc_id") % 3 != 0, F.col("human_score")))
+    apart = labels.filter("doc_id % 2 = 0").select("item_id", (F.col("doc_id") % 7).cast("double").alias("disagreement"))
+    return calibration.priority(labels, apart).select("item_id", F.round("priority", 6).alias("priority"))
+
+
+def mock_answers(spark, d):
+    """Answers by id, then by prompt, then the default; an empty answer is none."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("prompt"), "text")
+    n = F.col("item_id").cast("long")
+    by_id = items.filter(n % 3 == 0).select("item_id", F.when(n % 2 == 0, F.md5("text")).otherwise("").alias("a"))
+    by_prompt = items.filter(n % 5 < 2).select("prompt", F.upper(F.md5("text")).alias("a"))
+    return regression.mock_adapter(by_id.union(by_prompt), "none")(items).select("item_id", "response")
+
+
+def calibration_report(spark, d):
+    labels = inputs.judged_labels(spark, d).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("response_a")), "doc_id").withColumn("prompt", F.lit("a prompt"))
+    families = {c: F.concat(F.lit("f"), (F.col("doc_id") % n).cast("string")) for c, n in (("judge_family", 3), ("a_family", 2), ("b_family", 5))}
+    labels = labels.withColumns(families | {"preferred": F.when(F.col("doc_id") % 4 == 0, "a").when(F.col("doc_id") % 4 == 1, "b").otherwise("tie")})
+    r = calibration.calibration_report(labels, "doc_id", pairwise_debias(spark, d))
+    return r.select("n", *[F.round(c, 6).alias(c) for c in ("spearman", "mae", "within_1", "kappa", "position_bias_rate", "verbosity_p", "self_preference_rate")], "n_blocks", "verbosity_significant", F.size("advice").alias("n_advice"))
+
+
+def step_fidelity(spark, d):
+    steps = written(inputs.chains(spark, d))
+    return seams.step_fidelity(steps, seams.handoffs(steps)).select("chain_id", "step_no", "name", F.round("fidelity", 5).alias("fidelity"))
+
+
+def rubric_scores(spark, d):
+    """A model's verdicts as JSON, some of them short of a score or out of range."""
+    e = read(spark, d, "events").select(F.col("event_id").cast("string").alias("item_id"), F.col("event_id").alias("n"), "value")
+    one = lambda name, score: F.struct(F.lit(name).alias("name"), score.alias("score"))
+    scores = F.array(one("relevance", F.col("value") / 15 - 1), one("completeness", (F.col("n") % 6).cast("double")), one("clarity", F.lit(4.0)), F.when(F.col("n") % 9 != 0, one("format", F.lit(2.5))))
+    payload = F.when(F.col("n") % 17 != 0, F.to_json(F.struct(F.array_compact(scores).alias("scores")))).otherwise("no json")
+    return judges.rubric_payload(e.select("item_id", payload.alias("p")), "p").select("item_id", "error", F.round("overall", 4).alias("overall"))
+
+
+def checks_summary(spark, d):
+    """Of each check: how many outputs failed it, may be looked into further, and passed."""
+    c = suite_checks(spark, d)
+    return c.groupBy("check").agg(F.count_if(~F.col("passed")).alias("n_failed"), F.count_if("escalate").alias("n_escalated"), F.count_if("passed").alias("n_passed"))
+
+
+QUERIES = {f.__name__: f for f in (tokens_per_doc, normalize_text, keyword_coverage_qa, token_f1, decontaminate_flag, decontaminate_drop, hit_sample, format_score, heuristic_judge, reference_judge, degrade_replay, golden_run, capability_means, snapshot_latest, paired_deltas, missing_items, paired_effect, cliffs_delta, wilcoxon_stat, wilcoxon_exact, wilcoxon_p_normal, bootstrap_ci, drift_slices, gate_decision, drift_summary, metrics_summary, kappa, qwk, spearman, midranks, agreement_summary, pav_fit, pav_predict, verbosity_ols, verbosity_permutation, self_preference, bias_summary, active_queue, pairwise_debias, position_bias_rate, ensemble, self_consistency, flatten_fields, handoff_diff, chain_fidelity, blame, hash_embed_similarity, suite_checks, suite_by_name, suite_verdict, grid_cells, coverage, generate_items, prompt_payload, validate_items, manifest_sha, label_lines, snapshot_runs, dataset_version, no_regression, label_priority, mock_answers, calibration_report, step_fidelity, rubric_scores, checks_summary)}

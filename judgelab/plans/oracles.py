@@ -309,3 +309,19 @@ SELECT problem, count(*) AS n FROM (SELECT 'empty item_id' AS problem FROM i WHE
 UNION ALL SELECT 'empty reference' FROM i WHERE trim(r) = '' UNION ALL SELECT 'empty prompt' FROM i WHERE trim(p) = '') GROUP BY 1""",
     "manifest_sha": f"""WITH {_digest("SELECT sha256('{\"item_id\":\"' || item_id || '\",\"t\":\"' || md5(text) || '\"}') AS h FROM benchmark")} SELECT n_items, sha256 FROM dg""",
 }
+
+ORACLES |= {
+    "label_lines": f"WITH {_LABELS} SELECT item_id, judge_score, human_score FROM lj",
+    "snapshot_runs": f"WITH {_snap('s', 0.7)} SELECT item_id, 2::INT AS run_seq, score FROM s",
+    "dataset_version": "SELECT item_id::VARCHAR AS item_id, md5(text) AS digest, length(text)::VARCHAR AS n, count(*) OVER () AS n_items FROM benchmark",
+    "no_regression": """WITH e AS (SELECT event_id::VARCHAR AS name, event_id AS n, CASE WHEN event_id % 8 = 2 THEN 'words' ELSE props END AS b, CASE event_id % 4 WHEN 0 THEN props || ' ' WHEN 1 THEN '{"k": -1}' WHEN 2 THEN 'words' ELSE props END AS a FROM events)
+SELECT * FROM (SELECT name, CASE WHEN n % 13 = 0 THEN 'missing' WHEN b = 'words' THEN NULL WHEN a = 'words' OR json_extract_string(a, '$.k') <> json_extract_string(b, '$.k') THEN 'changed' END AS problem FROM e) WHERE problem IS NOT NULL""",
+    "label_priority": f"""WITH {_LABELS} SELECT item_id, round(0.7::DOUBLE * CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE least(1.0::DOUBLE, abs(judge_score - human_score) / 5) END + CASE WHEN doc_id % 2 = 0 THEN 0.3::DOUBLE * least(1.0::DOUBLE, (doc_id % 7)::DOUBLE / 5) ELSE 0 END, 6) AS priority FROM lj""",
+    "mock_answers": "SELECT item_id::VARCHAR AS item_id, CASE WHEN item_id % 6 = 0 THEN md5(text) WHEN item_id % 5 < 2 THEN upper(md5(text)) ELSE 'none' END AS response FROM benchmark",
+    "calibration_report": f"""SELECT a.n, a.spearman, a.mae, a.within_1, a.kappa, b.position_bias_rate, b.p_value AS verbosity_p, b.rate AS self_preference_rate, p.n_blocks, b.significant AS verbosity_significant,
+(b.position_bias_rate > 0.15)::INT + b.significant::INT + (b.rate > 0)::INT + (a.mae > 1)::INT + (a.spearman < 0.7)::INT AS n_advice FROM ({ORACLES['agreement_summary']}) a, ({ORACLES['bias_summary']}) b, (SELECT count(*) AS n_blocks FROM ({ORACLES['pav_fit']})) p""",
+    "step_fidelity": f"WITH {_CHAINS} SELECT ev.chain_id, idx::INT AS step_no, kind AS name, round(fidelity, 5) AS fidelity FROM ev LEFT JOIN hf ON hf.chain_id = ev.chain_id AND hf.seam = ev.idx - 1",
+    "rubric_scores": """WITH s AS (SELECT event_id::VARCHAR AS item_id, event_id AS n, round(greatest(0, least(5, value / 15 - 1)), 4) AS r, least(5, event_id % 6)::DOUBLE AS c FROM events)
+SELECT item_id, CASE WHEN n % 17 = 0 THEN 'no score for relevance, completeness, clarity, format' WHEN n % 9 = 0 THEN 'no score for format' END AS error, CASE WHEN n % 17 <> 0 AND n % 9 <> 0 THEN round(r * 0.25 + c * 0.25 + 1 + 0.625, 4) END AS overall FROM s""",
+    "checks_summary": f'WITH {_SUITE} SELECT "check", count(*) FILTER (NOT passed) AS n_failed, count(*) FILTER (escalate) AS n_escalated, count(*) FILTER (passed) AS n_passed FROM checks GROUP BY 1',
+}
