@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgelab.functions.tables import written
@@ -34,11 +34,17 @@ def coverage(items: DataFrame) -> DataFrame:
 
 
 def validate(items: DataFrame) -> DataFrame:
-    """(item_id, problem): empty or repeated ids, empty references, empty prompts outside the empty-input case."""
-    again = F.row_number().over(Window.partitionBy("item_id").orderBy(F.monotonically_increasing_id())) > 1
+    """(item_id, problem): empty or repeated ids, empty references, empty prompts outside the empty-input case.
+
+    An id that n items have is a problem n - 1 times; ids are counted, not
+    gathered, and a count is spelt out in steps of 4,096.
+    """
     blank = lambda c: is_blank(F.coalesce(F.col(c), F.lit("")))
-    found = F.array_compact(F.array(F.when(blank("item_id"), F.lit("empty item_id")), F.when(F.col("__again"), F.lit("duplicate item_id")), F.when(blank("reference"), F.lit("empty reference")), F.when(blank("prompt") & (F.col("edge_case") != "empty_input"), F.lit("empty prompt"))))
-    return items.withColumn("__again", again).select("item_id", F.explode(found).alias("problem"))
+    found = F.array_compact(F.array(F.when(blank("item_id"), F.lit("empty item_id")), F.when(blank("reference"), F.lit("empty reference")), F.when(blank("prompt") & (F.col("edge_case") != "empty_input"), F.lit("empty prompt"))))
+    rows = items.select("item_id", F.explode(found).alias("problem"))
+    again = items.groupBy("item_id").agg((F.count("*") - 1).alias("n")).filter("n > 0")
+    steps = again.select("item_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).alias("from"))
+    return rows.unionByName(steps.select("item_id", F.explode(F.array_repeat(F.lit("duplicate item_id"), F.least(F.lit(4096), F.col("n") - F.col("from")).cast("int"))).alias("problem")))
 
 
 def corpus_ngrams(corpus: DataFrame, text: str, n: int = 8) -> DataFrame:

@@ -107,8 +107,8 @@ def load_outputs(spark: SparkSession, path: str) -> DataFrame:
     rows = numbered_lines(spark, path).withColumn("v", F.parse_json("line"))
     value = F.coalesce(F.try_variant_get("v", "$.value", "variant"), F.try_variant_get("v", "$.output", "variant"))
     named = rows.select("line_no", F.coalesce(F.try_variant_get("v", "$.name", "string"), F.concat(F.lit("output-"), F.col("line_no").cast("string"))).alias("name"), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)).alias("value"), F.try_variant_get("v", "$.latency_ms", "double").alias("latency_ms"))
-    last = Window.partitionBy("name").orderBy(F.desc("line_no"))
-    return named.withColumn("__k", F.row_number().over(last)).filter("__k = 1").drop("__k", "line_no")
+    last = named.groupBy("name").agg(F.max_by(F.struct("value", "latency_ms"), "line_no").alias("x"))
+    return last.select("name", "x.value", "x.latency_ms")
 
 
 #: Columns of the queue file, in order.
