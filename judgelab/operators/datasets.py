@@ -54,7 +54,7 @@ def corpus_ngrams(corpus: DataFrame, text: str, n: int = 8) -> DataFrame:
 
 
 #: Slots of the n-gram filter, a byte each, at least and at most; a page is what one bitmap of Spark's holds.
-SLOTS, PAGE = (1 << 20, 1 << 25), 32768
+SLOTS, PAGE = (1 << 20, 1 << 24), 32768
 
 
 def _slots(gram: Column, slots: int) -> list[Column]:
@@ -63,7 +63,7 @@ def _slots(gram: Column, slots: int) -> list[Column]:
 
 
 def gram_filter(grams: DataFrame, count: int):
-    """A test that all of ``grams`` (gram) pass, and of other n-grams about one in a thousand while there are at most 2 million.
+    """A test that all of ``grams`` (gram) pass, and of other n-grams about one in seventy while there are at most a million.
 
     Its size is 16 bytes for each n-gram, between the bounds of ``SLOTS``: bits
     are set in bitmaps on the executors, and 4 KB a page come to the driver.
@@ -76,7 +76,8 @@ def gram_filter(grams: DataFrame, count: int):
     held = np.zeros(slots, dtype=np.uint8)
     for r in pages:
         held[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")[:PAGE]
-    table, one = F.lit(bytearray(held.tobytes())), F.lit(bytearray(b"\x01"))
+    # A scalar subquery: tasks get the value with their code, and plans don't spell it out.
+    table, one = grams.sparkSession.createDataFrame([(bytearray(held.tobytes()),)], "bits binary").scalar(), F.lit(bytearray(b"\x01"))
 
     def may_be(gram: Column) -> Column:
         first, second = (F.substring(table, s.cast("int") + 1, 1) == one for s in _slots(gram, slots))
@@ -94,7 +95,7 @@ def contamination(items: DataFrame, corpus: DataFrame, id_col: str, item_text: s
     mine = written(items.select(id_col, F.explode(F.array_distinct(ngrams(tokens(item_text), n))).alias("gram")))
     may_be = gram_filter(mine.select("gram"), mine.count())
     lines = corpus.select(F.explode(F.split(F.col(corpus_text), "\n", -1)).alias("line"))
-    near = lines.select(F.explode(F.filter(ngrams(tokens("line"), n), may_be)).alias("gram"))
+    near = lines.select(F.explode(ngrams(tokens("line"), n)).alias("gram")).filter(may_be(F.col("gram")))
     theirs = near.join(mine.select("gram").distinct(), "gram", "left_semi").distinct()
     return mine.join(theirs, "gram", "left_semi").select(id_col, "gram")
 
