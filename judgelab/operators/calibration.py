@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgelab.functions.tables import running, written
@@ -62,8 +65,83 @@ def permuted_products(pts: DataFrame, n: int, n_permutations: int, seed: int, la
     return parts.filter(F.col("o") * lags + F.col("lag") < n_permutations).groupBy("o", "lag").agg(F.sum("t").alias("t"))
 
 
-def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n_permutations: int = 999, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """n, slope, p_value, significant: two-sided permutation test of the slope (see :func:`permuted_products`)."""
+#: Scores that one permutation puts into a bucket, about.
+BUCKET = 1000
+
+
+def _drawn(seed: int, n_permutations: int, buckets: int, at_once: int = 1000):
+    """Of every row (i, a, y) and permutation the draw (32 bits of an MD5, see :func:`draw`), packed by the bucket it falls in."""
+    starts = [f"{seed}|{p}|".encode() for p in range(1, n_permutations + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, at_once):
+                b = whole.slice(lo, at_once)
+                ids = [i.encode() for i in b.column("i").to_pylist()]
+                d = np.frombuffer(b"".join([hashlib.md5(s + i).digest() for s in starts for i in ids]), dtype=">u4")[::4].astype(np.uint32)
+                p = np.repeat(np.arange(n_permutations, dtype=np.uint32), len(ids))
+                a, y = np.tile(b.column("a").to_numpy(), n_permutations), np.tile(b.column("y").to_numpy(), n_permutations)
+                bucket = (d.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                some = np.flatnonzero(cut[1:] > cut[:-1])
+                parts = [order[cut[k] : cut[k + 1]] for k in some]
+                columns = [pa.array([x[o].tobytes() for o in parts], pa.binary()) for x in (p, d, a, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), *columns], names=["b", "p", "d", "a", "y"])
+
+    return run
+
+
+def _in_order(key: tuple, t: pa.Table) -> pa.Table:
+    """A bucket's scores of each permutation, by draw (ties by place)."""
+    p, d, a, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in (("p", np.uint32), ("d", np.uint32), ("a", np.int64), ("y", np.float64)))
+    order = np.lexsort((a, d, p))
+    kinds, n = np.unique(p, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(y[order]))
+    return pa.table({"b": np.full(len(kinds), key[0].as_py()), "p": kinds.astype(np.int64), "n": n, "y": lists})
+
+
+def _met(scores: pa.Table, lengths: pa.Table) -> pa.Table:
+    """Sums of x * y of a bucket by permutation: its scores begin at the place in ``starts``, ``x`` at place ``least``."""
+    least, starts, x = lengths["least"][0].as_py(), dict(lengths["starts"][0].as_py()), lengths["x"][0].values.to_numpy()
+    p, n, y = scores["p"].to_numpy(), scores["n"].to_numpy(), scores["y"].combine_chunks().flatten().to_numpy()
+    start = np.array([starts[k] for k in p.tolist()])
+    at = np.repeat(start - least - (np.cumsum(n) - n), n) + np.arange(len(y))
+    return pa.table({"p": p, "t": np.bincount(np.repeat(np.arange(len(n)), n), x[at] * y, len(n))})
+
+
+def shuffled_products(pts: DataFrame, n: int, n_permutations: int, seed: int, bucket_rows: int = BUCKET) -> DataFrame:
+    """(p, t): the sum of x * y under ``n_permutations`` independent random permutations of ``pts`` (i, x, y, one).
+
+    A permutation orders the scores by hashes of (seed, permutation, id); the
+    k-th of them meets the k-th length by id.  Hashes are even, so their first
+    bits make buckets of about ``bucket_rows`` scores a permutation: a task
+    orders one bucket of all permutations, the buckets' counts give its places,
+    and only the lengths of these places are sent to it.
+    """
+    buckets = max(1, n // bucket_rows)
+    placed = written(running(pts, [], ["i"], ["one"]).select("i", F.col("before_one").alias("a"), "x", "y"))
+    tasks = max(2 * pts.sparkSession.sparkContext.defaultParallelism, n // 20_000)  # few rows, much work each
+    drawn = placed.select("i", "a", "y").repartition(tasks).mapInArrow(_drawn(seed, n_permutations, buckets), "b long, p binary, d binary, a binary, y binary")
+    ordered = written(drawn.groupBy("b").applyInArrow(_in_order, "b long, p long, n long, y array<double>"))
+    earlier = Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    starts = ordered.select("b", "p", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    starts = written(starts.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("p", "start"))).alias("starts"), F.min("start").alias("lo"), F.max(F.col("start") + F.col("n") - 1).alias("hi")))
+    piece = lambda c: F.floor(F.col(c) / bucket_rows)
+    pieces = placed.groupBy(piece("a").alias("k")).agg(F.array_sort(F.collect_list(F.struct("a", "x"))).alias("rows"))
+    wanted = starts.select("b", F.explode(F.sequence(piece("lo"), piece("hi"))).alias("k")).join(pieces, "k")
+    rows = wanted.groupBy("b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "rows"))), lambda k: k["rows"])).alias("rows"))
+    lengths = starts.join(rows, "b").select("b", "starts", F.get("rows", 0)["a"].alias("least"), F.transform("rows", lambda r: r["x"]).alias("x"))
+    return ordered.groupBy("b").cogroup(lengths.groupBy("b")).applyInArrow(_met, "p long, t double").groupBy("p").agg(F.sum("t").alias("t"))
+
+
+def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n_permutations: int = 999, seed: int = 0, alpha: float = 0.05, lags: int = 1) -> DataFrame:
+    """n, slope, p_value, significant: two-sided permutation test of the slope.
+
+    Every permutation is drawn by itself (see :func:`shuffled_products`); with
+    ``lags`` over 1, that many are read off one pair of random orders (see
+    :func:`permuted_products`).
+    """
     pts = df.select(F.col(id_col).cast("string").alias("i"), F.col(length).cast("double").alias("x"), F.col(score).cast("double").alias("y"), F.lit(1).alias("one")).dropna()
     pts = written(pts)
     s = pts.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx")).first()
@@ -72,8 +150,9 @@ def verbosity_permutation(df: DataFrame, id_col: str, score: str, length: str, n
     n, spread = s["n"], s["n"] * s["xx"]
     slope = s["xy"] / s["xx"] if s["xx"] else 0.0
     centred = pts.select("i", (F.col("x") - s["mx"]).alias("x"), (F.col("y") - s["my"]).alias("y"), "one")
-    slopes = permuted_products(centred, n, n_permutations, seed).select((F.col("t") / spread if spread else F.lit(0.0)).alias("s"))
-    p = (F.count_if(F.abs("s") >= abs(slope) - 1e-12 * max(1.0, abs(slope))) + 1) / F.lit(float(n_permutations + 1))
+    products = permuted_products(centred, n, n_permutations, seed, lags) if lags > 1 else shuffled_products(written(centred), n, n_permutations, seed)
+    slopes = products.select((F.col("t") / spread if spread else F.lit(0.0)).alias("s"))
+    p = (F.count_if(F.abs("s") >= abs(slope) - (1e-12 if lags > 1 else 1e-15) * max(1.0, abs(slope))) + 1) / F.lit(float(n_permutations + 1))
     return slopes.agg(F.lit(n).cast("long").alias("n"), F.lit(slope).alias("slope"), p.alias("p_value"), (p < alpha).alias("significant"))
 
 
@@ -109,7 +188,7 @@ def summarize_bias(labels: DataFrame, pairwise: DataFrame | None = None, n_permu
     scored = written(labels.select("item_id", "judge_score", words.alias("length")).filter("judge_score IS NOT NULL"))
     out = self_preference(labels).withColumn("__k", F.lit(0))
     if scored.count() >= 3:
-        tests = (verbosity_ols(scored, "judge_score", "length").select("slope", "r"), verbosity_permutation(scored, "item_id", "judge_score", "length", n_permutations).select("p_value", "significant"))
+        tests = (verbosity_ols(scored, "judge_score", "length").select("slope", "r"), verbosity_permutation(scored, "item_id", "judge_score", "length", n_permutations, lags=LAGS).select("p_value", "significant"))
         for t in tests:
             out = out.join(t.withColumn("__k", F.lit(0)), "__k")
     else:

@@ -62,6 +62,21 @@ def test_permutations_are_pairings_of_two_orders(spark, block_rows):
         assert t == pytest.approx(sum(x[xs[k]] * y[ys[(k + lag) % 40]] for k in range(40)))
 
 
+@pytest.mark.parametrize("bucket_rows", [3, 1000])
+def test_permutations_are_drawn_one_by_one(spark, bucket_rows):
+    import hashlib
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=40), rng.normal(size=40)
+    pts = spark.createDataFrame([(str(k), float(x[k]), float(y[k]), 1) for k in range(40)], "i string, x double, y double, one int").repartition(3)
+    got = {r["p"]: r["t"] for r in calibration.shuffled_products(pts, 40, 23, 5, bucket_rows).collect()}
+    ids = sorted(range(40), key=str)
+    for p in range(1, 24):
+        order = sorted(range(40), key=lambda k: (int(hashlib.md5(f"5|{p}|{k}".encode()).hexdigest()[:8], 16), str(k)))
+        assert got.pop(p - 1) == pytest.approx(sum(x[ids[k]] * y[order[k]] for k in range(40)))
+    assert not got
+
+
 def test_permutation_p_value_agrees_with_shuffling(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=80)
