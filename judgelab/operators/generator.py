@@ -94,18 +94,23 @@ def render(items: DataFrame, seed: int = 42) -> DataFrame:
     items = items.withColumns({"__topic": F.col("topic"), "__points": F.array_join("keywords", ", ")})
     named = items.withColumns({"topic": F.col("blurb"), "points": F.col("__points")})
 
-    def drawn(bank: tuple[Clause, ...], place: int) -> Column:
-        return F.get(F.array(*[_said(c) for c in bank]), F.pmod(draw(seed, F.col("number"), F.col("k"), place=place), F.lit(len(bank))).cast("int"))
-
-    def keyed(bank: dict[str, Clause], by: str) -> Column:
-        return F.try_element_at(F.create_map(*[x for k, c in bank.items() for x in (F.lit(k), _said(c))]), F.col(by))
-
-    clauses = F.array_compact(F.array(drawn(TASKS, 0), drawn(AUDIENCES, 1), keyed(DEPTHS, "difficulty"), keyed(TWISTS, "edge_case")))
-    edge, joined = F.col("edge_case"), lambda part: F.array_join(F.transform(clauses, lambda c: c[part]), " ")
+    def chosen(tests: list[tuple[Column, Clause]]) -> Column:
+        """The clause of the first test that holds; only this one is filled in."""
+        out = F
+        for test, c in tests:
+            out = out.when(test, _said(c))
+        return out
+
+    # Each is read more than once afterwards, and so a column of its own.
+    named = named.withColumns({f"__at{place}": F.pmod(draw(seed, F.col("number"), F.col("k"), place=place), F.lit(len(bank))) for place, bank in ((0, TASKS), (1, AUDIENCES))})
+    drawn = [chosen([(F.col(f"__at{place}") == i, c) for i, c in enumerate(bank)]) for place, bank in ((0, TASKS), (1, AUDIENCES))]
+    keyed = [chosen([(F.col(by) == k, c) for k, c in bank.items()]) for by, bank in (("difficulty", DEPTHS), ("edge_case", TWISTS))]
+    named = named.withColumn("__clauses", F.array_compact(F.array(*drawn, *keyed)))
+    edge, joined = F.col("edge_case"), lambda part: F.array_join(F.col(f"__clauses.{part}"), " ")
     shaped = F.to_json(F.struct(F.concat("points", F.lit(" of "), "topic").alias("answer"), F.lit(0.9).alias("confidence")))
     prompt = F.when(edge == "empty_input", BLANK.ask).when(edge == "ambiguity", VAGUE.ask).otherwise(joined("ask"))
     reference = F.when(edge == "empty_input", BLANK.expect).when(edge == "ambiguity", VAGUE.expect).when(edge == "format_trap", shaped).otherwise(joined("expect"))
-    return named.withColumns({"prompt": prompt, "reference": reference}).withColumn("topic", F.col("__topic")).drop("__topic", "__points", "points")
+    return named.withColumns({"prompt": prompt, "reference": reference}).withColumn("topic", F.col("__topic")).drop("__topic", "__points", "points", "__at0", "__at1", "__clauses")
 
 
 def _as_items(df: DataFrame, meta: dict[str, Column]) -> DataFrame:
@@ -126,6 +131,7 @@ def generate(topics: DataFrame, personas: list[str] | None = None, difficulties:
         raise ValueError("personas, difficulties and edge cases can't be empty")
     if items_per_cell < 1:
         raise ValueError("a cell has one item or more")
+    topics = topics.repartition(2 * topics.sparkSession.sparkContext.defaultParallelism)  # few rows, many items each
     items = render(grid(topics, personas, difficulties, edges, items_per_cell), seed)
     meta = {"generator": F.lit("template"), "cell": F.concat_ws("|", "topic", "persona", "difficulty")}
     if complete:
