@@ -25,9 +25,11 @@ sum observed minus expected counts.
 Word features: every position, with a hash of its context, goes to the block of
 its context and class, packed by runs of documents.  A block counts the
 training positions, sets the weights and scores all its positions, in sparse
-numpy batches; only sums a document go back.  The contexts of a word of more
-than ``SPLIT`` occurrences have copies of their own for groups of documents, so
-that no block holds a hot context whole.  Counts of common words are broadcast
+numpy batches; only sums a document go back.  A context and class of more than
+``SPLIT`` training positions is split by context pairs, and such a pair by
+documents, so that no block holds a hot context whole; every part gets the
+counts of the whole, summed beforehand, so scores don't depend on the split.
+Counts of common words are broadcast
 (``HEAD_WORDS`` at most, a fixed bound); rarer words are joined to the count
 table.  Words are compared by 64-bit hashes, contexts in a block by hashes too.
 
@@ -59,6 +61,7 @@ OUTCOMES = CLASSES + RARE
 OWN = 256  # words with a context row of their own in the class factor
 ROWS1 = OWN + OUTCOMES + 1  # the last is the start of a document
 START = ROWS1 - 1
+CELLS = ROWS1 * ROWS1
 PAIRS = 8192
 CLASS_ROWS = 2 * ROWS1 + PAIRS
 ANCHORS = 32
@@ -66,7 +69,7 @@ ROUNDS, RATE = 8, 0.3
 KAPPA = 8.0
 DISCOUNT = 0.75
 BLOCK = 1 << 16
-#: Tokens that a task packs at once, positions of a block on average, and occurrences of a context word in one copy.
+#: Tokens that a task packs at once, positions of a block on average, and training positions of one part of a hot context.
 PACK_TOKENS, BLOCK_TOKENS, SPLIT = 400_000, 700_000, 1_000_000
 #: Tokens of a training task at least, once there are more tasks than twice the cores.
 TASK_TOKENS = 50_000_000
@@ -317,11 +320,12 @@ def _places(company: np.ndarray, n: int, clusters: int = 16, rounds: int = 10) -
 # --- the class factor -------------------------------------------------------------------
 
 
-def _cells(v):
-    """Counts of (context pair, outcome class) over all positions."""
+def _cells(v, split: int):
+    """Counts of (context pair, outcome class) over all positions; from ``CELLS`` on, those of contexts of words with over ``split`` occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        times = context_counts(v.value)
 
         def flush() -> pa.RecordBatch:
             cell, n = np.unique(np.concatenate(held), return_counts=True)
@@ -331,8 +335,13 @@ def _cells(v):
         size = 0
         for batch in batches:
             for _, _, buf, offsets in text_chunks(batch.column(0)):
-                p = positions(*tokens(buf, offsets), v.value)
+                h, rare, first = tokens(buf, offsets)
+                p = positions(h, rare, first, v.value)
                 held.append((p.one * ROWS1 + p.two) * OUTCOMES + p.outcome)
+                if (times > split).any():
+                    near, row = context_rows(p.row, first)
+                    many = times[row] > split
+                    held.append((CELLS + 2 * (row[many] + 2) + near[many]) * OUTCOMES + p.outcome[many])
                 size += len(p.row)
                 if size > 2_000_000:
                     yield flush()
@@ -343,10 +352,14 @@ def _cells(v):
     return run
 
 
+def _all_statistics(docs: DataFrame, v, split: int) -> DataFrame:
+    cells = docs.mapInArrow(_cells(v, split), "context int, outcome int, n bigint").repartition("context").groupBy("context", "outcome").agg(F.sum("n").alias("n"))
+    return materialise(cells.groupBy("context").agg(F.collect_list("outcome").alias("outcomes"), F.collect_list("n").alias("ns")), "class-counts")
+
+
 def statistics(docs: DataFrame, v) -> DataFrame:
     """(context, outcomes, ns): one row a context pair, ROWS1 ** 2 at most, over all positions of ``docs``."""
-    cells = docs.mapInArrow(_cells(v), "context int, outcome int, n bigint").repartition("context").groupBy("context", "outcome").agg(F.sum("n").alias("n"))
-    return materialise(cells.groupBy("context").agg(F.collect_list("outcome").alias("outcomes"), F.collect_list("n").alias("ns")), "class-counts")
+    return _all_statistics(docs, v, SPLIT).filter(F.col("context") < CELLS)
 
 
 def _gaps(weights):
@@ -398,13 +411,18 @@ def fit_classes(stats: DataFrame, rounds: int = ROUNDS) -> Weights:
     return w
 
 
-def train(docs: DataFrame) -> tuple[Vocabulary, Weights, DataFrame]:
-    """``docs``: the training texts as one binary column."""
+def _train(docs: DataFrame, split: int) -> tuple[Vocabulary, Weights, DataFrame, Hot]:
     sc = docs.sparkSession.sparkContext
     v, counts = vocabulary(docs)
     v.place = _places(_gathered(docs, sc.broadcast(v), MODEL_WORDS * ANCHORS, _company), int((v.rank >= 0).sum()))
     v.settle()
-    return v, fit_classes(statistics(docs, sc.broadcast(v))), counts
+    stats = _all_statistics(docs, sc.broadcast(v), split)
+    return v, fit_classes(stats.filter(F.col("context") < CELLS)), counts, hot_contexts(stats, v, split)
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, Weights, DataFrame]:
+    """``docs``: the training texts as one binary column."""
+    return _train(docs, SPLIT)[:3]
 
 
 def class_scores(p: Positions, w: Weights) -> np.ndarray:
@@ -442,47 +460,244 @@ def document_keys(h: np.ndarray, first: np.ndarray, ids: list) -> np.ndarray:
     return mix(np.add.reduceat(h, first[:-1]) + mix(named)) if len(first) > 1 else np.empty(0, dtype=np.uint64)
 
 
-def grams(h: np.ndarray, first: np.ndarray, p: Positions, held_out: np.ndarray, v: Vocabulary, keys: np.ndarray, split: int = SPLIT) -> Grams:
-    one, two = _before(h, first, 1, _BEGIN), _before(h, first, 2, _BEGIN)
-    row1, row2 = _before(p.row, first, 1, -2), _before(p.row, first, 2, -2)
+def context_counts(v: Vocabulary) -> np.ndarray:
+    """Occurrences of common words as contexts; at -2 and -1 those of a document's start and of a rare word."""
     ends = v.count[v.find(np.array([END]))].sum() if len(v.hash) else 0
-    times = np.append(v.count, (ends, 0))  # at -2 and -1: a document's start, and a rare word
+    return np.append(v.count, (ends, 0))
+
+
+def context_rows(row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the word before is a common one, and the row of the context: that word's, else that of the word before it."""
+    row1 = _before(row, first, 1, -2)
     near = row1 != -1
-    context = np.where(near, mix(one ^ _A), mix(two ^ _B))
-    copies = (1 + np.where(near, times[row1], times[row2]) // split).astype(np.uint64)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    copy = keys[doc] % copies
-    key = mix(context * _A + p.outcome.astype(np.uint64) + copy * _B) >> np.uint64(24)  # 40 bits, of which a block has part
+    return near, np.where(near, row1, _before(row, first, 2, -2))
+
+
+def _context_key(word: np.ndarray, near: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    return mix(mix(word ^ np.where(near, _A, _B)) * _A + outcome.astype(np.uint64))
+
+
+def _pair(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (mix(two * _A + one) & np.uint64(0xFFFFFF)).astype(np.uint32)
+
+
+def _pair_key(key: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return mix(key ^ mix(pair.astype(np.uint64) + np.uint64(1)))
+
+
+def _part(key: np.ndarray, i: np.ndarray) -> np.ndarray:
+    return mix(key + (i.astype(np.uint64) + np.uint64(1)) * _B)
+
+
+def _found(among: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index of each of ``x`` in the sorted ``among``, or -1."""
+    if not len(among):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return np.where(among[at] == x, at, -1)
+
+
+@dataclass
+class Hot:
+    """Contexts with a class, and pairs in them, of more than ``SPLIT`` training positions: sorted keys, numbers of parts, a pair's context and 24 bits."""
+
+    key: np.ndarray
+    parts: np.ndarray
+    pair: np.ndarray
+    pair_parts: np.ndarray
+    pair_of: np.ndarray
+    pair_bits: np.ndarray
+
+    def places(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Keys of all parts of each context (also of its pairs' parts), and of each pair."""
+        pairs = [_part(np.full(n, k), np.arange(n)) for k, n in zip(self.pair, self.pair_parts, strict=True)]
+        mine = _found(self.key, self.pair_of)
+        return [np.concatenate([_part(np.full(n, k), np.arange(n)), *(pairs[i] for i in np.flatnonzero(mine == j))]) for j, (k, n) in enumerate(zip(self.key, self.parts, strict=True))], pairs
+
+
+def _hot(key: np.ndarray, n: np.ndarray, of: np.ndarray, pair: np.ndarray, pair_n: np.ndarray, split: int) -> Hot:
+    """From training positions by context and class, and by their pairs."""
+    key, n, of, pair, pair_n = key[n > split], n[n > split], of[pair_n > split], pair[pair_n > split], pair_n[pair_n > split]
+    pairs = _pair_key(of, pair)
+    a, b = np.argsort(key), np.argsort(pairs)
+    return Hot(key[a], -(-n[a] // split), pairs[b], -(-pair_n[b] // split), of[b], pair[b])
+
+
+def hot_contexts(stats: DataFrame, v: Vocabulary, split: int) -> Hot:
+    """Contexts and pairs to split; less than one for ``split`` tokens each.
+
+    Pairs are those of the ``OWN`` commonest words and starts; any other one has
+    at most the occurrences of the commonest word beyond them.
+    """
+    cells = stats.select("context", F.explode(F.arrays_zip("outcomes", "ns")).alias("x")).select("context", "x.outcomes", "x.ns").filter(F.col("ns") > split).collect()
+    context, outcome, n = (np.array([r[i] for r in cells], dtype=np.int64) for i in range(3))
+    own = context >= CELLS
+    code = context[own] - CELLS
+    words = np.append(v.hash, (_BEGIN, np.uint64(0)))  # by row, as in context_counts
+    key = _context_key(words[code // 2 - 2], code % 2 == 1, outcome[own])
+    one, two = context[~own] // ROWS1, context[~own] % ROWS1
+    plain = ((one < OWN) | (one == START)) & ((two < OWN) | (two == START))
+    by_rank = np.zeros(ROWS1, dtype=np.uint64)
+    common = (v.rank >= 0) & (v.rank < OWN)
+    by_rank[v.rank[common]], by_rank[START] = v.hash[common], _BEGIN
+    one, two = by_rank[one[plain]], by_rank[two[plain]]
+    of = _context_key(one, np.ones(len(one), dtype=bool), outcome[~own][plain])
+    return _hot(key, n[own], of, _pair(two, one), n[~own][plain], split)
+
+
+def _context_grams(h: np.ndarray, first: np.ndarray, p: Positions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and class (64 bits), word and context pair of every position."""
+    one, two = _before(h, first, 1, _BEGIN), _before(h, first, 2, _BEGIN)
+    near, _ = context_rows(p.row, first)
     word = np.where(p.row >= 0, p.row.astype(np.uint32), _rare_word(h))
-    pair = (mix(two * _A + one) & np.uint64(0xFFFFFF)).astype(np.uint32)
-    return Grams(key, word, pair, (2 * doc + ~held_out[doc]).astype(np.uint32))
+    return _context_key(np.where(near, one, two), near, p.outcome), word, _pair(two, one)
+
 
+def grams(h: np.ndarray, first: np.ndarray, p: Positions, held_out: np.ndarray, v: Vocabulary, keys: np.ndarray, split: int = SPLIT, hot: Hot | None = None) -> Grams:
+    """``hot``: contexts to split; without it, those with over ``split`` of these positions."""
+    key, word, pair = _context_grams(h, first, p)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    if hot is None:
+        kinds, at, times = np.unique(_pair_key(key, pair), return_index=True, return_counts=True)
+        hot = _hot(*np.unique(key, return_counts=True), key[at], pair[at], times, split)
+    at = _found(hot.key, key)
+    some = np.flatnonzero(at >= 0)
+    if len(some):
+        pairs = _pair_key(key[some], pair[some])
+        key[some] = _part(key[some], pair[some] % hot.parts[at[some]])
+        at = _found(hot.pair, pairs)
+        many = at >= 0
+        key[some[many]] = _part(pairs[many], keys[doc[some[many]]] % hot.pair_parts[at[many]].astype(np.uint64))
+    return Grams(key >> np.uint64(24), word, pair, (2 * doc + ~held_out[doc]).astype(np.uint32))  # 40 bits, of which a block has part
 
-def shares(g: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): P(word | class, contexts) is a + b * (the word's share of its class); learnt from the training positions of ``g``."""
+
+@dataclass
+class Known:
+    """Training counts of whole contexts (pairs: of a whole pair) that are split, as a block with a part gets them."""
+
+    key: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    of_pair: np.ndarray
+    n: np.ndarray
+
+
+def shares(g: Grams, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): P(word | class, contexts) is a + b * (the word's share of its class); learnt from the training positions of ``g``, or from ``known`` where contexts are split."""
 
     def ids(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kinds, at = np.unique(x, return_inverse=True)
         return kinds, at.astype(np.int32)
 
-    train = (g.doc & 1).astype(np.float32)
-
-    def level(context: np.ndarray, n_contexts: int, feature: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, total = np.bincount(feature, train, len(of)), np.bincount(context, train, n_contexts)
+    size = len(g.key)
+    first = second = (g.doc & 1).astype(np.float32)
+    context, word, pair_of = g.key, g.word, g.pair
+    if known is not None and len(known.key):
+        of = known.of_pair
+        first = np.concatenate((np.where(np.isin(g.key, known.key[~of]), 0.0, first), np.where(of, 0, known.n)))
+        second = np.concatenate((np.where(np.isin(g.key, known.key[of]), 0.0, second), np.where(of, known.n, 0)))
+        context, word, pair_of = (np.concatenate(x) for x in ((g.key, known.key), (g.word, known.word), (g.pair, known.pair)))
+
+    def level(context: np.ndarray, n_contexts: int, feature: np.ndarray, of: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, total = np.bincount(feature, times, len(of)), np.bincount(context, times, n_contexts)
         kinds = np.bincount(of[n > 0], minlength=n_contexts)
         safe = np.maximum(total, 1)
         below = np.where(total > 0, DISCOUNT * kinds / safe, 1.0).astype(np.float32)
         return (np.maximum(n - DISCOUNT, 0).astype(np.float32))[feature] / safe.astype(np.float32)[context], below[context]
 
-    keys, key = ids(g.key)
-    gram, feature = ids(key.astype(np.int64) << 32 | g.word)
-    a1, b1 = level(key, len(keys), feature, gram >> 32)
-    gram, feature = ids(feature.astype(np.int64) << 24 | g.pair)
-    pairs, pair = ids(key.astype(np.int64) << 24 | g.pair)
+    keys, key = ids(context)
+    gram, feature = ids(key.astype(np.int64) << 32 | word)
+    a1, b1 = level(key, len(keys), feature, gram >> 32, first)
+    gram, feature = ids(feature.astype(np.int64) << 24 | pair_of)
+    pairs, pair = ids(key.astype(np.int64) << 24 | pair_of)
     of = np.empty(len(gram), dtype=np.int32)
     of[feature] = pair
-    a2, b2 = level(pair, len(pairs), feature, of)
-    return a2 + b2 * a1, b2 * b1
+    a2, b2 = level(pair, len(pairs), feature, of, second)
+    return (a2 + b2 * a1)[:size], (b2 * b1)[:size]
+
+
+def _hot_counts(v, hot):
+    """Training counts (of_pair, at, word, n) of words in the contexts and pairs of ``hot``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for of_pair, x in enumerate(held):
+                kinds, n = np.unique(np.concatenate(x), return_counts=True)
+                x.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), of_pair == 1)), pa.array((kinds >> 32).astype(np.int32)), pa.array(kinds & 0xFFFFFFFF), pa.array(n)], names=["of_pair", "at", "word", "n"])
+
+        size = 0
+        for batch in batches:
+            for _, _, buf, offsets in text_chunks(batch.column(0)):
+                h, rare, first = tokens(buf, offsets)
+                key, word, pair = _context_grams(h, first, positions(h, rare, first, v.value))
+                at = _found(hot.value.key, key)
+                some = at >= 0
+                held[0].append(at[some] << 32 | word[some])
+                at = _found(hot.value.pair, _pair_key(key[some], pair[some]))
+                held[1].append((at << 32 | word[some])[at >= 0])
+                size += len(held[0][-1]) + len(held[1][-1])
+                if size > 2_000_000:
+                    yield from flush()
+                    size = 0
+        if held[0]:
+            yield from flush()
+
+    return run
+
+
+def _known_sent(hot, blocks: int):
+    """The counts of :func:`_hot_counts` for every part of the context or pair, as rows of :func:`_sent` with run -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [(np.concatenate([np.empty(0, dtype=np.uint64), *x]), np.cumsum([0, *map(len, x)])) for x in hot.value.places()]
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            key, word, pair, of_pair, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            block = (key >> np.uint64(8)) * np.uint64(blocks) >> np.uint64(32)
+            order = np.argsort(block)
+            block, columns = block[order], [x[order] for x in (key, word, pair, of_pair, n)]
+            cut = np.concatenate((np.flatnonzero(np.diff(block, prepend=np.uint64(blocks))), [len(block)]))
+            data = [_pack(*(x[a:b] for x in columns)) for a, b in zip(cut, cut[1:])]
+            rows = len(data)
+            known = [pa.array(block[cut[:-1]].astype(np.int32)), pa.array(np.full(rows, -1)), pa.array(np.diff(cut)), pa.array(np.zeros(rows, dtype=np.int64)), pa.array([x[0] for x in data], type=pa.int64()), pa.array([x[1] for x in data], type=pa.binary())]
+            return pa.RecordBatch.from_arrays(known, names=_SENT[: len(known)])
+
+        size = 0
+        for batch in batches:
+            of_pair, at, word, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            pair = np.zeros(len(at), dtype=np.uint32)
+            pair[of_pair] = hot.value.pair_bits[at[of_pair]]
+            for kind, (keys, first) in enumerate(places):
+                mine = np.flatnonzero(of_pair == (kind == 1))
+                times = np.diff(first)[at[mine]]
+                total = int(times.sum())
+                step = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+                mine = np.repeat(mine, times)
+                held.append((keys[first[at[mine]] + step] >> np.uint64(24), word[mine].astype(np.uint32), pair[mine], of_pair[mine], n[mine]))
+                size += total
+            if size > PACK_TOKENS:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _known(rows: pa.Table) -> Known:
+    got = []
+    for raw, data, n in zip(*(rows.column(c).to_pylist() for c in ("raw", "data", "n")), strict=True):
+        buf, at, out = pa.Codec(_CODEC["compression"]).decompress(data, raw, asbytes=True), 0, []
+        for kind in (np.uint64, np.uint32, np.uint32, np.bool_, np.int64):
+            out.append(np.frombuffer(buf, dtype=kind, count=n, offset=at))
+            at += out[-1].nbytes
+        got.append(out)
+    return Known(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
 
 _CODEC = {"compression": "zstd", "compression_level": 1}
@@ -493,7 +708,7 @@ def _pack(*arrays: np.ndarray) -> tuple[int, bytes]:
     return len(raw), pa.Codec(_CODEC["compression"], _CODEC["compression_level"]).compress(raw, asbytes=True)
 
 
-def _sent(v, weights, blocks: int, kind: pa.DataType, split: int):
+def _sent(v, weights, blocks: int, kind: pa.DataType, hot):
     """A row for each run of documents with what is known of them, and its positions for every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +728,7 @@ def _sent(v, weights, blocks: int, kind: pa.DataType, split: int):
             known = p.row >= 0
             base = np.full(len(h), -log_base)
             base[known] += log_count[p.row[known]]
-            g = grams(h, first, p, out, vocab, document_keys(h, first, ids.to_pylist()), split)
+            g = grams(h, first, p, out, vocab, document_keys(h, first, ids.to_pylist()), hot=hot.value)
             order = np.argsort(g.key << np.uint64(24) | (g.word * np.uint32(0x9E3779B1) >> np.uint32(8)).astype(np.uint64))
             key, word, pair, doc = (x[order] for x in (g.key, g.word, g.pair, g.doc))
             block = (key >> np.uint64(8)) * np.uint64(blocks) >> np.uint64(32)
@@ -574,13 +789,14 @@ def _block_scores(v):
         t = t.combine_chunks()
         own = t.filter(pa.compute.is_valid(t.column("ids")))
         sent = t.filter(pa.compute.is_null(t.column("ids")))
+        whole, sent = sent.filter(pa.compute.less(sent.column("run"), 0)), sent.filter(pa.compute.greater_equal(sent.column("run"), 0))
         runs = sent.num_rows
         got = [_unpack(*x) for x in zip(*(sent.column(c).to_pylist() for c in ("raw", "data", "n", "tails")), strict=True)]
         parts = [np.concatenate([x[i] for x in got]) if got else np.empty(0, dtype=d) for i, d in enumerate((np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint8))]
         sizes = [len(x[0]) for x in got]
         del got
         g, h, cls = Grams(*parts[:4]), parts[4], parts[5]
-        a, b = shares(g) if len(g.key) else (np.empty(0), np.empty(0))
+        a, b = shares(g, _known(whole) if whole.num_rows else None) if len(g.key) else (np.empty(0), np.empty(0))
         owner = np.repeat(np.arange(runs), sizes) if runs else np.empty(0, dtype=np.int64)
         doc = (g.doc >> 1).astype(np.int64)
         rare = g.word >= 1 << 31
@@ -608,16 +824,21 @@ def _added(t: pa.Table) -> pa.Table:
 def language_model_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
-    ``split``: occurrences of a word from which its contexts have copies; which
-    one a document takes follows from its id and text, however rows are dealt out.
+    ``split``: training positions of a context and class beyond which it is
+    split; scores don't depend on it, but for the order of sums.
     """
     field = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), (crc_mod(id_col, 5) == 1).alias("held_out"), utf8(text).alias("text"))
-    v, weights, counts = train(source.filter("not held_out").select("text"))
+    learnt = source.filter("not held_out").select("text")
+    v, weights, counts, found = _train(learnt, split)
     sc = docs.sparkSession.sparkContext
-    shared, blocks = sc.broadcast(v), max(1, v.total // BLOCK_TOKENS)
+    shared, hot, blocks = sc.broadcast(v), sc.broadcast(found), max(1, v.total // BLOCK_TOKENS)
     lists = f"ids array<{field.simpleString()}>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>"
-    sent = source.mapInArrow(_sent(shared, sc.broadcast(weights), blocks, to_arrow_type(field), split), f"block int, run bigint, n bigint, tails bigint, raw bigint, data binary, {lists}")
+    packed = "block int, run bigint, n bigint, tails bigint, raw bigint, data binary"
+    sent = source.mapInArrow(_sent(shared, sc.broadcast(weights), blocks, to_arrow_type(field), hot), f"{packed}, {lists}")
+    if len(found.key):
+        whole = learnt.mapInArrow(_hot_counts(shared, hot), "of_pair boolean, at int, word bigint, n bigint").groupBy("of_pair", "at", "word").agg(F.sum("n").alias("n"))
+        sent = sent.unionByName(whole.mapInArrow(_known_sent(hot, blocks), packed), allowMissingColumns=True)
     release(docs.sparkSession)
     back = sent.groupBy("block").applyInArrow(_block_scores(shared), f"run bigint, {lists}, doc array<int>, s array<float>, rare_doc array<int>, rare array<bigint>, share array<float>, part array<float>")
     back = materialise(back, "scores")

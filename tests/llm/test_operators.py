@@ -289,6 +289,20 @@ def test_language_model_scores_do_not_depend_on_partitions(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 * abs(a[k]) for k in a)
 
 
+def test_language_model_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    """Contexts, their commonest pairs and those before rare words in parts, beside whole ones."""
+    monkeypatch.setattr(lm, "HEAD_WORDS", 64)
+    r = np.random.default_rng(7)
+    rows = [(i, " ".join(["a", "b"] * (i % 3) + [f"w{k}" for k in r.zipf(1.6, 60) % 300])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, cut = ({x["doc_id"]: x["score"] for x in language_model_scores(df, split=n).collect()} for n in (1 << 30, 20))
+    assert cut == pytest.approx(whole, rel=1e-5)
+    v, _, _, hot = lm._train(df.selectExpr("CAST(text AS BINARY) AS text"), 20)
+    assert len(hot.key) > 5 and len(hot.pair) > 5 and (hot.pair_parts > 1).all() and set(hot.pair_of) <= set(hot.key)
+    skipped = lm._context_key(v.hash[:, None], np.array(False), np.arange(lm.OUTCOMES))
+    assert np.isin(skipped, hot.key).any()
+
+
 def test_language_model_splits_hot_contexts_and_tells_copies_apart(spark):
     r = np.random.default_rng(6)
     texts = [" ".join(f"q{k}" for k in r.integers(0, 400, 60)) for _ in range(300)]
