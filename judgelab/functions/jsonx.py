@@ -13,7 +13,10 @@ SAMPLE = 3
 
 def type_name(v: Column) -> Column:
     """bool, number, str, null, dict or list for a VARIANT."""
-    s = F.schema_of_variant(v)
+    return type_of_schema(F.schema_of_variant(v))
+
+
+def type_of_schema(s: Column) -> Column:
     number = s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL")
     return F.when(s == "BOOLEAN", "bool").when(number, "number").when(s == "STRING", "str").when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").otherwise("null")
 
@@ -74,6 +77,35 @@ def flatten(df: DataFrame, ids: list[str], json_col: str, levels: int = LEVELS)
     return spark.read.schema(part.schema).parquet(*[f"{folder}/pass={j}" for j in range(k + 1)]).filter("type IS NOT NULL").select(*keys, "path", "type", "value")
 
 
+def opened_fields(text: Column, levels: int = LEVELS) -> Column:
+    """What :func:`flatten` gives of a text, as an array of (path, type, value) in its row; null if it goes deeper than ``levels``."""
+    entry = lambda path, v, n: F.struct(path.alias("path"), F.schema_of_variant(v).alias("s"), v.alias("v"), n.alias("n"))
+    no_length, no_value = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    is_dict, is_list = (lambda e: e["s"].startswith("OBJECT")), (lambda e: e["s"].startswith("ARRAY"))
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  f(x), with x computed once
+
+    def inner(e: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(e["v"], "$", "map<string,variant>"))
+        return F.transform(fields, lambda x: entry(F.when(e["path"] == "", x["key"]).otherwise(F.concat(e["path"], F.lit("."), x["key"])), x["value"], no_length))
+
+    def elements(e: Column) -> Column:
+        items = F.try_variant_get(e["v"], "$", "array<variant>")
+        first = F.transform(F.slice(items, 1, SAMPLE), lambda x, i: entry(F.concat(e["path"], F.lit("["), i.cast("string"), F.lit("]")), x, no_length))
+        length = F.array(entry(F.concat(e["path"], F.lit(LENGTH)), no_value, F.size(items).cast("string")))
+        return F.when(e["path"] != "", F.concat(first, length)).otherwise(first)
+
+    leaf = lambda e: F.struct(e["path"].alias("path"), F.when(e["n"].isNotNull(), "number").otherwise(type_of_schema(e["s"])).alias("type"), F.coalesce(e["n"], F.to_json(e["v"]), F.lit("null")).alias("value"))
+    step = lambda found: F.flatten(F.transform(found, lambda e: F.when(is_dict(e), inner(e)).when(is_list(e), elements(e)).otherwise(F.array(e))))
+
+    def opened(found: Column, left: int) -> Column:
+        deeper = F.exists(found, lambda e: F.coalesce(is_dict(e) | is_list(e), F.lit(False)))
+        done = F.when(~deeper, F.transform(found, leaf))
+        return done.otherwise(once(step(found), lambda x: opened(x, left - 1))) if left else done
+
+    root = lambda v: F.when(v.isNull(), F.array().cast("array<struct<path:string,type:string,value:string>>")).otherwise(once(F.array(entry(F.lit(""), v, no_length)), lambda x: opened(x, levels)))
+    return once(F.try_parse_json(text), root)
+
+
 def _among(kind: Column, text: Column, number: Column, allowed: list) -> Column:
     """Whether a value equals one of ``allowed`` in kind and value; true and false equal 1 and 0, as in Python."""
     truth = F.when(kind == "bool", F.when(text == "true", 1.0).otherwise(0.0)).when(kind == "number", number)

@@ -186,3 +186,17 @@ def test_streaming_means(spark, tmp_path):
     q = windowed_means(stream).writeStream.format("memory").queryName("means").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["n"], r["mean_score"]) for r in spark.table("means").orderBy("window_start").collect()][:1] == [(2, 2.0)]
+
+
+def test_seams_in_a_row_equal_seams_field_by_field(spark):
+    """Nested, deep, list, boolean, empty, null and unreadable texts, and two fields of one path, counted by both ways."""
+    texts = [
+        '{"a": 1, "b": true, "c": "", "d": null, "e": {"f": [1, 2, 3, 4], "g": {}}}', '{"a": 1.0, "b": 1, "e": {"f": [1, 2, 3, 4, 5]}, "x": "y"}', '{"a": "1", "e.f": 2, "e": {"f": 2}}', '{"k": {"l": {"m": {"n": {"o": [1, {"p": "y"}]}}}}, "z": true}',
+        '{"k": {"l": {"m": {"n": {"o": [1, {"p": "n"}, 3]}}}}, "z": 1}', "[1, [2, null], {}]", "[]", "7", "null", '""', "no json {{{", None, '{"b": false, "q": 0, "u": "a.b", "e": {"f": [1]}}', '{"other": 0, "b": "false", "list": []}',
+    ]
+    rows = [(f"{i}-{j}", k, "s", a, b) for i, x in enumerate(texts) for j, y in enumerate(texts) for k, (a, b) in enumerate(((None, x), (y, None)))]
+    steps = spark.createDataFrame(rows, "chain_id string, step_idx int, name string, input string, output string")
+    in_rows, field_by_field = seams.handoffs(steps), seams.handoffs(steps, row_fields=-1)
+    assert sorted(in_rows.collect()) == sorted(field_by_field.collect()) and in_rows.count() == len(texts) ** 2
+    inside = seams._row_counts(seams.seam_pairs(steps), seams.ROW_FIELDS)
+    assert inside.filter("kept IS NULL").count() == len(texts) ** 2 - 11**2
